@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import packing, token_files
+from gritstone.llm import jaccard_join, packing, repetition, token_files
 
 
 def _public(name: str) -> str:
@@ -27,8 +27,16 @@ def op4_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(spark, _table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op7(spark, _table(spark, sf_dir, "documents"))
+
+
+def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.op10(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op4_exact_packing)}
+    return {f.__name__: f for f in (op1_token_files, op4_exact_packing, op7_jaccard_join, op10_repetition_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

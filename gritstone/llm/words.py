@@ -17,15 +17,15 @@ LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np
 
 U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER_CODE = _BYTE_CODE[LOWER]
+BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_LOWER_CODE = BYTE_CODE[LOWER]
 GRAM_CODE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, U), np.ones(1, U))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
     if len(_powers[0]) < n:
         size = 1 << int(n - 1).bit_length()
@@ -77,9 +77,9 @@ class Words:
         """64-bit hashes of the words: a polynomial over random byte codes, mixed with the length."""
         if not len(self.start):
             return np.zeros(0, U)
-        up, down = _power_tables(len(self.data) + 1)
+        up, down = power_tables(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, U)
-        np.cumsum((_LOWER_CODE if lower else _BYTE_CODE)[self.data] * up[: len(self.data)], out=sums[1:])
+        np.cumsum((_LOWER_CODE if lower else BYTE_CODE)[self.data] * up[: len(self.data)], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
