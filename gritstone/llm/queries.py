@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import interpolated_lm, jaccard_join, packing, repetition, token_files
+from gritstone.llm import interpolated_lm, jaccard_join, packing, repetition, token_files, url_filter
 
 
 def _public(name: str) -> str:
@@ -27,6 +27,10 @@ def op4_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(spark, _table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.op5(_table(spark, sf_dir, "pages"))
+
+
 def op6_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated_lm.op6(spark, _table(spark, sf_dir, "documents"))
 
@@ -40,8 +44,8 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op4_exact_packing, op6_interpolated_lm, op7_jaccard_join, op10_repetition_rules)}
+    return {f.__name__: f for f in (op1_token_files, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op10_repetition_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_rules": url_filter.OP5_SQL}
