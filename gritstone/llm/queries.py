@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import interpolated_lm, jaccard_join, packing, repetition, token_files, url_filter
+from gritstone.llm import interpolated_lm, jaccard_join, language_id, packing, repetition, token_files, url_filter
 
 
 def _public(name: str) -> str:
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.op1(spark, _table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.op2(spark, _table(spark, sf_dir, "documents"))
+
+
 def op4_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(spark, _table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
@@ -44,7 +48,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op10_repetition_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op10_repetition_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
