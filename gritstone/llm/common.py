@@ -58,6 +58,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1
         yield batch.slice(first)
 
 
+def slices_with_texts(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """As text_slices, but the slices keep the column as it is; the texts come beside them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        first = 0
+        at = batch.schema.get_field_index(text)
+        for part in text_slices(iter([batch]), text, max_bytes):
+            yield batch.slice(first, part.num_rows), part.column(at)
+            first += part.num_rows
+
+
 def clipped(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator works on, so that extra columns can't clash with its own names."""
     return df.select(*(df[c] for c in columns))

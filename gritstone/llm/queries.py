@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import interpolated_lm, jaccard_join, language_id, packing, repetition, token_files, url_filter
+from gritstone.llm import decontamination, interpolated_lm, jaccard_join, language_id, packing, repetition, token_files, url_filter
 
 
 def _public(name: str) -> str:
@@ -43,12 +43,16 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op7(spark, _table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.op9(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.op10(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op10_repetition_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op9_decontamination, op10_repetition_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
