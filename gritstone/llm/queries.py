@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import decontamination, interpolated_lm, jaccard_join, language_id, packing, repetition, token_files, url_filter
+from gritstone.llm import decontamination, interpolated_lm, jaccard_join, language_id, packing, pii, repetition, token_files, url_filter
 
 
 def _public(name: str) -> str:
@@ -27,6 +27,10 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.op2(spark, _table(spark, sf_dir, "documents"))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3(_table(spark, sf_dir, "documents"))
+
+
 def op4_exact_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op4(spark, _table(spark, sf_dir, "documents"), _public("byte_bpe_50k.json"))
 
@@ -52,7 +56,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op9_decontamination, op10_repetition_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op3_personal_data, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op9_decontamination, op10_repetition_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
