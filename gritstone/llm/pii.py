@@ -379,5 +379,6 @@ def masked(docs: DataFrame, *, text_col: str = "text", length_col: str | None =
 def op3(docs: DataFrame) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     found = find_personal_data(docs)
-    counts = (F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS)
+    is_kind = lambda kind: lambda x: x["kind"] == kind
+    counts = (F.size(F.filter("base", is_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS)
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
