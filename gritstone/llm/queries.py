@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import decontamination, interpolated_lm, jaccard_join, language_id, packing, pii, repetition, token_files, url_filter
+from gritstone.llm import decontamination, interpolated_lm, jaccard_join, language_id, packing, pii, repetition, secret_scan, token_files, url_filter
 
 
 def _public(name: str) -> str:
@@ -47,6 +47,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op7(spark, _table(spark, sf_dir, "documents"))
 
 
+def op8_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op8(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op9(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +60,7 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op3_personal_data, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op9_decontamination, op10_repetition_rules)}
+    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op3_personal_data, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op8_randomness_secrets, op9_decontamination, op10_repetition_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
