@@ -91,7 +91,7 @@ def chow(table: DataFrame, features: list[str], target: str, before: Column) ->
     (pooled, n), (a, _), (b, _) = sse(table), sse(table.where(before)), sse(table.where(~before))
     k = len(features) + 1
     f = ((pooled - a - b) / k) / ((a + b) / (n - 2 * k))
-    return table.sparkSession.createDataFrame([(n, float(f), f_sf(f, k, n - 2 * k))], "n bigint, statistic double, p_value double")
+    return table.sparkSession.createDataFrame([(n, float(f), float(f_sf(f, k, n - 2 * k)))], "n bigint, statistic double, p_value double")
 
 
 def breusch_pagan(table: DataFrame, features: list[str], squared_residual: str) -> DataFrame:
@@ -102,4 +102,4 @@ def breusch_pagan(table: DataFrame, features: list[str], squared_residual: str)
     explained = v @ np.linalg.solve(g, v)
     mean = v[0] / n
     lm = n * (explained - n * mean**2) / (yy - n * mean**2)
-    return table.sparkSession.createDataFrame([(n, float(lm), chi2_sf(lm, len(features)))], "n bigint, statistic double, p_value double")
+    return table.sparkSession.createDataFrame([(n, float(lm), float(chi2_sf(lm, len(features))))], "n bigint, statistic double, p_value double")

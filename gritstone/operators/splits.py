@@ -21,10 +21,13 @@ def global_rank(table: DataFrame, order: list[str], output: str = "place", by: t
     Rows are ranked within ranges of the first order column; a range starts after the rows of those before it. The
     cuts are approximate quantiles and only balance the work. With `by`, each group has ranks of its own.
     """
-    cuts = table.select(F.percentile_approx(F.col(order[0]).cast("double"), [k / ranges for k in range(1, ranges)], 1000).alias("c")).first()["c"] or []
+    x = F.col(order[0])
+    if dict(table.dtypes)[order[0]].startswith(("timestamp", "date")):
+        x = x.cast("timestamp")
+    x = x.cast("double")
+    cuts = table.select(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     place = F.lit(0)
-    x = F.col(order[0]).cast("double")
     if cuts:
         place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < x))
     held = table.withColumn("__range", place)
@@ -71,8 +74,7 @@ def named_split(label: Column) -> Column:
 def stratified(table: DataFrame, key: str, target: str, train: float, validation: float, multiplier: int = 7919, modulus: int = 1_000_003) -> DataFrame:
     """Exact shares within each target class, in a reproducible shuffle of a unique integer key."""
     mixed = F.pmod(F.col(key) * multiplier, F.lit(modulus))
-    counts = table.groupBy(target).agg(F.count("*").alias("__n"))
-    ranked = table.withColumn("place", F.row_number().over(Window.partitionBy(target).orderBy(mixed, key))).join(counts, F.col(target).eqNullSafe(counts[target])).drop(counts[target])
+    ranked = global_rank(table.withColumn("__mixed", mixed), ["__mixed", key], "__place", (target,)).withColumns({"place": F.col("__place"), "__n": F.col("__place_n")}).drop("__place", "__place_n", "__mixed")
     a, b = F.floor(F.col("__n") * train + 1e-9), F.floor(F.col("__n") * validation + 1e-9)
     return ranked.withColumn("split", F.when(F.col("place") <= a, "train").when(F.col("place") <= a + b, "validation").otherwise("test")).drop("__n")
 
