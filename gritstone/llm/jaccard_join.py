@@ -9,8 +9,8 @@
 3. Similar classes meet in groups by the least hash of their shared shingles (large groups are dealt into chunks) and
    are linked there; links make components.
 4. The token-group matrix: a group is a chunk of one component, its row the union of the prefixes of its members. Two
-   groups of different components that share a prefix shingle are a candidate pair; a pair is opened only if some member's overlap
-   with the other group's token union reaches what a link needs, and one link is enough.
+   groups of different components that share a prefix shingle, with enough shingles left from there on, are a candidate pair; a pair is opened only if some
+   member's overlap with the other group's token union reaches what a link needs, and one link is enough.
 
 Shingles of unique classes come first in the order that prefixes use, the others follow by hash; any two sets that
 reach the threshold share a shingle among the first n - ceil(0.8 n) + 1. Sets are compared by 64-bit hashes.
@@ -34,8 +34,8 @@ from gritstone.llm.components import connected_components
 from gritstone.llm.words import GRAM_CODE, U, gram_hashes, mix, words_of
 
 #: Shingles a bucket receives on average, and members of a group.
-BUCKET_SHINGLES, GROUP_MEMBERS = 2_000_000, 256
-REQUEST_BYTES = 8 << 20
+BUCKET_SHINGLES, GROUP_MEMBERS = 1_000_000, 128
+REQUEST_BYTES = 2 << 20
 #: A shingle that this many texts of a slice have, and this share of them, sends two witnesses only.
 FREQUENT_TEXTS, FREQUENT_SHARE = 32, 0.02
 
@@ -87,19 +87,19 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 
 def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataFrame:
-    """bucket, known, classes, counts, high and low halves of shingles; packed arrays, shingles class after class."""
+    """bucket, known, classes, their sizes and counts, high and low halves of shingles; packed, shingles class after class."""
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
 
-        def emit(bucket, known, classes, doc, shingles):
+        def emit(bucket, known, classes, sizes, doc, shingles):
             starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
             counts = np.diff(np.append(starts, len(doc))).astype("<u4")
-            rows.append((bucket, known, classes[doc[starts]].tobytes(), counts.tobytes(), (shingles >> U(32)).astype("<u2").tobytes(), shingles.astype("<u4").tobytes()))
+            rows.append((bucket, known, classes[doc[starts]].tobytes(), sizes[doc[starts]].tobytes(), counts.tobytes(), (shingles >> U(32)).astype("<u2").tobytes(), shingles.astype("<u4").tobytes()))
 
         for k, batch in enumerate(text_slices(batches, "text", REQUEST_BYTES)):
             shingles, bounds = shingle_sets(batch.column(0), width)
-            classes = set_keys(shingles, bounds)
+            classes, sizes = set_keys(shingles, bounds), np.diff(bounds).astype("<u4")
             doc = np.repeat(np.arange(len(classes)), np.diff(bounds))
             once = np.zeros(len(classes), bool)
             once[np.unique(classes, return_index=True)[1]] = True
@@ -121,53 +121,73 @@ def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataF
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 at = by[edges[b] : edges[b + 1]]
-                emit(int(b), -1, classes, doc[at], rest[at])
+                emit(int(b), -1, classes, sizes, doc[at], rest[at])
             for b in np.unique(bucket[often]):
                 at = np.flatnonzero(often & (bucket == b))
-                emit(buckets + (int(classes[0]) + k) % buckets, int(b), classes, doc[at], rest[at])
+                emit(buckets + (int(classes[0]) + k) % buckets, int(b), classes, sizes, doc[at], rest[at])
             for at in range(0, len(rows), 256):
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "known", "classes", "counts", "high", "low"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "known", "classes", "sizes", "counts", "high", "low"])
             rows.clear()
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(request, "bucket int, known int, classes binary, counts binary, high binary, low binary")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(request, "bucket int, known int, classes binary, sizes binary, counts binary, high binary, low binary")
+
+
+def _arrays(table: pa.Table, **kinds: str) -> dict[str, np.ndarray]:
+    return {name: np.frombuffer(b"".join(table.column(name).to_pylist()), kind) for name, kind in kinds.items()}
+
+
+def _starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
 def _shared(requests: DataFrame, buckets: int) -> DataFrame:
-    """class, n, shingles: what each bucket found to be shared by two classes or more."""
+    """What each bucket found to be shared by two classes or more, packed by the place that gathers a class."""
 
     def lookup(table: pa.Table) -> pa.Table:
-        kinds, parts = ("<i8", "<u4", "<u2", "<u4"), {}
-        for name, kind in zip(("classes", "counts", "high", "low"), kinds, strict=True):
-            parts[name] = [np.frombuffer(x, kind) for x in table.column(name).to_pylist()]
-        known = np.repeat(np.array(table.column("known").to_pylist(), np.int64), [len(x) for x in parts["high"]])
-        bucket = np.repeat(np.array(table.column("bucket").to_pylist(), np.int64), [len(x) for x in parts["high"]])
-        cls = np.repeat(np.concatenate(parts["classes"]), np.concatenate(parts["counts"]))
-        key = (np.concatenate(parts["high"]).astype(U) << U(32)) | np.concatenate(parts["low"])
-        key = key * U(buckets) + np.where(known >= 0, known, bucket).astype(U)
+        held = _arrays(table, classes="<i8", sizes="<u4", counts="<u4", high="<u2", low="<u4")
+        per_row = [len(x) // 4 for x in table.column("low").to_pylist()]
+        known, bucket = (np.repeat(np.array(table.column(c).to_pylist(), np.int64), per_row) for c in ("known", "bucket"))
+        cls, n = np.repeat(held["classes"], held["counts"]), np.repeat(held["sizes"], held["counts"])
         sure = known >= 0
+        key = ((held["high"].astype(U) << U(32)) | held["low"]) * U(buckets) + np.where(sure, known, bucket).astype(U)
         asked = np.flatnonzero(~sure)
         if len(asked):
             asked = asked[np.argsort(key[asked])]
-            k, c = key[asked], cls[asked]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            two = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-            sure[asked] = np.repeat(two, np.diff(np.append(first, len(k))))
-        key, cls = key[sure], cls[sure]
+            first = _starts(key[asked])
+            two = np.minimum.reduceat(cls[asked], first) != np.maximum.reduceat(cls[asked], first)
+            sure[asked] = np.repeat(two, np.diff(np.append(first, len(asked))))
+        key, cls, n = key[sure], cls[sure], n[sure]
+        place = (cls.view(U) % U(buckets)).astype(np.int64)
+        order = np.lexsort((cls, place))
+        key, cls, n, place = key[order], cls[order], n[order], place[order]
+        edges, rows = np.append(_starts(place), len(place)), []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            first = _starts(cls[a:b])
+            rows.append((int(place[a]), cls[a:b][first].tobytes(), n[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), key[a:b].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["place", "classes", "sizes", "counts", "shingles"])
+
+    return requests.groupBy("bucket").applyInArrow(lookup, "place int, classes binary, sizes binary, counts binary, shingles binary")
+
+
+def _gathered(shared: DataFrame, percent: int) -> DataFrame:
+    """class, n, shingles (sorted) of the classes whose shared shingles are enough for a link."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        held = _arrays(table, classes="<i8", sizes="<u4", counts="<u4", shingles="<u8")
+        cls, n, key = np.repeat(held["classes"], held["counts"]), np.repeat(held["sizes"], held["counts"]), held["shingles"]
         order = np.lexsort((key, cls))
-        key, cls = key[order], cls[order]
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        key, cls = key[first], cls[first]
-        starts = np.flatnonzero(np.concatenate([[True], cls[1:] != cls[:-1]])) if len(cls) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(cls))[: len(starts)]
-        packed = [key[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-        return pa.table({"class": pa.array(cls[starts]), "shingles": pa.array(packed, pa.binary())})
-
-    return requests.groupBy("bucket").applyInArrow(lookup, "class bigint, shingles binary")
+        cls, n, key = cls[order], n[order].astype(np.int64), key[order]
+        once = np.ones(len(key), bool)
+        once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+        cls, n, key = cls[once], n[once], key[once]
+        edges = np.append(_starts(cls), len(cls))
+        chosen = [(int(cls[a]), int(n[a]), key[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a >= needed(n[a], percent)]
+        columns = list(zip(*chosen, strict=True)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["class", "n", "shingles"])
 
-
-def _joined(lists: list[bytes]) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(lists), U))
+    return shared.groupBy("place").applyInArrow(gather, "class bigint, n bigint, shingles binary")
 
 
 def _links(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
@@ -237,18 +257,7 @@ def _candidates(docs: DataFrame, signed: DataFrame, width: int, percent: int, te
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // BUCKET_SHINGLES))
-    shared, _ = written(_shared(_requests(docs, width, buckets, text_col).repartition(buckets, "bucket"), buckets), "shared")
-    sizes = signed.groupBy("class").agg(F.first("n_shingles").alias("n"))
-    enough = (
-        shared.groupBy("class").agg(F.sum(F.floor(F.octet_length("shingles") / 8)).alias("held"))
-        .join(sizes, "class").where(F.col("held") * 100 >= F.col("n") * percent).select("class", "n")
-    )
-
-    @F.pandas_udf("binary")
-    def whole(lists):
-        return lists.map(lambda x: _joined(list(x)).tobytes())
-
-    return shared.join(enough, "class").groupBy("class", "n").agg(F.collect_list("shingles").alias("lists")).select("class", "n", whole("lists").alias("shingles"))
+    return _gathered(_shared(_requests(docs, width, buckets, text_col).repartition(buckets, "bucket"), buckets), percent)
 
 
 def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
@@ -262,7 +271,7 @@ def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent
 
     keyed = survivors.withColumn("least", F.explode(least_hashes("shingles")))
     held = keyed.groupBy("least").agg(F.count("*").alias("held")).where("held > 1")
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("held") / GROUP_MEMBERS))
+    chunk = F.pmod(F.xxhash64("class", "least"), F.ceil(F.col("held") / GROUP_MEMBERS))  # other chunks for either hash
     chunked = keyed.join(held, "least").withColumn("group", F.xxhash64("least", chunk))
     near, _ = written(_group_links(chunked.repartition("group").sortWithinPartitions("group", "n", "class"), percent), "links")
     component = connected_components(near)
@@ -285,11 +294,16 @@ def _matrix_links(grouped: DataFrame, percent: int) -> DataFrame:
 
         return shingles.combine(n, first)
 
-    matrix = grouped.select(F.explode(prefix("shingles", "n")).alias("token"), "group", "component", "n").groupBy("token", "group", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = F.octet_length("shingles") / 8
+    rows = grouped.select(F.posexplode(prefix("shingles", "n")).alias("at", "token"), "group", "component", "n", held.cast("bigint").alias("held"))
+    # rest: the most shingles that a member has from here on; a pair's first common shingle bounds its overlap by them
+    matrix = rows.groupBy("token", "group", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("held") - F.col("at")).alias("rest"))
     mixed = matrix.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("token")
     matrix, _ = written(matrix.join(mixed, "token"), "matrix")
-    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "component", "low", "high"))) for k in "ab")
+    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "component", "low", "high", "rest"))) for k in "ab")
+    overlap = F.least("rest_a", "rest_b")
     near = (F.col("component_a") < F.col("component_b")) & (F.col("low_a") * percent <= F.col("high_b") * 100) & (F.col("low_b") * percent <= F.col("high_a") * 100)
+    near = near & (100 * overlap >= percent * (F.col("low_a") + F.col("low_b") - overlap))
     pairs, _ = written(left.join(right, "token").where(near).select("group_a", "group_b").distinct(), "pairs")
     packed = grouped.join(pairs.select(F.col("group_a").alias("group")).union(pairs.select("group_b")).distinct(), "group", "left_semi").groupBy("group").agg(F.collect_list(F.struct("class", "n", "shingles")).alias("members"))
 
@@ -321,5 +335,12 @@ def near_duplicate_components(docs: DataFrame, *, width: int = 5, percent: int =
     return found.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component"))
 
 
+def distinct_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that have the least id of their component."""
+    found = near_duplicate_components(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
+    first = found.where("id <=> component").select(F.col("id").alias("__first")).distinct()
+    return docs.join(first, docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
+
+
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicate_components(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
