@@ -36,6 +36,8 @@ from gritstone.llm.words import GRAM_CODE, U, gram_hashes, mix, words_of
 #: Shingles a bucket receives on average, and members of a group.
 BUCKET_SHINGLES, GROUP_MEMBERS = 1_000_000, 128
 REQUEST_BYTES = 2 << 20
+#: Shingles of a class that follow each other in a request, and rows that may be broadcast.
+RUN, BROADCAST_ROWS = 255, 100_000
 #: A shingle that this many texts of a slice have, and this share of them, sends two witnesses only.
 FREQUENT_TEXTS, FREQUENT_SHARE = 32, 0.02
 
@@ -87,19 +89,25 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 
 def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataFrame:
-    """bucket, known, classes, their sizes and counts, high and low halves of shingles; packed, shingles class after class."""
+    """bucket, known, classes and their counts, high and low halves of shingles; packed, shingles class after class.
+
+    A class comes again after RUN of its shingles, so that a count takes one byte.
+    """
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
 
-        def emit(bucket, known, classes, sizes, doc, shingles):
-            starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-            counts = np.diff(np.append(starts, len(doc))).astype("<u4")
-            rows.append((bucket, known, classes[doc[starts]].tobytes(), sizes[doc[starts]].tobytes(), counts.tobytes(), (shingles >> U(32)).astype("<u2").tobytes(), shingles.astype("<u4").tobytes()))
+        def emit(bucket, known, classes, doc, shingles):
+            starts = _starts(doc)
+            ends = np.append(starts[1:], len(doc))
+            if (ends - starts).max() > RUN:
+                starts = np.concatenate([np.arange(a, b, RUN) for a, b in zip(starts, ends, strict=True)])
+            counts = np.diff(np.append(starts, len(doc))).astype("u1")
+            rows.append((bucket, known, classes[doc[starts]].tobytes(), counts.tobytes(), (shingles >> U(32)).astype("<u2").tobytes(), shingles.astype("<u4").tobytes()))
 
         for k, batch in enumerate(text_slices(batches, "text", REQUEST_BYTES)):
             shingles, bounds = shingle_sets(batch.column(0), width)
-            classes, sizes = set_keys(shingles, bounds), np.diff(bounds).astype("<u4")
+            classes = set_keys(shingles, bounds)
             doc = np.repeat(np.arange(len(classes)), np.diff(bounds))
             once = np.zeros(len(classes), bool)
             once[np.unique(classes, return_index=True)[1]] = True
@@ -121,15 +129,15 @@ def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataF
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             for b in np.flatnonzero(np.diff(edges)):
                 at = by[edges[b] : edges[b + 1]]
-                emit(int(b), -1, classes, sizes, doc[at], rest[at])
+                emit(int(b), -1, classes, doc[at], rest[at])
             for b in np.unique(bucket[often]):
                 at = np.flatnonzero(often & (bucket == b))
-                emit(buckets + (int(classes[0]) + k) % buckets, int(b), classes, sizes, doc[at], rest[at])
+                emit(buckets + (int(classes[0]) + k) % buckets, int(b), classes, doc[at], rest[at])
             for at in range(0, len(rows), 256):
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "known", "classes", "sizes", "counts", "high", "low"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "known", "classes", "counts", "high", "low"])
             rows.clear()
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(request, "bucket int, known int, classes binary, sizes binary, counts binary, high binary, low binary")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(request, "bucket int, known int, classes binary, counts binary, high binary, low binary")
 
 
 def _arrays(table: pa.Table, **kinds: str) -> dict[str, np.ndarray]:
@@ -145,10 +153,10 @@ def _shared(requests: DataFrame, buckets: int) -> DataFrame:
     """What each bucket found to be shared by two classes or more, packed by the place that gathers a class."""
 
     def lookup(table: pa.Table) -> pa.Table:
-        held = _arrays(table, classes="<i8", sizes="<u4", counts="<u4", high="<u2", low="<u4")
+        held = _arrays(table, classes="<i8", counts="u1", high="<u2", low="<u4")
         per_row = [len(x) // 4 for x in table.column("low").to_pylist()]
         known, bucket = (np.repeat(np.array(table.column(c).to_pylist(), np.int64), per_row) for c in ("known", "bucket"))
-        cls, n = np.repeat(held["classes"], held["counts"]), np.repeat(held["sizes"], held["counts"])
+        cls = np.repeat(held["classes"], held["counts"])
         sure = known >= 0
         key = ((held["high"].astype(U) << U(32)) | held["low"]) * U(buckets) + np.where(sure, known, bucket).astype(U)
         asked = np.flatnonzero(~sure)
@@ -157,37 +165,39 @@ def _shared(requests: DataFrame, buckets: int) -> DataFrame:
             first = _starts(key[asked])
             two = np.minimum.reduceat(cls[asked], first) != np.maximum.reduceat(cls[asked], first)
             sure[asked] = np.repeat(two, np.diff(np.append(first, len(asked))))
-        key, cls, n = key[sure], cls[sure], n[sure]
-        place = (cls.view(U) % U(buckets)).astype(np.int64)
+        key, cls = key[sure], cls[sure]
+        place = cls % buckets
         order = np.lexsort((cls, place))
-        key, cls, n, place = key[order], cls[order], n[order], place[order]
+        key, cls, place = key[order], cls[order], place[order]
         edges, rows = np.append(_starts(place), len(place)), []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             first = _starts(cls[a:b])
-            rows.append((int(place[a]), cls[a:b][first].tobytes(), n[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), key[a:b].tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["place", "classes", "sizes", "counts", "shingles"])
+            rows.append((int(place[a]), cls[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), key[a:b].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["place", "classes", "counts", "shingles"])
 
-    return requests.groupBy("bucket").applyInArrow(lookup, "place int, classes binary, sizes binary, counts binary, shingles binary")
+    return requests.groupBy("bucket").applyInArrow(lookup, "place int, classes binary, counts binary, shingles binary")
 
 
-def _gathered(shared: DataFrame, percent: int) -> DataFrame:
-    """class, n, shingles (sorted) of the classes whose shared shingles are enough for a link."""
+def _gathered(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """class, n, shingles (sorted) of the classes whose shared shingles are enough for a link; sizes: place, class, n."""
 
-    def gather(table: pa.Table) -> pa.Table:
-        held = _arrays(table, classes="<i8", sizes="<u4", counts="<u4", shingles="<u8")
-        cls, n, key = np.repeat(held["classes"], held["counts"]), np.repeat(held["sizes"], held["counts"]), held["shingles"]
+    def gather(table: pa.Table, sizes: pa.Table) -> pa.Table:
+        held = _arrays(table, classes="<i8", counts="<u4", shingles="<u8")
+        cls, key = np.repeat(held["classes"], held["counts"]), held["shingles"]
         order = np.lexsort((key, cls))
-        cls, n, key = cls[order], n[order].astype(np.int64), key[order]
+        cls, key = cls[order], key[order]
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        cls, n, key = cls[once], n[once], key[once]
+        cls, key = cls[once], key[once]
+        sizes = sizes.sort_by("class")
+        n = sizes.column("n").to_numpy()[np.searchsorted(sizes.column("class").to_numpy(), cls)] if len(cls) else np.zeros(0, np.int64)
         edges = np.append(_starts(cls), len(cls))
         chosen = [(int(cls[a]), int(n[a]), key[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a >= needed(n[a], percent)]
         columns = list(zip(*chosen, strict=True)) or [()] * 3
         return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["class", "n", "shingles"])
 
-    return shared.groupBy("place").applyInArrow(gather, "class bigint, n bigint, shingles binary")
+    return shared.groupBy("place").cogroup(sizes.groupBy("place")).applyInArrow(gather, "class bigint, n bigint, shingles binary")
 
 
 def _links(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
@@ -257,7 +267,8 @@ def _candidates(docs: DataFrame, signed: DataFrame, width: int, percent: int, te
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // BUCKET_SHINGLES))
-    return _gathered(_shared(_requests(docs, width, buckets, text_col).repartition(buckets, "bucket"), buckets), percent)
+    sizes = signed.select("class", F.col("n_shingles").alias("n")).distinct().withColumn("place", F.pmod("class", F.lit(buckets)).cast("int"))
+    return _gathered(_shared(_requests(docs, width, buckets, text_col).repartition(buckets, "bucket"), buckets), sizes, percent)
 
 
 def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
@@ -270,16 +281,19 @@ def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent
         return shingles.map(lambda x: [int(mix(np.frombuffer(x, U) ^ U(salt)).min().view(np.int64)) for salt in (0x1F83D9AB, 0x5BE0CD19)])
 
     keyed = survivors.withColumn("least", F.explode(least_hashes("shingles")))
-    held = keyed.groupBy("least").agg(F.count("*").alias("held")).where("held > 1")
-    chunk = F.pmod(F.xxhash64("class", "least"), F.ceil(F.col("held") / GROUP_MEMBERS))  # other chunks for either hash
-    chunked = keyed.join(held, "least").withColumn("group", F.xxhash64("least", chunk))
+    large, _ = written(keyed.groupBy("least").agg(F.count("*").alias("held")).where(F.col("held") > GROUP_MEMBERS), "large-groups")
+    if large.count() <= BROADCAST_ROWS:  # else shingles are shuffled once more
+        large = F.broadcast(large)
+    chunk = F.pmod(F.xxhash64("class", "least"), F.ceil(F.coalesce("held", F.lit(1)) / GROUP_MEMBERS))  # other chunks for either hash
+    chunked = keyed.join(large, "least", "left").withColumn("group", F.xxhash64("least", chunk))
     near, _ = written(_group_links(chunked.repartition("group").sortWithinPartitions("group", "n", "class"), percent), "links")
     component = connected_components(near)
 
-    places = survivors.join(component.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    places = survivors.select("class").join(component.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     members = places.groupBy("component").agg(F.count("*").alias("size"))
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / GROUP_MEMBERS))
-    grouped, grouped_path = written(places.join(members, "component").withColumn("group", F.xxhash64("component", chunk)), "groups")
+    named = places.join(members, "component").select("class", "component", F.xxhash64("component", chunk).alias("group"))
+    grouped, _ = written(survivors.join(named, "class"), "groups")
     return near.union(_matrix_links(grouped, percent))
 
 
