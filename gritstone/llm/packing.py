@@ -2,9 +2,9 @@
 
 All that decides a packing is how many pieces there are of each length, at most `capacity` numbers however many
 documents there are. The plan is made from these counts: which combinations of lengths fill a sequence, and how often
-each is used. Sums of one, two and three lengths are indexed by value; a piece (largest first) takes the combination that
-exactly fills its gap, as often as the counts of all its members allow; what stays open takes the largest lengths that
-fit. Documents then meet the plan by the rank of a piece among those of its length, which needs no sort: a rank is
+each is used. A piece (largest first) takes every combination of one, two or three lengths that exactly fills its gap, the
+fewest and most balanced first, as often as the counts of all its members allow; what stays open takes the largest lengths
+that fit. Documents then meet the plan by the rank of a piece among those of its length, which needs no sort: a rank is
 what the task has seen, plus what earlier tasks of the same write have counted. Only lengths and ranks are shuffled,
 never texts or ids.
 
@@ -62,29 +62,33 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
     return rows.mapInArrow(pieces, f"id {kind}, piece int, start bigint, length bigint, ids binary, task int, rank bigint")
 
 
-def combination_index(lengths: list[int], capacity: int, per_sum: int = 6) -> dict[int, list[tuple[int, ...]]]:
-    """Sum -> combinations of one, two or three of the lengths, the fewest and most balanced first."""
-    index: dict[int, list[tuple[int, ...]]] = defaultdict(list)
-    for a in lengths:
-        index[a].append((a,))
-    for k, a in enumerate(lengths):
-        for b in lengths[k:]:
-            if a + b <= capacity and len(index[a + b]) < per_sum:
-                index[a + b].append((a, b))
-    pairs = {s: [c for c in found if len(c) == 2] for s, found in index.items()}
-    for a in lengths:
-        for s, found in pairs.items():
-            if a + s <= capacity and len(index[a + s]) < 2 * per_sum:
-                index[a + s] += [(a, *c) for c in found[:2] if a <= c[0]]
-    return index
+def fillings(present: np.ndarray, gap: int, largest: int, size: int) -> np.ndarray:
+    """All rows of `size` present lengths that add up to the gap, ascending, none above the largest; the most balanced first."""
+    lengths = np.flatnonzero(present)
+    low, heads = lengths[lengths * 2 <= gap], np.zeros((1, 0), np.int64)
+    if size == 2:
+        heads = low[:, None]
+    if size == 3:
+        least = lengths[lengths * 3 <= gap][:, None]
+        i, j = np.nonzero((least <= low) & (least + 2 * low <= gap))
+        heads = np.column_stack([least[i, 0], low[j]])
+    last = gap - heads.sum(axis=1)
+    rows = np.column_stack([heads, last])[(last <= largest) & present[last]]
+    return rows[np.argsort(rows[:, -1] - rows[:, 0], kind="stable")]
 
 
 def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), covering the counts exactly."""
-    left, plan = defaultdict(int, counts), []
+    """(lengths of one sequence, how many such sequences), covering the counts exactly.
+
+    Once all combinations of a length are tried, no more of them can open up, as counts only fall. So the combinations
+    of up to four lengths that fill a sequence are each met at their largest length, and none is left out.
+    """
+    left, plan = np.zeros(capacity + 1, np.int64), []
+    for x, n in counts.items():
+        left[x] = n
 
     def use(parts: tuple[int, ...]) -> bool:
-        times = min(left[x] // parts.count(x) for x in set(parts))
+        times = min(int(left[x]) // parts.count(x) for x in set(parts))
         if times:
             plan.append((parts, times))
             for x in parts:
@@ -92,12 +96,20 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
         return times > 0
 
     use((capacity,))
-    index = combination_index(sorted(k for k, n in left.items() if n), capacity)
-    for length in sorted(counts, reverse=True):
-        for parts in index.get(capacity - length, ()):
-            if left[length]:
-                use((length, *parts))
-    lengths = sorted((k for k, n in left.items() if n), reverse=True)
+    for length in sorted((k for k in counts if k < capacity), reverse=True):
+        for size in (1, 2, 3):
+            if not left[length]:
+                break
+            rows = fillings(left > 0, capacity - length, length, size)
+            rows = np.column_stack([rows, np.full(len(rows), length)])
+            # how many of a length a row needs, up to each of its places
+            need = np.ones_like(rows)
+            for k in range(1, size + 1):
+                need[:, k] += need[:, k - 1] * (rows[:, k] == rows[:, k - 1])
+            while (open_rows := (left[rows] >= need).all(axis=1)).any():
+                rows, need = rows[open_rows], need[open_rows]
+                use(tuple(map(int, rows[0, ::-1])))
+    lengths = sorted((k for k in counts if left[k]), reverse=True)
     while lengths := [k for k in lengths if left[k]]:
         parts, room = [lengths[0]], capacity - lengths[0]
         while room and (fits := [k for k in lengths if k <= room and left[k] > parts.count(k)]):
@@ -124,8 +136,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end
     """Every piece of every document with its place: id, piece, start, length, the payload, sequence_id, offset.
 
     payload: columns made from ``ids`` (little-endian 32-bit) where the pieces are read; the ids themselves by default.
-    The pieces are written once to the shared folder. The driver holds one count per length and the plan, which has
-    at most a few combinations per length; both are bounded by `capacity`, not by the number of documents.
+    The pieces are written once to the shared folder. The driver holds one count per length, the
+    plan, which has at most a few combinations per length, and one length's combinations (under capacity ** 2 / 12); all are
+    bounded by `capacity`, not by the number of documents.
     """
     spark = docs.sparkSession
     pieces, _ = written(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")

@@ -103,3 +103,34 @@ def test_plan_uses_exact_complements():
             used[x] += times
     assert used == {1000: 3, 24: 1, 12: 4, 8: 3, 4: 1, 512: 3}
     assert sum(t for p, t in plan) == 5
+
+
+@pytest.mark.parametrize("which", ["balanced", "thirds", "dense", "sparse"])
+def test_plan_leaves_no_exact_complement(which):
+    rng = np.random.default_rng(12)
+    ends = {k: 1 for k in range(1, 7)} | {424 - k: 1 for k in range(1, 7)}
+    counts = {
+        "balanced": ends | {600: 50, 200: 44, 224: 44, 300: 50},
+        "thirds": {k: 1 for k in range(1, 20)} | {341: 40, 342: 20, 400: 30},
+        "dense": {k: int(n) for k, n in enumerate(rng.integers(1, 40, 1023), 1)},
+        "sparse": {int(k): int(n) for k, n in zip(rng.choice(np.arange(150, 1000), 90, replace=False), rng.integers(1, 500, 90))},
+    }[which]
+    used, rest = defaultdict(int), defaultdict(int)
+    plan = packing.plan_sequences(dict(counts), 1024)
+    for parts, times in plan:
+        assert sum(parts) <= 1024 and times > 0
+        for x in parts:
+            used[x] += times
+            if sum(parts) < 1024 or len(parts) > 4:
+                rest[x] += times
+    assert used == counts
+    fits = lambda parts: all(parts.count(x) <= rest[x] for x in parts)
+    pairs = [(a, b) for a in rest for b in rest if a <= b and fits((a, b))]
+    by_sum = defaultdict(list)
+    for p in pairs:
+        by_sum[sum(p)].append(p)
+    assert not any(a == 1024 or rest.get(1024 - a) and fits((a, 1024 - a)) for a in list(rest))
+    assert not any(rest.get(c := 1024 - sum(p), 0) and fits((*p, c)) for p in pairs)
+    assert not any(fits((*p, *q)) for p in pairs for q in by_sum.get(1024 - sum(p), ()))
+    if which == "balanced":
+        assert sum(t for _, t in plan) == 67
