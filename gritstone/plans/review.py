@@ -106,6 +106,7 @@ COLUMNS = ["amount", "balance"]
 SCORE = "1 / (1 + exp(-(-0.5 + {a} / 4e5 - {b} / 2e4)))"
 register("partial_dependence", f" SELECT segment, g AS value, {r('avg(' + SCORE.format(a='g', b='balance') + ')')} AS mean_score FROM book, (SELECT unnest([5e4, 1e5, 2e5, 4e5]) AS g) GROUP BY 1, 2", lambda b: explain.partial_dependence(b, COLUMNS, "amount", [5e4, 1e5, 2e5, 4e5], fixed_score, ("segment",)))
 register("individual_curves", f" SELECT id, g AS value, {r(SCORE.format(a='g', b='balance'))} AS score, {r(SCORE.format(a='g', b='balance') + ' - ' + SCORE.format(a='5e4', b='balance'))} AS centred FROM book, (SELECT unnest([5e4, 2e5]) AS g) WHERE id % 50 = 1", lambda b: explain.individual_curves(b.where("id % 50 = 1"), COLUMNS, "id", "amount", [5e4, 2e5], fixed_score))
+register("individual_curves_every_row", f" SELECT id, g AS value, {r(SCORE.format(a='g', b='balance'))} AS score, {r(SCORE.format(a='g', b='balance') + ' - ' + SCORE.format(a='5e4', b='balance'))} AS centred FROM book, (SELECT unnest([5e4, 2e5]) AS g)", lambda b: explain.individual_curves(b, COLUMNS, "id", "amount", [5e4, 2e5], fixed_score))
 register("two_way_dependence", f" SELECT x AS a, y AS b, {r('avg(' + SCORE.format(a='x', b='y') + ')')} AS mean_score FROM book, (SELECT unnest([1e5, 3e5]) AS x), (SELECT unnest([0.0::DOUBLE, 5e3]) AS y) GROUP BY 1, 2", lambda b: explain.two_way(b, COLUMNS, "amount", "balance", [1e5, 3e5], [0.0, 5e3], fixed_score))
 register("accumulated_effects", None, lambda b: explain.accumulated_effects(b, COLUMNS, "amount", 5, fixed_score))
 register("marginal_effect", f" SELECT {r('avg((' + SCORE.format(a='(amount + 1000)', b='balance') + ' - ' + SCORE.format(a='(amount - 1000)', b='balance') + ') / 2000)', 12)} AS effect, count(amount) AS n FROM book", lambda b: explain.marginal_effect(b, COLUMNS, "amount", 1000.0, fixed_score), 12)

@@ -39,3 +39,8 @@ def test_query(spark, sf, duck, name):
     for a, b in zip(got, want):
         for x, y in zip(a, b):
             assert x == y or isinstance(x, float) and isinstance(y, float) and math.isclose(x, y, rel_tol=1e-12), (sorted(names), a, b)
+
+
+def test_every_row_has_a_curve(spark, sf):
+    ids = {r[0] for r in QUERIES["individual_curves_every_row"](spark, sf).select("id").collect()}
+    assert ids == {r[0] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey").collect()}
