@@ -2,7 +2,8 @@
 
 Both public tokenizers cut a text at white space before they merge, so the ids of a text are those of its pieces in
 turn. A piece is looked up in a bounded per-worker table and only a new one goes through the library. Texts with white
-space other than single spaces and newlines go through the library whole. Strings of special tokens are ordinary text.
+space other than single spaces and newlines go through the library whole, and so do texts that hold the string of an
+added token, which the library turns into that token's id.
 """
 
 from __future__ import annotations
@@ -46,7 +47,6 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
@@ -56,6 +56,8 @@ class PieceTokenizer:
         self.whole = whole
         self.drops_space = whole("a b") == whole("a\nb") == whole("a") + whole("b")
         self.lowers = whole("A") == whole("a")
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.marks = _Pieces(lambda p: self._bytes(self.whole(p)))
         self.inner = _Pieces(lambda p: self._ids("", p) if self.drops_space or p[0] == "\n" else self._ids(" ", p))
 
@@ -77,7 +79,7 @@ class PieceTokenizer:
         """The ids of one text, little-endian, of this tokenizer's dtype."""
         if not text:
             return b""
-        if any(c in text for c in _ODD_SPACE):
+        if any(c in text for c in _ODD_SPACE) or self.added and self.added.search(text):
             return self._bytes(self.whole(text))
         if self.drops_space:
             return b"".join(map(self.inner.__getitem__, text.split()))
