@@ -4,7 +4,8 @@ All that decides a packing is how many pieces there are of each length, at most
 documents there are. The plan is made from these counts: which combinations of lengths fill a sequence, and how often
 each is used. A piece (largest first) takes every combination of one, two or three lengths that exactly fills its gap, the
 fewest and most balanced first, as often as the counts of all its members allow; what stays open takes the largest lengths
-that fit. Documents then meet the plan by the rank of a piece among those of its length, which needs no sort: a rank is
+that fit. Exact triples use up short pieces, which can leave worse fits for the rest where there are few pieces, so the
+plan is also made with exact pairs and with exact singles only, and the one with the fewest sequences is kept. Documents then meet the plan by the rank of a piece among those of its length, which needs no sort: a rank is
 what the task has seen, plus what earlier tasks of the same write have counted. Only lengths and ranks are shuffled,
 never texts or ids.
 
@@ -77,11 +78,16 @@ def fillings(present: np.ndarray, gap: int, largest: int, size: int) -> np.ndarr
     return rows[np.argsort(rows[:, -1] - rows[:, 0], kind="stable")]
 
 
-def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of one sequence, how many such sequences), covering the counts exactly.
+def tightest_plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with the fewest sequences of those with exact fillings of up to three, two or one length."""
+    return min((plan_sequences(counts, capacity, most) for most in (3, 2, 1)), key=lambda plan: sum(times for _, times in plan))
+
+
+def plan_sequences(counts: dict[int, int], capacity: int, most: int = 3) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths of one sequence, how many such sequences), covering the counts exactly; gaps are filled by up to `most` lengths.
 
     Once all combinations of a length are tried, no more of them can open up, as counts only fall. So the combinations
-    of up to four lengths that fill a sequence are each met at their largest length, and none is left out.
+    of up to most + 1 lengths that fill a sequence are each met at their largest length, and none is left out.
     """
     left, plan = np.zeros(capacity + 1, np.int64), []
     for x, n in counts.items():
@@ -97,7 +103,7 @@ def plan_sequences(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
 
     use((capacity,))
     for length in sorted((k for k in counts if k < capacity), reverse=True):
-        for size in (1, 2, 3):
+        for size in range(1, most + 1):
             if not left[length]:
                 break
             rows = fillings(left > 0, capacity - length, length, size)
@@ -144,7 +150,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end
     pieces, _ = written(token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = spark.sparkContext.broadcast(plan_slots(plan_sequences(counts, capacity)))
+    slots = spark.sparkContext.broadcast(plan_slots(tightest_plan(counts, capacity)))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 

@@ -104,6 +104,20 @@ def test_plan_uses_exact_complements():
     assert sum(t for p, t in plan) == 5
 
 
+def test_tightest_plan_is_whole_and_no_longer_than_others():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        counts = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 1025), 200, replace=False), rng.integers(1, 6, 200))}
+        used, plan = defaultdict(int), packing.tightest_plan(dict(counts), 1024)
+        for parts, times in plan:
+            assert sum(parts) <= 1024
+            for x in parts:
+                used[x] += times
+        assert used == counts
+        sizes = [sum(t for _, t in packing.plan_sequences(dict(counts), 1024, most)) for most in (1, 2, 3)]
+        assert sum(t for _, t in plan) == min(sizes)
+
+
 @pytest.mark.parametrize("which", ["balanced", "thirds", "dense", "sparse"])
 def test_plan_leaves_no_exact_complement(which):
     rng = np.random.default_rng(12)
