@@ -5,15 +5,17 @@ walks over a word sequence for 3n steps and, at each, repeats or passes the curr
 and word says; a few edits then leave most of the walk the same, so edit distance becomes Hamming distance. LSH samples
 positions of the walk and looks the sampled words up among the items'. Walks and samples are repeated as often as a
 simulation of random edits on the items shows to be needed for the target recall; every candidate is then verified
-by its exact edit distance, so nothing is reported that is no match.
+by its exact edit distance, so nothing is reported that is no match. Where the recall is not reached in MAX_REPEATS,
+all windows that pass the test below are verified against all items of that length. Items with no edits allowed need no
+embedding: they are looked up whole.
 
 Before that a lossless test skips almost all windows: of an item's n - 1 word pairs, e edits leave at least n - 1 - 2e,
 so a window with fewer pairs of items of that length (each counted as often as one item has it) can't match. The items are the query set: they are taken in blocks of
-`block_items`, each block against all texts; no shuffle is needed but to keep one match per text and item.
+`block_items` and about `block_words` words, which bounds what is broadcast, each block against all texts; no shuffle is needed but to keep one match per text and item.
 
-Cases: null or empty texts and items match nothing; items of fewer than five words are not searched; equal items are
+Cases: null or empty texts and items match nothing; equal items are
 reported each; repeated rows and ids are searched each, with one match per id and item; empty tables give no rows; extra columns
-are left out (`clean_documents` keeps them).
+are left out (`clean_documents` keeps them); a max_ratio that may leave no word pair of an item (n - 1 - 2e < 1) is an error.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gritstone.llm.common import clipped, slices_with_texts
 from gritstone.llm.words import GRAM_CODE, U, mix, words_of
 
-MIN_WORDS = 5
 SAMPLED = 3  # positions per LSH key
 MAX_REPEATS = 400
+TRIALS = 256
+#: Numbers that one step of numpy work holds at a time.
+CELLS = 1 << 22
 _FILTER = 1 << 20
 
 
@@ -53,8 +58,9 @@ def lsh_keys(words: np.ndarray, n: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     share = np.sort(np.random.default_rng(5).random((MAX_REPEATS, SAMPLED)), 1)
     picked = (share[seeds] * (3 * n)[:, None]).astype(np.int64)
     keys = np.empty(len(words), U)
-    for part in range(0, len(words), 8192):
-        rows = slice(part, part + 8192)
+    at_once = max(1, CELLS // (3 * max(words.shape[1], 1)))
+    for part in range(0, len(words), at_once):
+        rows = slice(part, part + at_once)
         walk = walks(words[rows], n[rows], seeds[rows], int(picked[rows].max()) + 1)
         held = np.take_along_axis(walk, picked[rows], 1)
         keys[rows] = mix((held * GRAM_CODE[:SAMPLED]).sum(1, dtype=U) + n[rows].astype(U) * GRAM_CODE[SAMPLED + 2] + seeds[rows].astype(U) * GRAM_CODE[SAMPLED + 3])
@@ -86,7 +92,7 @@ def edit_distances(items: np.ndarray, regions: np.ndarray) -> tuple[np.ndarray,
 
 @dataclass
 class ItemClass:
-    """The items of one length with what searching them needs."""
+    """The items of one length; repeats is 0 where every window is to be verified."""
 
     n: int
     edits: int
@@ -94,9 +100,22 @@ class ItemClass:
     words: np.ndarray
     which: np.ndarray
     repeats: int = 0
-    most: np.ndarray | None = None  # how often one of the items has each word pair at most
-    offsets: np.ndarray | None = None  # where items have a pair that may be the first to survive, pair after pair
-    bounds: np.ndarray | None = None
+
+
+@dataclass
+class PairIndex:
+    """The word pairs of all items, and for each the item lengths that have it.
+
+    An entry is a (pair, class): how often one of the class's items has the pair at most, and the offsets in an item at
+    which it may be the first pair to survive. The size is in proportion to the items' words, not to pairs x classes.
+    """
+
+    pairs: np.ndarray
+    bounds: np.ndarray  # pair -> its entries
+    of_class: np.ndarray
+    most: np.ndarray
+    offset_bounds: np.ndarray  # entry -> its offsets
+    offsets: np.ndarray
 
 
 def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -114,93 +133,153 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(out, U)
 
 
-def _set_repeats(classes: list[ItemClass], recall: float, rng: np.random.Generator, trials: int = 64) -> None:
-    """Repeat until the simulated share of items found after the most edits allowed reaches the recall."""
-    if not classes:
-        return
-    chosen = [x for own in classes for x in own.words[rng.integers(0, len(own.words), trials)]]
-    changed = [_edited(x, own.edits, rng) for own, x in zip((c for c in classes for _ in range(trials)), chosen, strict=True)]
-    both, n = padded_rows([*chosen, *changed])
-    caught = np.zeros((len(classes), trials), bool)
+def _band(edits: int) -> int:
+    """Numbers of edits that share one simulation: each of the first, then steps of a quarter."""
+    return edits if edits <= 16 else 16 + int(np.log(edits / 16) / np.log(1.25))
+
+
+def _simulated_repeats(own: ItemClass, recall: float, rng: np.random.Generator) -> int:
+    """Repeats after which the simulated share of items found after the most edits allowed reaches the recall; 0 if it doesn't."""
+    chosen = own.words[rng.integers(0, len(own.words), TRIALS)]
+    both, n = padded_rows([*chosen, *(_edited(x, own.edits, rng) for x in chosen)])
+    caught = np.zeros(TRIALS, bool)
     for seed in range(MAX_REPEATS):
         keys = lsh_keys(both, n, np.full(len(both), seed))
-        caught |= (keys[: len(chosen)] == keys[len(chosen) :]).reshape(caught.shape)
-        found = caught.mean(1) >= recall
-        for own, enough in zip(classes, found, strict=True):
-            if not own.repeats and (enough and seed >= 7 or seed == MAX_REPEATS - 1):
-                own.repeats = seed + 1
-        if all(own.repeats for own in classes):
-            break
+        caught |= keys[:TRIALS] == keys[TRIALS:]
+        if seed >= 7 and caught.mean() >= recall:
+            return seed + 1
+    return 0
+
+
+def _set_repeats(classes: list[ItemClass], recall: float, rng: np.random.Generator) -> None:
+    """Simulate, per band of edits, the lengths with the largest share of edits, which need the most repeats."""
+    bands = defaultdict(list)
+    for own in classes:
+        bands[_band(own.edits)].append(own)
+    for band in bands.values():
+        hardest = max(band, key=lambda own: (own.edits / own.n, own.n))
+        repeats = _simulated_repeats(hardest, recall, rng)
+        for own in band:
+            own.repeats = repeats
 
 
-def item_classes(texts: list[str | None], max_ratio: float, recall: float) -> tuple[list[ItemClass], np.ndarray]:
-    """Items by length, with as many LSH repetitions as the target recall needs; and the hashes of all their word pairs."""
+def item_classes(texts: list[str | None], max_ratio: float, recall: float) -> tuple[list[ItemClass], dict[int, tuple[np.ndarray, np.ndarray]], PairIndex]:
+    """Items by length, with as many LSH repetitions as the target recall needs; those without edits (per length the
+    sorted hashes and their items); and the pairs of the former."""
     words = words_of(pa.array([t or "" for t in texts], pa.large_string()))
     hashes, by = words.hashes(), defaultdict(list)
     for k, n in enumerate(words.per_doc.tolist()):
-        if n >= MIN_WORDS:
-            by[n].append(k)
-    classes, rng = [], np.random.default_rng(11)
+        by[n].append(k)
+    by.pop(0, None)
+    classes, whole, rng = [], {}, np.random.default_rng(11)
+    of_item = np.full(len(texts), -1)
     for n, which in sorted(by.items()):
         rows = np.stack([hashes[words.bounds[k] : words.bounds[k] + n] for k in which])
         edits = int(max_ratio * n + 1e-9)
-        classes.append(ItemClass(n, edits, max(1, n - 1 - 2 * edits), rows, np.array(which)))
+        if not edits:
+            keys = _whole_keys(rows)
+            order = np.argsort(keys, kind="stable")
+            whole[n] = keys[order], np.array(which)[order]
+        elif n - 1 - 2 * edits < 1:
+            raise ValueError(f"{edits} edits of {n} words may leave no word pair")
+        else:
+            of_item[which] = len(classes)
+            classes.append(ItemClass(n, edits, n - 1 - 2 * edits, rows, np.array(which)))
     _set_repeats(classes, recall, rng)
+    return classes, whole, _pair_index(words, hashes, classes, of_item)
+
+
+def _whole_keys(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of words, in place of their sequence."""
+    total = np.full(len(rows), rows.shape[1], U)
+    for j in range(rows.shape[1]):
+        total = mix(total * GRAM_CODE[j % len(GRAM_CODE)] + rows[:, j])
+    return total
+
+
+def _pair_index(words, hashes: np.ndarray, classes: list[ItemClass], of_item: np.ndarray) -> PairIndex:
     pairs = mix(hashes[:-1] * GRAM_CODE[0] + hashes[1:] * GRAM_CODE[1])
-    within = words.doc[:-1] == words.doc[1:]
-    held, times = np.unique(np.stack([pairs, words.doc[:-1].astype(U)], 1)[within], axis=0, return_counts=True)
+    within = np.flatnonzero((words.doc[:-1] == words.doc[1:]) & (of_item[words.doc[:-1]] >= 0)) if len(pairs) else np.zeros(0, np.int64)
+    held, times = np.unique(np.stack([pairs[within], words.doc[within].astype(U)], 1), axis=0, return_counts=True)
     found, place = np.unique(held[:, 0], return_inverse=True)
-    for own in classes:
-        own.most = np.zeros(len(found), np.int64)
-        mine = np.isin(held[:, 1].astype(np.int64), own.which)
-        np.maximum.at(own.most, place[mine], times[mine])
-        rows, offset = np.divmod(np.arange(len(own.words) * (2 * own.edits + 1)), 2 * own.edits + 1)
-        rows, offset = rows[offset < own.n - 1], offset[offset < own.n - 1]
-        first = words.bounds[own.which[rows]] + offset
-        starts = np.unique(np.stack([np.searchsorted(found, pairs[first]), offset], 1), axis=0)
-        own.offsets, own.bounds = starts[:, 1], np.searchsorted(starts[:, 0], np.arange(len(found) + 1))
-    return classes, found
+    entry, at = np.unique(place * max(len(classes), 1) + of_item[held[:, 1].astype(np.int64)], return_inverse=True)
+    most = np.zeros(len(entry), np.int64)
+    np.maximum.at(most, at, times)
+    firsts = []
+    for c, own in enumerate(classes):
+        span = min(2 * own.edits + 1, own.n - 1)
+        at = (words.bounds[own.which][:, None] + np.arange(span)).ravel()
+        code = np.searchsorted(found, pairs[at]) * len(classes) + c
+        firsts.append(np.unique(np.stack([np.searchsorted(entry, code), np.tile(np.arange(span), len(own.which))], 1), axis=0))
+    first = np.concatenate(firsts) if firsts else np.zeros((0, 2), np.int64)
+    first = first[np.argsort(first[:, 0], kind="stable")]
+    return PairIndex(found, np.searchsorted(entry, np.arange(len(found) + 1) * max(len(classes), 1)), entry % max(len(classes), 1), most, np.searchsorted(first[:, 0], np.arange(len(entry) + 1)), first[:, 1])
 
 
 class Searcher:
-    def __init__(self, classes: list[ItemClass], pairs: np.ndarray):
-        self.classes, self.pairs = classes, pairs
+    def __init__(self, classes: list[ItemClass], whole: dict[int, tuple[np.ndarray, np.ndarray]], index: PairIndex):
+        self.classes, self.whole, self.index = classes, whole, index
         self.maybe = np.zeros(_FILTER, bool)
-        self.maybe[(pairs & U(_FILTER - 1)).astype(np.int64)] = True
-        rows = [(c, k, seed) for c, own in enumerate(classes) for k in range(len(own.words)) for seed in range(own.repeats)]
-        if rows:
-            keys = lsh_keys(*padded_rows([classes[c].words[k] for c, k, _ in rows]), np.array([r[2] for r in rows]))
-            order = np.argsort(keys)
-            self.keys, self.item = keys[order], np.array([r[1] for r in rows])[order]
+        self.maybe[(index.pairs & U(_FILTER - 1)).astype(np.int64)] = True
+        keys, items = [], []
+        for own in classes:
+            at_once = max(1, CELLS // (own.n * max(own.repeats, 1)))
+            for part in range(0, len(own.words) if own.repeats else 0, at_once):
+                rows = np.repeat(np.arange(part, min(part + at_once, len(own.words))), own.repeats)
+                keys.append(lsh_keys(own.words[rows], np.full(len(rows), own.n), np.tile(np.arange(own.repeats), len(rows) // own.repeats)))
+                items.append(rows)
+        keys, items = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((keys, U), (items, np.int64)))
+        order = np.argsort(keys)
+        self.keys, self.item = keys[order], items[order]
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end), positions in bytes; the best match of each text and item."""
         words = words_of(texts)
-        hashes, doc = words.hashes(), words.doc
-        if len(hashes) < 2 or not len(self.pairs):
-            return []
+        hashes, doc, best = words.hashes(), words.doc, {}
+        self._whole_matches(words, hashes, best)
+        windows = self._windows(words, hashes, doc) if len(hashes) > 1 and len(self.index.pairs) else []
+        for own, row, k in self._candidates(windows, words, hashes):
+            self._verify(own, words, hashes, row, k, best)
+        return [(d, k, *found) for (d, k), found in best.items()]
+
+    def _whole_matches(self, words, hashes: np.ndarray, best: dict) -> None:
+        """The items that allow no edit, where a text has all their words in turn."""
+        for n, (keys, which) in self.whole.items():
+            if len(hashes) < n:
+                continue
+            run = _whole_keys(np.lib.stride_tricks.sliding_window_view(hashes, n))
+            low, high = (np.searchsorted(keys, run, side) for side in ("left", "right"))
+            at = np.flatnonzero((high > low) & (words.doc[: len(run)] == words.doc[n - 1 :]))
+            for a in at[np.unique(np.stack([words.doc[at], low[at]], 1), axis=0, return_index=True)[1]].tolist() if len(at) else ():
+                d = int(words.doc[a])
+                for k in which[low[a] : high[a]].tolist():
+                    best[d, k] = (0, int(words.start[a] - words.offsets[d]), int(words.end[a + n - 1] - words.offsets[d]))
+
+    def _windows(self, words, hashes: np.ndarray, doc: np.ndarray) -> list[tuple[ItemClass, np.ndarray]]:
+        """Per class the starts of windows that have as many of its pairs as a match must."""
+        index = self.index
         pairs = mix(hashes[:-1] * GRAM_CODE[0] + hashes[1:] * GRAM_CODE[1])
         at = np.flatnonzero(self.maybe[(pairs & U(_FILTER - 1)).astype(np.int64)] & (doc[:-1] == doc[1:]))
-        which = np.minimum(np.searchsorted(self.pairs, pairs[at]), len(self.pairs) - 1)
-        real = self.pairs[which] == pairs[at]
+        which = np.minimum(np.searchsorted(index.pairs, pairs[at]), len(index.pairs) - 1)
+        real = index.pairs[which] == pairs[at]
         every, which = at[real], which[real]
-        windows = []
-        for own in self.classes:
-            most = own.most[which]
-            at, pair, most = every[most > 0], which[most > 0], most[most > 0]
+        first, n = index.bounds[which], index.bounds[which + 1] - index.bounds[which]
+        entries = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        order = np.argsort(index.of_class[entries], kind="stable")
+        entries, every = entries[order], np.repeat(every, n)[order]
+        edges, windows = np.searchsorted(index.of_class[entries], np.arange(len(self.classes) + 1)), []
+        for c in np.flatnonzero(np.diff(edges)):
+            own, entry, at = self.classes[c], entries[edges[c] : edges[c + 1]], every[edges[c] : edges[c + 1]]
             if len(at) < own.pairs:
                 continue
-            since = self._counts_since(doc[at], pairs[at], most)
+            since = self._counts_since(doc[at], pairs[at], index.most[entry])
             # a pair counts for every start after its `since`, as far back as a passage with it may begin
             low = np.maximum(since, np.searchsorted(at, at - (own.n + own.edits - 2)))
             change = np.bincount(low, minlength=len(at) + 1) - np.bincount(np.arange(1, len(at) + 1), minlength=len(at) + 1)
             dense = np.cumsum(change[:-1]) >= own.pairs
-            if dense.any() and len(starts := self._starts(own, words, at[dense], pair[dense])):
+            if dense.any() and len(starts := self._starts(words, at[dense], entry[dense])):
                 windows.append((own, starts))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for own, row, k in self._candidates(windows, words, hashes):
-            self._verify(own, words, hashes, row, k, best)
-        return [(d, k, *found) for (d, k), found in best.items()]
+        return windows
 
     @staticmethod
     def _counts_since(doc: np.ndarray, pairs: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -217,17 +296,21 @@ class Searcher:
         since[order[same]] = order[earlier[same]] + 1
         return np.maximum(since, np.searchsorted(doc, doc))
 
-    @staticmethod
-    def _starts(own: ItemClass, words, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    def _starts(self, words, at: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Windows begin where an item would that has the pair: if a pair is the first of a passage to survive, edits took
         at most 2e pairs before it, and the words from it on are in line with the item's."""
-        n = own.bounds[pair + 1] - own.bounds[pair]
+        first, n = self.index.offset_bounds[entry], self.index.offset_bounds[entry + 1] - self.index.offset_bounds[entry]
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(at, n) - own.offsets[np.repeat(own.bounds[pair], n) + place]
+        starts = np.repeat(at, n) - self.index.offsets[np.repeat(first, n) + place]
         return np.unique(np.maximum(starts, np.repeat(words.bounds[words.doc[at]], n)))
 
     def _candidates(self, windows: list[tuple[ItemClass, np.ndarray]], words, hashes: np.ndarray) -> Iterator[tuple[ItemClass, np.ndarray, np.ndarray]]:
         """Per class the starts of windows and the items that share an LSH key with them; walks of all classes run together."""
+        for own, starts in (x for x in windows if not x[0].repeats):
+            for part in range(0, len(starts), at_once := max(1, CELLS // len(own.words))):
+                held = starts[part : part + at_once]
+                yield own, np.repeat(held, len(own.words)), np.tile(np.arange(len(own.words)), len(held))
+        windows = [x for x in windows if x[0].repeats]
         if not windows:
             return
         width = max(own.n for own, _ in windows)
@@ -235,8 +318,9 @@ class Searcher:
         starts = np.concatenate([starts for _, starts in windows])
         n, repeats = (np.array([getattr(own, x) for own, _ in windows])[of] for x in ("n", "repeats"))
         found = []
-        for part in range(0, len(starts), 4096):
-            rows = np.arange(part, min(part + 4096, len(starts)))
+        at_once = max(1, min(4096, CELLS // (8 * width)))
+        for part in range(0, len(starts), at_once):
+            rows = np.arange(part, min(part + at_once, len(starts)))
             index = starts[rows][:, None] + np.arange(width)
             inside = np.arange(width) < n[rows][:, None]
             real = index < words.bounds[words.doc[starts[rows]] + 1][:, None]
@@ -264,8 +348,9 @@ class Searcher:
             if seen is None or starts[row] - seen > own.edits:
                 chosen.append((row, k))
                 last[int(doc[row]), k] = int(starts[row])
-        for part in range(0, len(chosen), 2000):
-            row, k = (np.array(x) for x in zip(*chosen[part : part + 2000], strict=True))
+        at_once = max(1, min(2000, CELLS // (own.n + 4 * own.edits)))
+        for part in range(0, len(chosen), at_once):
+            row, k = (np.array(x) for x in zip(*chosen[part : part + at_once], strict=True))
             first = starts[row] - own.edits
             low, width = words.bounds[doc[row]], own.n + 4 * own.edits
             index = first[:, None] + np.arange(width)
@@ -285,27 +370,29 @@ class Searcher:
                 best[key] = min(best.get(key, found), found)
 
 
-def _item_blocks(items: DataFrame, block_items: int, item_id: str, item_text: str) -> Iterator[list]:
-    block = []
+def _item_blocks(items: DataFrame, block_items: int, block_words: int, item_id: str, item_text: str) -> Iterator[list]:
+    block, words = [], 0
     for row in clipped(items, item_id, item_text).toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) >= block_items:
+        words += len((row[1] or "").split())
+        if len(block) >= block_items or words >= block_words:
             yield block
-            block = []
+            block, words = [], 0
     if block:
         yield block
 
 
-def _searchers(docs: DataFrame, items: DataFrame, max_ratio: float, recall: float, block_items: int, item_id: str, item_text: str):
+def _searchers(docs: DataFrame, items: DataFrame, max_ratio: float, recall: float, block_items: int, block_words: int, item_id: str, item_text: str):
     """Per block of items: their ids and a broadcast searcher."""
-    for block in _item_blocks(items, block_items, item_id, item_text):
+    for block in _item_blocks(items, block_items, block_words, item_id, item_text):
         yield [x[0] for x in block], docs.sparkSession.sparkContext.broadcast(Searcher(*item_classes([x[1] for x in block], max_ratio, recall)))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, max_ratio: float = 0.2, recall: float = 0.99, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, max_ratio: float = 0.2, recall: float = 0.99, block_items: int = 20_000, block_words: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """id, item_id, distance, start, end (code points, end exclusive): the best match of each text and item."""
     rows = clipped(docs, id_col, text_col).toDF("id", "text")
     id_kind, item_kind = rows.schema["id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     schema = f"id {id_kind}, item_id {item_kind}, distance bigint, start bigint, end bigint"
 
     def searched(ids: list, held) -> DataFrame:
@@ -316,22 +403,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, max_ratio: float = 0.2, rec
                 raw = {d: texts[d].as_py().encode() for d in set(which)}
                 points = lambda d, at: len(raw[d][:at].decode())
                 yield pa.record_batch(
-                    [batch.column(0).take(pa.array(which, pa.int64())), pa.array([ids[f[1]] for f in found], pa.from_numpy_dtype(np.int64) if item_kind == "bigint" else None), pa.array([f[2] for f in found], pa.int64()), pa.array([points(f[0], f[3]) for f in found], pa.int64()), pa.array([points(f[0], f[4]) for f in found], pa.int64())],
+                    [batch.column(0).take(pa.array(which, pa.int64())), pa.array([ids[f[1]] for f in found], item_type), pa.array([f[2] for f in found], pa.int64()), pa.array([points(f[0], f[3]) for f in found], pa.int64()), pa.array([points(f[0], f[4]) for f in found], pa.int64())],
                     names=["id", "item_id", "distance", "start", "end"],
                 )
 
         return rows.mapInArrow(search, schema)
 
     found = docs.sparkSession.createDataFrame([], schema)
-    for ids, held in _searchers(docs, items, max_ratio, recall, block_items, item_id, item_text):
+    for ids, held in _searchers(docs, items, max_ratio, recall, block_items, block_words, item_id, item_text):
         found = found.union(searched(ids, held))
     first = Window.partitionBy("id", "item_id").orderBy("distance", "start", "end")
     return found.withColumn("place", F.row_number().over(first)).where("place = 1").drop("place")
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, *, max_ratio: float = 0.2, recall: float = 0.99, block_items: int = 20_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean_documents(docs: DataFrame, items: DataFrame, *, max_ratio: float = 0.2, recall: float = 0.99, block_items: int = 20_000, block_words: int = 1_000_000, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents, with all their columns, that leak no item; decided in place, without a join."""
-    for _, held in _searchers(docs, items, max_ratio, recall, block_items, item_id, item_text):
+    for _, held in _searchers(docs, items, max_ratio, recall, block_items, block_words, item_id, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch, texts in slices_with_texts(batches, text_col):
