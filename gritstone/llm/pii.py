@@ -356,7 +356,8 @@ def masked_text(text: str, spans: list[Span]) -> str:
 
 
 def masked(docs: DataFrame, *, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The documents with personal data replaced, and their length column set anew where that changed; all columns stay."""
+    """The documents with personal data replaced; all columns stay. A length column, if the table has it, is set anew where the text changed."""
+    length_col = length_col if length_col in docs.columns else None
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

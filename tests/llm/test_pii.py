@@ -80,3 +80,12 @@ def test_masked(spark):
     got = {r["doc_id"]: r for r in P.masked(docs).collect()}
     assert got[1]["text"] == "Écris à <EMAIL> ou\n<PHONE>, card <CARD>!!" and got[1]["n_chars"] == len(got[1]["text"])
     assert got[2]["text"] is None and got[3]["text"] == "nothing 12 here" and got[3]["n_chars"] == 15
+
+
+def test_masked_needs_no_length_column(spark):
+    docs = spark.createDataFrame([(1, "write to ann@example.org now", 5), (1, "write to ann@example.org now", 5), (None, None, None), (3, "", 0)], "doc_id int, text string, size int")
+    out = P.masked(docs)
+    assert out.schema == docs.schema
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [(1, "write to <EMAIL> now", 5)] * 2 + [(None, None, None), (3, "", 0)]))
+    sized = P.masked(docs, length_col="size").where("doc_id = 1").first()
+    assert sized["size"] == len("write to <EMAIL> now")
