@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import discard, written
+from gritstone.llm.common import discard, join_hot, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang each node's larger (large star) or smaller (small star) neighbours on the least of its neighbourhood."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Hang each node's larger (large star) or smaller (small star) neighbours on the least of its neighbourhood.
+
+    total: about the number of edges; the centre of a big star is a hot key.
+    """
     pairs = edges.union(edges.select("b", "a")) if large else edges.select(F.greatest("a", "b"), F.least("a", "b"))
     pairs = pairs.toDF("u", "v")
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    hung = pairs.join(least, "u").where(F.col("v") > F.col("u") if large else F.lit(True)).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("degree"))
+    hung = join_hot(pairs, least, "u", "degree", total).where(F.col("v") > F.col("u") if large else F.lit(True)).select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:
         hung = hung.union(least.select("u", "m"))
     return hung.where("a <> b").distinct()
@@ -27,13 +30,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     spark = edges.sparkSession
     now, path = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
+    seen, total = None, now.count()
     while True:
-        following, next_path = written(_star(_star(now, True), False), "edges")
+        following, next_path = written(_star(_star(now, True, total), False, total), "edges")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(spark, path)
         now, path = following, next_path
         if tuple(state) == seen or not state[0]:
             break
-        seen = tuple(state)
+        seen, total = tuple(state), state[0]
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

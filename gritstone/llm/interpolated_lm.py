@@ -8,8 +8,8 @@ counts, and the mixture is fitted to that fold. The final counts are those of al
 Texts are held in blocks of about BLOCK_BYTES, coded by the block's own vocabulary. A block asks for the counts of its
 distinct words and bigrams: each goes to the bucket of its hash, packed into binary columns, once per block however
 often the block has it, so a frequent word costs a bucket one entry per block. Buckets add up what all blocks sent and
-answer in the order of the questions. Counts are exact and grow with the corpus; words are told apart by 64-bit hashes, shortened to
-48 bits besides the bucket on the way.
+answer in the order of the questions. Counts are exact and grow with the corpus; words are told apart by 64-bit hashes, of
+which a request holds what the bucket's number leaves open.
 
 What the driver holds: the totals, and for EM the held-out tokens counted by (context bucket, both estimates in
 steps of a quarter power of two), at most some 300,000 rows whatever the input.
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gritstone.llm.common import clipped, text_slices, written
+from gritstone.llm.common import clipped, free_name, key_width, packed_keys, text_slices, unpacked_keys, written
 from gritstone.llm.words import GRAM_CODE, U, mix, words_of
 
 BLOCK_BYTES, BUCKET_KEYS = 12 << 20, 2_000_000
@@ -86,7 +86,8 @@ def _blocks(docs: DataFrame, kind: Column, id_col: str, text_col: str) -> DataFr
             if held[k]:
                 yield block(k)
 
-    rows = clipped(docs.withColumn("__kind", kind), id_col, text_col, "__kind").toDF("id", "text", "kind")
+    name = free_name(docs, "kind")
+    rows = clipped(docs.withColumn(name, kind), id_col, text_col, name).toDF("id", "text", "kind")
     id_kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(code, f"block bigint, kind int, ids array<{id_kind}>, lengths binary, vocabulary binary, low binary, high binary")
 
@@ -117,51 +118,55 @@ class _Block:
         hashes = np.concatenate([vocabulary, mix(vocabulary[pairs // n] * GRAM_CODE[0] + vocabulary[pairs % n] * GRAM_CODE[1])])
         self.counts = np.concatenate([np.bincount(self.index, minlength=n), np.bincount(number)])
         self.bucket = (hashes % U(buckets)).astype(np.int64)
-        self.keys = (hashes // U(buckets)) & U((1 << 48) - 1)
+        self.keys = hashes // U(buckets)
         self.n = n
         self.order = np.argsort(self.bucket, kind="stable")
-        self.edges = np.searchsorted(self.bucket[self.order], np.arange(buckets + 1))
+        ordered = self.bucket[self.order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        #: bucket -> the part of `order` that it is asked for; only buckets that the block needs
+        self.parts = dict(zip(ordered[first].tolist(), zip(first.tolist(), np.append(first[1:], len(ordered)).tolist(), strict=True), strict=True))
 
     def totals(self, answers: list[dict], name: str) -> tuple[np.ndarray, np.ndarray]:
         """Counts of each token and of each token's bigram, from the buckets' answers."""
         found = np.zeros(len(self.keys), np.int64)
         for x in answers:
-            found[self.order[self.edges[x["bucket"]] : self.edges[x["bucket"] + 1]]] = np.frombuffer(x[name], "<u4")
+            found[self.order[slice(*self.parts[x["bucket"]])]] = np.frombuffer(x[name], "<u4")
         return found[: self.n], found[self.n :]
 
 
 def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
+    width = key_width(buckets)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own, out = _Block(row, buckets), []
-                for b in np.flatnonzero(np.diff(own.edges)):
-                    at = own.order[own.edges[b] : own.edges[b + 1]]
-                    keys = own.keys[at]
-                    out.append((int(b), row["block"], row["kind"], int((at < own.n).sum()), _pack(keys >> U(32), "<u2"), _pack(keys & U(0xFFFFFFFF), "<u4"), _pack(own.counts[at], "<u4")))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "block", "kind", "words", "high", "low", "counts"])
+                for b, (first, last) in own.parts.items():
+                    at = own.order[first:last]
+                    out.append((b, row["block"], row["kind"], int((at < own.n).sum()), packed_keys(own.keys[at], width), _pack(own.counts[at], "<u4")))
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 2), strict=True)], names=["bucket", "block", "kind", "words", "keys", "counts"])
 
-    return blocks.select("block", "kind", "lengths", "vocabulary", "low", "high").mapInArrow(ask, "bucket int, block bigint, kind int, words int, high binary, low binary, counts binary")
+    return blocks.select("block", "kind", "lengths", "vocabulary", "low", "high").mapInArrow(ask, "bucket int, block bigint, kind int, words int, keys binary, counts binary")
 
 
-def _answers(requests: DataFrame) -> DataFrame:
+def _answers(requests: DataFrame, buckets: int) -> DataFrame:
     """Per bucket and block the counts in training (and in the fold, for its blocks); one row per bucket has totals."""
+    width = key_width(buckets)
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        sizes = [len(x["low"]) // 4 for x in rows]
-        keys = (np.frombuffer(b"".join(x["high"] for x in rows), "<u2").astype(U) << U(32)) | np.frombuffer(b"".join(x["low"] for x in rows), "<u4")
+        sizes = [len(x["keys"]) // width for x in rows]
+        keys = np.concatenate([unpacked_keys(x["keys"], width) for x in rows])
         counts = np.frombuffer(b"".join(x["counts"] for x in rows), "<u4").astype(np.int64)
         kind = np.repeat([x["kind"] for x in rows], sizes)
         starts = np.cumsum([0, *sizes])
         word = np.zeros(len(keys), bool)
         for x, at in zip(rows, starts, strict=False):
             word[at : at + x["words"]] = True
-        keys = (keys << U(1)) | word.astype(U)
-        order = np.argsort(keys)
-        ordered = keys[order]
+        order = np.concatenate([at[np.argsort(keys[at])] for at in (np.flatnonzero(~word), np.flatnonzero(word))])
+        ordered, words_last = keys[order], word[order]
         new = np.ones(len(keys), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        new[1:] = (ordered[1:] != ordered[:-1]) | (words_last[1:] != words_last[:-1])
         first, number = np.flatnonzero(new), np.empty(len(keys), np.int64)
         number[order] = np.cumsum(new) - 1
         fold = np.add.reduceat(np.where(kind == FOLD, counts, 0)[order], first)
@@ -219,7 +224,7 @@ def score_texts(docs: DataFrame, held_out: Column, fold: Column, *, id_col: str
     blocks, _ = written(_blocks(docs, kind, id_col, text_col), "blocks")
     keys = blocks.agg(F.sum(F.octet_length("low") / 2 + F.octet_length("vocabulary") / 8)).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-keys // BUCKET_KEYS)))
-    answers, _ = written(_answers(_requests(blocks, buckets).repartition(buckets, "bucket")), "answers")
+    answers, _ = written(_answers(_requests(blocks, buckets).repartition(buckets, "bucket"), buckets), "answers")
     total = answers.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_fold", "v"))).first()
     n, n_fold, v = total["n"], total["n_fold"], total["v"]
     uniform = 1 / (v + 1)

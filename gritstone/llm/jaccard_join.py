@@ -4,16 +4,19 @@
    and only classes are compared, so copies cost nothing further.
 2. Which shingles are shared: every (shingle, class) goes to the bucket of its shingle, packed into binary columns; a
    bucket sends back those that two classes have. A class of n shingles can have a partner only if at least 80 % of n
-   are shared, so all others are done. A shingle that is frequent within one task is known to be shared there and sends
-   two witnesses instead of all its classes, so that no bucket gathers the holders of a very frequent one.
+   are shared, so all others are done. A shingle that a task has met often is known to be shared: beyond FREQUENT_TEXTS
+   of its classes there, the task marks the shingle at its bucket and sends the other classes past it, so that no bucket
+   gathers the holders of a very frequent one.
 3. Similar classes meet in groups by the least hash of their shared shingles (large groups are dealt into chunks) and
    are linked there; links make components.
 4. The token-group matrix: a group is a chunk of one component, its row the union of the prefixes of its members. Two
    groups of different components that share a prefix shingle, with enough shingles left from there on, are a candidate pair; a pair is opened only if some
    member's overlap with the other group's token union reaches what a link needs, and one link is enough.
 
-Shingles of unique classes come first in the order that prefixes use, the others follow by hash; any two sets that
-reach the threshold share a shingle among the first n - ceil(0.8 n) + 1. Sets are compared by 64-bit hashes.
+Shingles of unique classes come first in the order that prefixes use, the others follow from rare to frequent (by powers
+of two of how many classes have them, the marked ones last), then by hash; any two sets that
+reach the threshold share a shingle among the first n - ceil(0.8 n) + 1. Sets are compared by 64-bit hashes. The groups
+that share a prefix shingle nevertheless are paired chunk by chunk, so that no task pairs all groups of one shingle.
 
 Cases: null, empty or wordless texts have an empty set and are linked with nothing; fewer words than a shingle make one
 shingle of them all; repeated rows and ids are separate documents of one class; an empty table gives no rows; extra
@@ -28,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gritstone.llm.common import clipped, text_slices, written
+from gritstone.llm.common import clipped, free_name, join_hot, key_width, packed_keys, slices_with_texts, text_slices, unpacked_keys, written
 from gritstone.llm.components import connected_components
 from gritstone.llm.words import GRAM_CODE, U, gram_hashes, mix, words_of
 
@@ -38,8 +42,13 @@ BUCKET_SHINGLES, GROUP_MEMBERS = 1_000_000, 128
 REQUEST_BYTES = 2 << 20
 #: Shingles of a class that follow each other in a request, and rows that may be broadcast.
 RUN, BROADCAST_ROWS = 255, 100_000
-#: A shingle that this many texts of a slice have, and this share of them, sends two witnesses only.
-FREQUENT_TEXTS, FREQUENT_SHARE = 32, 0.02
+#: A task's classes with one shingle that go to its bucket, per COUNTED shingles of the task, and its counters for them.
+#: Shingles that share a counter may be taken for frequent, which costs time but no link.
+FREQUENT_TEXTS, COUNTED, COUNTERS = 32, 1 << 25, 1 << 22
+#: How frequent a shingle is: a power of two of its classes, or MARKED.
+MARKED = 255
+#: Groups of one token that are paired in one task.
+CHUNK_GROUPS = 1000
 
 
 def needed(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -89,23 +98,25 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
 
 
 def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataFrame:
-    """bucket, known, classes and their counts, high and low halves of shingles; packed, shingles class after class.
+    """bucket, known, classes and their counts, shingles; packed, shingles class after class.
 
-    A class comes again after RUN of its shingles, so that a count takes one byte.
+    known is -1 in ordinary requests and -2 in those that mark shingles as frequent; else it is the bucket of shingles known
+    to be shared, sent elsewhere. A class comes again after RUN of its shingles, so that a count takes one byte.
     """
+    bytes_each = key_width(buckets)
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, met, counted = [], np.zeros(COUNTERS, np.int32), 0
 
-        def emit(bucket, known, classes, doc, shingles):
+        def emit(bucket, known, classes, doc, keys):
             starts = _starts(doc)
             ends = np.append(starts[1:], len(doc))
             if (ends - starts).max() > RUN:
                 starts = np.concatenate([np.arange(a, b, RUN) for a, b in zip(starts, ends, strict=True)])
             counts = np.diff(np.append(starts, len(doc))).astype("u1")
-            rows.append((bucket, known, classes[doc[starts]].tobytes(), counts.tobytes(), (shingles >> U(32)).astype("<u2").tobytes(), shingles.astype("<u4").tobytes()))
+            rows.append((bucket, known, classes[doc[starts]].tobytes(), counts.tobytes(), packed_keys(keys, bytes_each)))
 
-        for k, batch in enumerate(text_slices(batches, "text", REQUEST_BYTES)):
+        for batch in text_slices(batches, "text", REQUEST_BYTES):
             shingles, bounds = shingle_sets(batch.column(0), width)
             classes = set_keys(shingles, bounds)
             doc = np.repeat(np.arange(len(classes)), np.diff(bounds))
@@ -114,30 +125,32 @@ def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataF
             shingles, doc = shingles[once[doc]], doc[once[doc]]
             if not len(doc):
                 continue
+            if counted > COUNTED:
+                met[:], counted = 0, 0
+            counted += len(doc)
             order = np.argsort(shingles)
-            ordered = shingles[order]
-            first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            size = np.diff(np.append(first, len(ordered)))
-            frequent = size >= max(FREQUENT_TEXTS, FREQUENT_SHARE * once.sum())
-            often = np.zeros(len(doc), bool)
-            often[order] = np.repeat(frequent, size)
-            sent = ~often
-            sent[order[first[frequent]]] = sent[order[first[frequent] + 1]] = True
-            bucket, rest = (shingles % U(buckets)).astype(np.int64), (shingles // U(buckets)) & U((1 << 48) - 1)
-            by = np.flatnonzero(sent)
-            by = by[np.argsort(bucket[by], kind="stable")]
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            for b in np.flatnonzero(np.diff(edges)):
-                at = by[edges[b] : edges[b + 1]]
-                emit(int(b), -1, classes, doc[at], rest[at])
-            for b in np.unique(bucket[often]):
-                at = np.flatnonzero(often & (bucket == b))
-                emit(buckets + (int(classes[0]) + k) % buckets, int(b), classes, doc[at], rest[at])
+            first = _starts(shingles[order])
+            size = np.diff(np.append(first, len(order)))
+            counter = (mix(shingles[order[first]]) % U(COUNTERS)).astype(np.int64)
+            nth = np.empty(len(doc), np.int64)  # how often the task has met the shingle before
+            nth[order] = np.repeat(met[counter] - first, size) + np.arange(len(order))
+            np.add.at(met, counter, size)
+            bucket, rest = (shingles % U(buckets)).astype(np.int64), shingles // U(buckets)
+            for known, at in ((-1, nth < FREQUENT_TEXTS), (-2, nth == FREQUENT_TEXTS), (None, nth > FREQUENT_TEXTS)):
+                by = np.flatnonzero(at)
+                by = by[np.argsort(bucket[by], kind="stable")]
+                edges = np.append(_starts(bucket[by]), len(by))
+                for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                    at, own = by[a:b], int(bucket[by[a]])
+                    if known is None:
+                        emit(buckets + (int(classes[0]) + k) % buckets, own, classes, doc[at], rest[at])
+                    else:
+                        emit(own, known, classes, doc[at], rest[at])
             for at in range(0, len(rows), 256):
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "known", "classes", "counts", "high", "low"])
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 256], strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=["bucket", "known", "classes", "counts", "keys"])
             rows.clear()
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(request, "bucket int, known int, classes binary, counts binary, high binary, low binary")
+    return docs.select(docs[text_col].alias("text")).mapInArrow(request, "bucket int, known int, classes binary, counts binary, keys binary")
 
 
 def _arrays(table: pa.Table, **kinds: str) -> dict[str, np.ndarray]:
@@ -151,41 +164,46 @@ def _starts(x: np.ndarray) -> np.ndarray:
 
 def _shared(requests: DataFrame, buckets: int) -> DataFrame:
     """What each bucket found to be shared by two classes or more, packed by the place that gathers a class."""
+    bytes_each = key_width(buckets)
 
     def lookup(table: pa.Table) -> pa.Table:
-        held = _arrays(table, classes="<i8", counts="u1", high="<u2", low="<u4")
-        per_row = [len(x) // 4 for x in table.column("low").to_pylist()]
+        held = _arrays(table, classes="<i8", counts="u1")
+        packed = table.column("keys").to_pylist()
+        per_row = [len(x) // bytes_each for x in packed]
         known, bucket = (np.repeat(np.array(table.column(c).to_pylist(), np.int64), per_row) for c in ("known", "bucket"))
         cls = np.repeat(held["classes"], held["counts"])
-        sure = known >= 0
-        key = ((held["high"].astype(U) << U(32)) | held["low"]) * U(buckets) + np.where(sure, known, bucket).astype(U)
+        key = np.concatenate([unpacked_keys(x, bytes_each) for x in packed]) * U(buckets) + np.where(known >= 0, known, bucket).astype(U)
+        sure, level = known >= 0, np.full(len(key), MARKED, np.uint8)
         asked = np.flatnonzero(~sure)
         if len(asked):
             asked = asked[np.argsort(key[asked])]
             first = _starts(key[asked])
-            two = np.minimum.reduceat(cls[asked], first) != np.maximum.reduceat(cls[asked], first)
-            sure[asked] = np.repeat(two, np.diff(np.append(first, len(asked))))
-        key, cls = key[sure], cls[sure]
+            size = np.diff(np.append(first, len(asked)))
+            marked = np.minimum.reduceat(known[asked], first) == -2
+            two = marked | (np.minimum.reduceat(cls[asked], first) != np.maximum.reduceat(cls[asked], first))
+            sure[asked] = np.repeat(two, size)
+            level[asked] = np.repeat(np.where(marked, MARKED, np.log2(size)), size)
+        key, cls, level = key[sure], cls[sure], level[sure]
         place = cls % buckets
         order = np.lexsort((cls, place))
-        key, cls, place = key[order], cls[order], place[order]
+        key, cls, place, level = key[order], cls[order], place[order], level[order]
         edges, rows = np.append(_starts(place), len(place)), []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             first = _starts(cls[a:b])
-            rows.append((int(place[a]), cls[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), key[a:b].tobytes()))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=["place", "classes", "counts", "shingles"])
+            rows.append((int(place[a]), cls[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype("<u4").tobytes(), key[a:b].tobytes(), level[a:b].tobytes()))
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["place", "classes", "counts", "shingles", "levels"])
 
-    return requests.groupBy("bucket").applyInArrow(lookup, "place int, classes binary, counts binary, shingles binary")
+    return requests.groupBy("bucket").applyInArrow(lookup, "place int, classes binary, counts binary, shingles binary, levels binary")
 
 
 def _gathered(shared: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """class, n, shingles (sorted) of the classes whose shared shingles are enough for a link; sizes: place, class, n."""
+    """class, n, shingles (from rare to frequent) of the classes whose shared shingles are enough for a link; sizes: place, class, n."""
 
     def gather(table: pa.Table, sizes: pa.Table) -> pa.Table:
-        held = _arrays(table, classes="<i8", counts="<u4", shingles="<u8")
+        held = _arrays(table, classes="<i8", counts="<u4", shingles="<u8", levels="u1")
         cls, key = np.repeat(held["classes"], held["counts"]), held["shingles"]
-        order = np.lexsort((key, cls))
+        order = np.lexsort((key, held["levels"], cls))
         cls, key = cls[order], key[order]
         once = np.ones(len(key), bool)
         once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
@@ -263,7 +281,7 @@ def _group_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, signed: DataFrame, width: int, percent: int, text_col: str) -> DataFrame:
-    """class, n, shingles (sorted, those shared with any other class) of the classes that may have a partner."""
+    """class, n, shingles (those shared with any other class, from rare to frequent) of the classes that may have a partner."""
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // BUCKET_SHINGLES))
@@ -289,10 +307,11 @@ def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent
     near, _ = written(_group_links(chunked.repartition("group").sortWithinPartitions("group", "n", "class"), percent), "links")
     component = connected_components(near)
 
-    places = survivors.select("class").join(component.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    members = places.groupBy("component").agg(F.count("*").alias("size"))
-    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("size") / GROUP_MEMBERS))
-    named = places.join(members, "component").select("class", "component", F.xxhash64("component", chunk).alias("group"))
+    placed = survivors.select("class").join(component.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    places, _ = written(placed, "places")
+    members = places.groupBy("component").agg(F.count("*").alias("size")).withColumn("held", F.col("size"))
+    chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("held") / GROUP_MEMBERS))
+    named = join_hot(places, members, "component", "size", places.count()).select("class", "component", F.xxhash64("component", chunk).alias("group"))
     grouped, _ = written(survivors.join(named, "class"), "groups")
     return near.union(_matrix_links(grouped, percent))
 
@@ -312,13 +331,19 @@ def _matrix_links(grouped: DataFrame, percent: int) -> DataFrame:
     rows = grouped.select(F.posexplode(prefix("shingles", "n")).alias("at", "token"), "group", "component", "n", held.cast("bigint").alias("held"))
     # rest: the most shingles that a member has from here on; a pair's first common shingle bounds its overlap by them
     matrix = rows.groupBy("token", "group", "component").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("held") - F.col("at")).alias("rest"))
-    mixed = matrix.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first <> last").select("token")
-    matrix, _ = written(matrix.join(mixed, "token"), "matrix")
-    left, right = (matrix.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("group", "component", "low", "high", "rest"))) for k in "ab")
+    matrix, _ = written(matrix, "matrix")
+    mixed = matrix.groupBy("token").agg(F.min("component").alias("first"), F.max("component").alias("last"), F.count("*").alias("size")).where("first <> last").select("token", "size", F.ceil(F.col("size") / CHUNK_GROUPS).alias("chunks"))
+    matrix = join_hot(matrix, mixed, "token", "size", matrix.count()).withColumn("chunk", F.pmod(F.xxhash64("group"), F.col("chunks")))
+    # a pair of groups meets in the cell of its chunks, the lower chunk to the left
+    cells = (F.sequence(F.col("chunk"), F.col("chunks") - 1), F.sequence(F.lit(0).cast("bigint"), F.col("chunk")))
+    left, right = (matrix.select("token", F.explode(other).alias("other"), *(F.col(c).alias(f"{c}_{k}") for c in ("chunk", "group", "component", "low", "high", "rest"))) for k, other in zip("ab", cells, strict=True))
     overlap = F.least("rest_a", "rest_b")
-    near = (F.col("component_a") < F.col("component_b")) & (F.col("low_a") * percent <= F.col("high_b") * 100) & (F.col("low_b") * percent <= F.col("high_a") * 100)
+    meet = (left["token"] == right["token"]) & (left["other"] == F.col("chunk_b")) & (F.col("chunk_a") == right["other"])
+    near = (F.col("component_a") != F.col("component_b")) & ((F.col("chunk_a") < F.col("chunk_b")) | (F.col("component_a") < F.col("component_b")))
+    near = near & (F.col("low_a") * percent <= F.col("high_b") * 100) & (F.col("low_b") * percent <= F.col("high_a") * 100)
     near = near & (100 * overlap >= percent * (F.col("low_a") + F.col("low_b") - overlap))
-    pairs, _ = written(left.join(right, "token").where(near).select("group_a", "group_b").distinct(), "pairs")
+    ends = F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b")
+    pairs, _ = written(left.join(right, meet).where(near).select(*ends).distinct(), "pairs")
     packed = grouped.join(pairs.select(F.col("group_a").alias("group")).union(pairs.select("group_b")).distinct(), "group", "left_semi").groupBy("group").agg(F.collect_list(F.struct("class", "n", "shingles")).alias("members"))
 
     def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,23 +362,60 @@ def _matrix_links(grouped: DataFrame, percent: int) -> DataFrame:
     return written(both.select("members_a", "members_b").mapInArrow(open_pairs, "a bigint, b bigint"), "links")[0]
 
 
-def near_duplicate_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component: the least id that links reach."""
+def _labelled(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The signatures, written, and (class, component, holders): a component is the least class that links reach."""
     signed, _ = written(signatures(docs, width, id_col, text_col), "signatures")
     component = connected_components(jaccard_links(docs, signed.where("n_shingles > 0"), width=width, percent=percent, text_col=text_col))
-    classes = signed.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"))
+    classes = signed.where("n_shingles > 0").groupBy("class").agg(F.min("id").alias("least"), F.count("*").alias("holders"))
     placed = classes.join(component.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "component").select("class", "component_id")
-    found = signed.join(named, "class", "left")
-    return found.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component"))
+    return signed, written(placed, "classes")[0]
+
+
+def near_duplicate_components(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component: the least id that links reach."""
+    signed, placed = _labelled(docs, width, percent, id_col, text_col)
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    named = join_hot(placed, least, "component", "size", placed.count()).select("class", "component_id", "holders")
+    found = join_hot(signed.where("n_shingles > 0"), named, "class", "holders", signed.count())
+    alone = signed.where("n_shingles = 0").withColumn("component_id", F.col("id"))
+    return found.unionByName(alone).select("id", "n_shingles", F.col("component_id").alias("component"))
 
 
 def distinct_documents(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, that have the least id of their component."""
-    found = near_duplicate_components(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
-    first = found.where("id <=> component").select(F.col("id").alias("__first")).distinct()
-    return docs.join(first, docs[id_col].eqNullSafe(F.col("__first")), "left_semi")
+    """One document of each component, with all its columns: of the rows with the least id (nulls last) one with the least class.
+
+    Documents without words are linked with nothing, so all of them stay, repeated rows too. Where several rows have that
+    id and class, any one stays.
+    """
+    signed, placed = _labelled(docs, width, percent, id_col, text_col)
+    # a class's rows with its least id stand for it; of a component's classes one stands for all
+    order = F.struct(F.col("least").isNull().alias("gone"), "least", "class")
+    heads = placed.groupBy("component").agg(F.min(order).alias("head")).select(F.xxhash64("head.least", "head.class").alias("key"))
+    number, key = free_name(docs, "class"), free_name(docs, "key")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with their class, null where there are no words; of equal (id, class) in a slice only the first."""
+        for batch, texts in slices_with_texts(batches, text_col):
+            shingles, bounds = shingle_sets(texts, width)
+            held = [c if n else None for c, n in zip(set_keys(shingles, bounds).tolist(), np.diff(bounds).tolist(), strict=True)]
+            ids, seen, keep = batch.column(batch.schema.get_field_index(id_col)).to_pylist(), set(), []
+            for k, pair in enumerate(zip(ids, held, strict=True)):
+                if pair[1] is None or pair not in seen:
+                    keep.append(k)
+                    seen.add(pair)
+            out = batch.append_column(number, pa.array(held, pa.int64()))
+            yield out if len(keep) == out.num_rows else out.take(pa.array(keep, pa.int64()))
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(number, T.LongType())])
+    rows = docs.mapInArrow(sign, schema)
+    flag = free_name(docs, "first")
+    keyed = rows.withColumn(key, F.when(F.col(number).isNotNull(), F.xxhash64(id_col, number)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    met = keyed.join(heads.select(F.col("key").alias(key), F.lit(True).alias(flag)), key, "left")
+    kept = met.where(F.col(number).isNull() | F.col(flag))
+    repeated = signed.where("n_shingles > 0").groupBy("id", "class").agg(F.count("*").alias("rows")).where("rows > 1")
+    if not repeated.isEmpty():
+        kept = kept.dropDuplicates([key])
+    return kept.select(*docs.columns)
 
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -113,3 +113,35 @@ def test_components(spark):
                 changed = True
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_hot_keys_give_the_same_links(spark, monkeypatch):
+    """Every key is hot, every token's groups are cut into chunks, every shingle met twice is frequent."""
+    from gritstone.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    for name, value in {"GROUP_MEMBERS": 2, "CHUNK_GROUPS": 2, "FREQUENT_TEXTS": 1, "COUNTERS": 64, "BUCKET_SHINGLES": 700}.items():
+        monkeypatch.setattr(J, name, value)
+    check(spark.createDataFrame(near_copies(21, 25, 8), "doc_id bigint, text string").repartition(4))
+
+
+def test_one_document_of_each_group_stays(spark):
+    """Repeated rows, repeated and null ids, wordless texts, and columns named as the operator's own."""
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve"
+    rows = [(1, a, 0), (1, a, 1), (1, b, 2), (2, a, 3), (2, "solo", 4), (3, b, 5), (None, "solo", 6), (None, "x y z", 7), (None, "x y z", 8), (5, None, 9), (5, None, 10), (None, "", 11)]
+    docs = spark.createDataFrame([(*r, "p", "q", "r") for r in rows], "doc_id int, text string, class int, key string, __first string, first string").repartition(3)
+    kept = J.distinct_documents(docs)
+    assert kept.schema == docs.schema
+    held = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert held == sorted([(False, 1, a), (False, 1, b), (False, 2, "solo"), (True, 0, "x y z"), (False, 5, ""), (False, 5, ""), (True, 0, "")])
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 255, 257, 65537, 1 << 24])
+def test_keys_keep_all_bits(buckets):
+    from gritstone.llm.common import key_width, packed_keys, unpacked_keys
+
+    hashes = np.random.default_rng(1).integers(0, 1 << 64, 500, dtype=np.uint64, endpoint=False)
+    hashes[:2] = 0, (1 << 64) - 1
+    width = key_width(buckets)
+    rest = unpacked_keys(packed_keys(hashes // np.uint64(buckets), width), width)
+    assert np.array_equal(rest * np.uint64(buckets) + hashes % np.uint64(buckets), hashes)
