@@ -98,17 +98,20 @@ def unpacked_keys(packed: bytes, width: int) -> np.ndarray:
     return held.view("<u8").ravel()
 
 
-#: A key with more than this share of the rows is broadcast, so fewer keys than its inverse are.
-HOT_SHARE, HOT_ROWS = 10_000, 1000
+#: A key with more than one in HOT_SHARE of the rows is hot, so fewer than HOT_SHARE keys are; HOT_ROWS narrow rows are no
+#: burden to a task however they are shared.
+HOT_SHARE, HOT_ROWS = 10_000, 50_000
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined to a table that has one row per key and, in `size`, how many of the `total` rows have that key.
 
     No task gathers a hot key: keys with more than total / HOT_SHARE rows, of which there are fewer than HOT_SHARE, are
-    broadcast, so their rows stay where they are; the others meet by a shuffle.
+    broadcast, so their rows stay where they are; the others meet by a shuffle. Either way gives the same rows.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
+    if total <= limit:  # no key can be hot
+        return rows.join(table.drop(size), key)
     hot, rest = table.where(F.col(size) > limit).drop(size), table.where(F.col(size) <= limit).drop(size)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
