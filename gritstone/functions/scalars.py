@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,3 +51,8 @@ def month(x: str | Column) -> Column:
 def strip(x: str | Column) -> Column:
     """Trim all white space at both ends (trim() strips spaces only)."""
     return F.regexp_replace(col(x), r"^\s+|\s+$", "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import DAYS_PER_MONTH, clipped_between, divided
+from gritstone.functions.scalars import DAYS_PER_MONTH, clipped_between, divided, let
 
 
 @dataclass(frozen=True)
@@ -43,6 +43,7 @@ _FITS = {
     "standard_scale": lambda s, x: {"mean": F.avg(x), "std": F.stddev_pop(x)},
     "robust_scale": lambda s, x: {"q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))},
     "min_max_scale": lambda s, x: {"low": F.min(x), "high": F.max(x)},
+    "log1p": lambda s, x: {"low": F.min(x)},
     "center_mean": lambda s, x: {"mean": F.avg(x)},
     "center_median": lambda s, x: {"q": F.percentile(x, F.lit(0.5))},
     "percentile_rank": lambda s, x: {"grid": F.percentile(x, F.array(*(F.lit(k / 1000) for k in range(1001))))},
@@ -101,18 +102,35 @@ def _interpolated(x: Column, grid: list[float]) -> Column:
     points = sorted(set(v for v in grid or () if v is not None))
     if len(points) < 2:
         return F.when(x.isNotNull(), 0.5)
-    held, last = F.array(*map(F.lit, points)), len(points) - 1
-    k = F.greatest(F.least(F.size(F.filter(held, lambda g: g <= x)), F.lit(last)), F.lit(1))
-    low, high = F.get(held, k - 1), F.get(held, k)
-    return F.when(x.isNotNull(), clipped_between((k - 1 + (x - low) / (high - low)) / last, 0.0, 1.0))
+    last, step = len(points) - 1, math.isqrt(len(points))
+    grid, coarse = F.array(*map(F.lit, points)), F.array(*map(F.lit, points[::step]))
+
+    def placed(x: Column) -> Column:
+        # how many points are at most x: whole steps first, then within one
+        upto = lambda held: F.size(F.filter(held, lambda g: g <= x))
+        whole = (F.greatest(upto(coarse), F.lit(1)) - 1) * step
+        return let(whole, lambda w: w + upto(F.slice(grid, w + 1, F.lit(step))))
+
+    def place(v: Column) -> Column:
+        k, x = v["k"], v["x"]
+        low, high = F.get(grid, k - 1), F.get(grid, k)
+        return F.when(x.isNotNull(), clipped_between((k - 1 + (x - low) / (high - low)) / last, 0.0, 1.0))
+
+    return let(F.struct(let(x, lambda x: F.greatest(F.least(placed(x), F.lit(last)), F.lit(1))).alias("k"), x.alias("x")), place)
+
+
+#: Numerator and denominator of the middle, then of the tails.
+NORMAL_COEFFICIENTS = (
+    (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239),
+    (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0),
+    (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783),
+    (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0),
+)
 
 
 def inverse_normal(p: Column) -> Column:
     """Acklam's rational approximation (relative error below 1.2e-9), as an expression."""
-    a = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.3577518672690, -30.66479806614716, 2.506628277459239)
-    b = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572, 1.0)
-    c = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
-    d = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416, 1.0)
+    a, b, c, d = NORMAL_COEFFICIENTS
 
     def poly(coefficients, x: Column) -> Column:
         out = F.lit(coefficients[0])
@@ -120,10 +138,9 @@ def inverse_normal(p: Column) -> Column:
             out = out * x + k
         return out
 
-    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
-    tail = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
-    outer = poly(c, tail) / poly(d, tail)
-    return F.when((p > 0.02425) & (p < 0.97575), q * poly(a, r) / poly(b, r)).when(p <= 0.02425, outer).otherwise(-outer)
+    inner = lambda q: let(q * q, lambda r: q * poly(a, r) / poly(b, r))
+    outer = lambda p: let(F.sqrt(-2 * F.log(F.least(p, 1 - p))), lambda t: poly(c, t) / poly(d, t))
+    return let(p, lambda p: F.when((p > 0.02425) & (p < 0.97575), let(p - 0.5, inner)).when(p <= 0.02425, outer(p)).otherwise(-outer(p)))
 
 
 def column(f: Fitted, entity: str | None = None, date: str | None = None, tie: str | None = None) -> Column:
@@ -135,14 +152,14 @@ def column(f: Fitted, entity: str | None = None, date: str | None = None, tie: s
     k = s.kind
     plain = {
         "winsorize": lambda: clipped_between(number, p["low"], p["high"]),
-        "log1p": lambda: F.when(number > -1, F.log1p(number)),
+        "log1p": lambda: F.log1p(number) if p["low"] is not None and p["low"] > -1 else F.lit(None).cast("double"),
         "box_cox": lambda: _power(k, number, s.value if s.value is not None else p["lambda"]),
         "yeo_johnson": lambda: _power(k, number, s.value if s.value is not None else p["lambda"]),
         "capped_zscore": lambda: clipped_between(_scaled(number, p["mean"], p["std"]), -(s.value or 3.0), s.value or 3.0) if p["std"] else F.lit(0.0),
         "piecewise_linear": lambda: F.when(number.isNotNull(), F.greatest(number - s.value, F.lit(0.0))),
         "standard_scale": lambda: _scaled(number, p["mean"], p["std"]),
-        "robust_scale": lambda: _scaled(number, p["q"][1], p["q"][2] - p["q"][0]),
-        "min_max_scale": lambda: _scaled(number, p["low"], p["high"] - p["low"]),
+        "robust_scale": lambda: _scaled(number, p["q"][1], p["q"][2] - p["q"][0]) if p["q"] else F.lit(None).cast("double"),
+        "min_max_scale": lambda: _scaled(number, p["low"], p["high"] - p["low"]) if p["low"] is not None else F.lit(None).cast("double"),
         "percentile_rank": lambda: _interpolated(number, p["grid"]),
         "normal_score": lambda: inverse_normal(clipped_between(_interpolated(number, p["grid"]), 0.5 / max(p["n"], 1), 1 - 0.5 / max(p["n"], 1))),
         "signed_log1p": lambda: F.signum(number) * F.log1p(F.abs(number)),
@@ -200,7 +217,7 @@ def _temporal(s: Transform, x: Column, entity: str | None, date: str | None, tie
     out = {
         "lag": lambda: F.lag(x, s.lag).over(own),
         "difference": lambda: x - F.lag(x, s.lag).over(own),
-        "ewma": lambda: _smoothed(F.collect_list(F.struct(x.alias("v"))).over(before), s.window),
+        "ewma": lambda: _smoothed(x, s.source, s.window, Window.partitionBy("split", *([entity] if entity else []))),
         "rolling_mean": lambda: w(F.avg),
         "rolling_median": lambda: w(lambda c: F.percentile(c, F.lit(0.5))),
         "rolling_min": lambda: w(F.min),
@@ -224,18 +241,21 @@ def _temporal(s: Transform, x: Column, entity: str | None, date: str | None, tie
     return F.coalesce(value.cast("double"), F.lit(0.0))
 
 
-def _smoothed(values: Column, span: int) -> Column:
-    """Exponential smoothing without adjustment over structs of values; a gap decays the weight of what came before it."""
+def _smoothed(x: Column, source: str, span: int, own: WindowSpec) -> Column:
+    """Exponential smoothing, without adjustment, of the values before a row; a gap decays the weight of what came before it.
+
+    What lies so many values back that its weight is below 1e-18 can't change a double, so each row folds the last of
+    its values only, by the numbers that `_numbered` gave: the values before a row are those with a lower one.
+    """
     alpha = 2.0 / (span + 1)
+    values = max(2, math.ceil(math.log(1e-18) / math.log(1 - alpha))) if alpha < 1 else 1
+    recent = F.collect_list(F.when(x.isNotNull(), F.struct(F.col(ROW).alias("row"), x.alias("y")))).over(own.orderBy(f"{SEEN}{source}").rangeBetween(-values, -1))
 
-    def step(acc: Column, x: Column) -> Column:
-        v = x["v"]
-        old = acc["w"] * (1 - alpha)
-        mean = F.when(acc["y"].isNull(), v).when(v.isNull(), acc["y"]).otherwise((old * acc["y"] + alpha * v) / (old + alpha))
-        weight = F.when(acc["y"].isNull(), F.lit(1.0)).when(v.isNull(), old).otherwise(F.lit(1.0))
-        return F.struct(mean.alias("y"), weight.alias("w"))
+    def step(acc: Column, v: Column) -> Column:
+        old = F.pow(F.lit(1 - alpha), v["row"] - acc["row"])
+        return F.struct(v["row"].alias("row"), F.when(acc["y"].isNull(), v["y"]).otherwise((old * acc["y"] + alpha * v["y"]) / (old + alpha)).alias("y"))
 
-    return F.aggregate(values, F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w")), step, lambda acc: acc["y"])
+    return F.aggregate(recent, F.struct(F.lit(0).alias("row"), F.lit(None).cast("double").alias("y")), step, lambda acc: acc["y"])
 
 
 def _slope(values: Column) -> Column:
@@ -246,5 +266,18 @@ def _slope(values: Column) -> Column:
     return F.when(m >= 2, (weighted - total * (m - 1) / 2) / (m * (m * m - 1) / 12))
 
 
+#: Columns that smoothing needs for a while: a row's number, and how many values of a source come before it.
+ROW, SEEN = "__transforms_row", "__transforms_seen_"
+
+
+def _numbered(table: DataFrame, sources: list[str], entity: str | None, date: str | None, tie: str | None) -> DataFrame:
+    own = Window.partitionBy("split", *([entity] if entity else [])).orderBy(*(c for c in (date, tie) if c))
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    return table.withColumns({ROW: F.row_number().over(own)} | {f"{SEEN}{c}": F.count(F.col(c).try_cast("double")).over(before) for c in sources})
+
+
 def apply(table: DataFrame, fitted: list[Fitted], entity: str | None = None, date: str | None = None, tie: str | None = None) -> DataFrame:
-    return table.withColumns({f.spec.output or f"{f.spec.source}_{f.spec.kind}": column(f, entity, date, tie) for f in fitted})
+    smoothed = sorted({f.spec.source for f in fitted if f.spec.kind == "ewma"})
+    held = _numbered(table, smoothed, entity, date, tie) if smoothed else table
+    out = held.withColumns({f.spec.output or f"{f.spec.source}_{f.spec.kind}": column(f, entity, date, tie) for f in fitted})
+    return out.drop(ROW, *(f"{SEEN}{c}" for c in smoothed)) if smoothed else out

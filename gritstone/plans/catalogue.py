@@ -132,10 +132,84 @@ panel = {"entity": "entity", "date": "date", "tie": "id"}
 zero = lambda x, d=4: f"coalesce({r(x, d)}, 0.0::DOUBLE)"
 register("lag_transforms", f" SELECT id, {zero(f'lag(sparse, 1) {PANEL.format('')}')} AS lagged, {zero(f'sparse - lag(sparse, 2) {PANEL.format('')}')} AS changed, CAST(row_number() {PANEL.format('')} - 1 AS DOUBLE) AS seen, {zero(f'CASE WHEN lag(sparse) {PANEL.format('')} IS NOT NULL THEN sum(sparse) {before} END')} AS total, {zero(f'avg(sparse) {before}')} AS expanding FROM book", on_book(lambda b: transformed(b, [T("lag", "sparse", "lagged"), T("difference", "sparse", "changed", lag=2), T("cumulative_count", "sparse", "seen"), T("cumulative_sum", "sparse", "total"), T("expanding_mean", "sparse", "expanding")], **panel), 4))
 register("rolling_transforms", f" SELECT id, {zero(f'avg(sparse) {past}')} AS mean, {zero(f'min(sparse) {past}')} AS low, {zero(f'max(sparse) {past}')} AS high, {zero(f'sum(sparse) {past}')} AS total, {zero(f'max(sparse) {past} - min(sparse) {past}')} AS spread, {zero(f'quantile_cont(sparse, 0.5) {past}')} AS median FROM book", on_book(lambda b: transformed(b, [T("rolling_mean", "sparse", "mean"), T("rolling_min", "sparse", "low"), T("rolling_max", "sparse", "high"), T("rolling_sum", "sparse", "total"), T("rolling_range", "sparse", "spread"), T("rolling_median", "sparse", "median")], **panel), 4))
-register("rolling_spread", f" SELECT id, {zero(f'stddev_pop(sparse) {past}', 3)} AS std, {zero(f'stddev_pop(sparse) {past} / avg(sparse) {past}', 5)} AS cv, {zero(f'CASE WHEN count(*) {past} >= 2 THEN regr_slope(sparse, rn) {past} END', 3)} AS slope FROM (SELECT *, row_number() {PANEL.format('')} AS rn FROM book WHERE sparse IS NOT NULL) b", on_book(lambda b: transformed(b.where("sparse IS NOT NULL"), [T("rolling_std", "sparse", "std"), T("rolling_cv", "sparse", "cv"), T("rolling_slope", "sparse", "slope")], **panel).select("id", rounded("std", 3).alias("std"), rounded("cv", 5).alias("cv"), rounded("slope", 3).alias("slope")), None))
+SLOPE = "list_transform({v}, lambda x, i: x * (i - 1))"
+register("rolling_spread", f" SELECT id, {zero('std', 3)} AS std, {zero('std / mean', 5)} AS cv, {zero('CASE WHEN len(v) >= 2 THEN (list_sum(' + SLOPE.format(v='v') + ') - list_sum(v) * (len(v) - 1) / 2) / (len(v) * (len(v) * len(v) - 1) / 12.0) END', 3)} AS slope FROM (SELECT id, stddev_pop(sparse) {past} AS std, avg(sparse) {past} AS mean, list_filter(list(sparse) {past}, lambda x: x IS NOT NULL) AS v FROM book)", on_book(lambda b: transformed(b, [T("rolling_std", "sparse", "std"), T("rolling_cv", "sparse", "cv"), T("rolling_slope", "sparse", "slope")], **panel).select("id", rounded("std", 3).alias("std"), rounded("cv", 5).alias("cv"), rounded("slope", 3).alias("slope")), None))
 upto = PANEL.format(" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
 register("event_transforms", f" SELECT id, {zero(f'floor((epoch(date) - epoch(last_value(CASE WHEN balance > 5000 THEN date END IGNORE NULLS) {upto})) / 86400.0) / 30.4375')} AS months, {zero(f'sparse - first_value(sparse IGNORE NULLS) OVER (PARTITION BY split, entity ORDER BY date, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)')} AS moved, {zero(f'last_value(sparse IGNORE NULLS) {upto} / last_value(sparse IGNORE NULLS) {before} - 1')} AS pct FROM book", on_book(lambda b: transforms.apply(b.withColumn("event", F.when(F.col("balance") > 5000, 1.0).otherwise(0.0)), transforms.fit(b, [T("months_since_event", "event", "months"), T("change_from_baseline", "sparse", "moved"), T("pct_change", "sparse", "pct")]), **panel).select("id", "months", "moved", "pct"), 4))
-register("smoothed_transforms", None, on_book(lambda b: transformed(b, [T("ewma", "sparse", "smoothed"), T("yeo_johnson", "balance", "yeo"), T("normal_score", "sparse", "normal")], **panel)))
+
+
+def _yeo(x: str, p: str) -> str:
+    above = f"CASE WHEN abs({p}) < 1e-9 THEN ln(1 + {x}) ELSE (pow(1 + {x}, {p}) - 1) / {p} END"
+    below = f"CASE WHEN abs({p} - 2) < 1e-9 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - {p}) - 1) / (2 - {p}) END"
+    return f"CASE WHEN {x} >= 0 THEN {above} WHEN {x} < 0 THEN {below} END"
+
+
+def _search(name: str, centre: str, step: float) -> str:
+    """The best of 17 powers around a centre, by likelihood."""
+    points = f"SELECT c + {step} * k AS g FROM (SELECT unnest(range(-8, 9)) AS k), (SELECT {centre} AS c)"
+    likelihood = f"-count(*) / 2.0 * ln(var_pop({_yeo('balance', 'g')})) + (any_value(g) - 1) * sum(sign(balance) * ln(1 + abs(balance)))"
+    return f", {name} AS (SELECT g AS c FROM (SELECT g, {likelihood} AS l FROM book, ({points}) WHERE split = 'train' GROUP BY g) ORDER BY l DESC LIMIT 1)"
+
+
+YEO_POWER = _search("y1", "0.0::DOUBLE", 0.25) + _search("y2", "(SELECT c FROM y1)", 0.25 / 8) + _search("y3", "(SELECT c FROM y2)", 0.25 / 64)
+SMOOTHED = """
+, seq AS (SELECT split, entity, id, sparse AS v, row_number() OVER (PARTITION BY split, entity ORDER BY date, id) AS rn FROM book),
+  walk AS (
+    SELECT split, entity, id, rn, v AS y, 1.0::DOUBLE AS w, NULL::DOUBLE AS before FROM seq WHERE rn = 1
+    UNION ALL
+    SELECT r.split, r.entity, r.id, r.rn,
+           CASE WHEN k.y IS NULL THEN r.v WHEN r.v IS NULL THEN k.y ELSE (k.w * 0.5 * k.y + 0.5 * r.v) / (k.w * 0.5 + 0.5) END,
+           CASE WHEN k.y IS NOT NULL AND r.v IS NULL THEN k.w * 0.5 ELSE 1.0 END, k.y
+    FROM walk k JOIN seq r ON r.split = k.split AND r.entity = k.entity AND r.rn = k.rn + 1
+)"""
+NORMAL = """
+, g AS (SELECT list_sort(list_distinct(quantile_cont(sparse, list_transform(range(0, 1001), lambda k: k / 1000.0)))) AS q, count(sparse) AS n FROM book WHERE split = 'train'),
+  spot AS (SELECT id, sparse, q, n, len(q) - 1 AS last, greatest(least(len(list_filter(q, lambda v: v <= sparse)), len(q) - 1), 1) AS k FROM book, g),
+  placed AS (SELECT id, CASE WHEN sparse IS NOT NULL THEN least(greatest((k - 1 + (sparse - q[k]) / (q[k + 1] - q[k])) / last, 0.5 / n), 1 - 0.5 / n) END AS p FROM spot),
+  normal AS (SELECT id, {score} AS z FROM placed)"""
+
+
+def _normal_sql(p: str) -> str:
+    """The rational approximation of the inverse normal distribution that `transforms.inverse_normal` uses."""
+    a, b, c, d = transforms.NORMAL_COEFFICIENTS
+
+    def poly(coefficients, x):
+        out = f"{coefficients[0]!r}::DOUBLE"
+        for k in coefficients[1:]:
+            out = f"({out} * {x} + {k!r}::DOUBLE)"
+        return out
+
+    q, tail = f"({p} - 0.5)", f"sqrt(-2 * ln(least({p}, 1 - {p})))"
+    outer = f"{poly(c, tail)} / {poly(d, tail)}"
+    return f"CASE WHEN {p} > 0.02425 AND {p} < 0.97575 THEN {q} * {poly(a, f'({q} * {q})')} / {poly(b, f'({q} * {q})')} WHEN {p} <= 0.02425 THEN {outer} ELSE -({outer}) END"
+
+
+register(
+    "smoothed_transforms",
+    SMOOTHED + YEO_POWER + NORMAL.format(score=_normal_sql("p")) + f" SELECT b.id, {zero('before', 4)} AS smoothed, {r(_yeo('balance', 'c'), 4)} AS yeo, {r('z', 4)} AS normal FROM book b JOIN walk USING (id) JOIN normal USING (id), y3",
+    on_book(lambda b: transformed(b, [T("ewma", "sparse", "smoothed"), T("yeo_johnson", "balance", "yeo"), T("normal_score", "sparse", "normal")], **panel), 4),
+    BOOK_SQL.replace("WITH book", "WITH RECURSIVE book"),
+)
+register(
+    "power_transforms",
+    f" SELECT id, {r('pow(amount / 1e5, 1.5)')} AS power, {r('amount - m')} AS from_mean, {r('CASE WHEN abs(balance) > 1e-12 THEN amount / balance END', 4)} AS safe, {r('amount / 1e5 * balance')} AS crossed,"
+    f" {r('floor((epoch(last) - epoch(date)) / 86400.0) / 30.4375')} AS months, {r('floor((epoch(shipped) - epoch(date)) / 86400.0)')} AS days_between"
+    " FROM (SELECT *, date + INTERVAL 36 HOUR AS shipped FROM book), (SELECT avg(amount) AS m, max(date) AS last FROM book WHERE split = 'train')",
+    on_book(
+        lambda b: transformed(
+            b.withColumn("share", F.col("amount") / 1e5).withColumn("shipped", F.col("date") + F.expr("INTERVAL 36 HOUR")),
+            [
+                T("power", "share", "power", value=1.5),
+                T("center_mean", "amount", "from_mean"),
+                T("safe_ratio", "amount", "safe", second="balance"),
+                T("interaction", "share", "crossed", second="balance"),
+                T("date_age_months", "date", "months"),
+                T("date_age_days", "date", "days_between", second="shipped"),
+            ],
+        ).withColumn("safe", rounded("safe", 4)),
+        6,
+    ),
+)
 
 # bins and encodings
 EDGES = ", e AS (SELECT quantile_cont(sparse, [0.2, 0.4, 0.6, 0.8]) AS q, min(sparse) AS lo, max(sparse) AS hi FROM book WHERE split = 'train')"
