@@ -75,3 +75,19 @@ def permuted(table: DataFrame, key: str, feature: str, multiplier: int = 7919, m
     ranked = global_rank(ranked, ["__mixed", key], "__b").drop("__b_n")
     values = ranked.select(F.col("__a").alias("__b"), F.col(feature).alias("__dealt"))
     return ranked.join(values, "__b").withColumn(feature, F.col("__dealt")).drop("__a", "__b", "__mixed", "__dealt")
+
+
+def permutation_importance(table: DataFrame, columns: list[str], features: list[str], key: str, target: str, score: Score, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, feature and how much the rank metrics lose when the feature's values are dealt anew: base less permuted."""
+    from functools import reduce
+
+    from gritstone.operators.metrics import rank_metrics
+
+    names = ("auc", "ks", "average_precision")
+    measured = lambda df: rank_metrics(df.withColumn("score", score({c: F.col(c) for c in columns})), target, "score", by)
+    base = measured(table).select(*by, *(F.col(c).alias(f"base_{c}") for c in names))
+    out = []
+    for f in features:
+        lost = measured(permuted(table, key, f)).join(base, list(by)) if by else measured(permuted(table, key, f)).crossJoin(base)
+        out.append(lost.select(*by, F.lit(f).alias("feature"), *((F.col(f"base_{c}") - F.col(c)).alias(c) for c in names)))
+    return reduce(DataFrame.unionByName, out)

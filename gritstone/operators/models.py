@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import normal_sf
-from gritstone.functions.scalars import clipped_between, logistic
+from gritstone.functions.scalars import clipped_between, logistic, normal_cdf
 
 
 @dataclass
@@ -23,31 +23,36 @@ class Linear:
     coefficients: np.ndarray  # intercept first
     covariance: np.ndarray | None = None
     link: str = "identity"
+    intercept: bool = True
 
     def linear(self) -> Column:
-        return sum((F.col(c) * float(b) for c, b in zip(self.features, self.coefficients[1:], strict=True)), F.lit(float(self.coefficients[0])))
+        first, slopes = (self.coefficients[0], self.coefficients[1:]) if self.intercept else (0.0, self.coefficients)
+        return sum((F.col(c) * float(b) for c, b in zip(self.features, slopes, strict=True)), F.lit(float(first)))
 
     def predict(self) -> Column:
         eta = self.linear()
         if self.link == "logit":
             return logistic(eta)
+        if self.link == "probit":
+            return normal_cdf(eta)
         return F.exp(eta) if self.link == "log" else eta
 
     def table(self, df: DataFrame) -> DataFrame:
         """name, coefficient, standard error, z, p."""
         se = np.sqrt(np.diag(self.covariance)) if self.covariance is not None else np.full(len(self.coefficients), np.nan)
-        rows = [(n, float(b), float(s), float(b / s) if s else None, 2 * normal_sf(abs(b / s)) if s else None) for n, b, s in zip(["intercept", *self.features], self.coefficients, se, strict=True)]
+        rows = [(n, float(b), float(s), float(b / s) if s else None, 2 * normal_sf(abs(b / s)) if s else None) for n, b, s in zip(["intercept"] * self.intercept + self.features, self.coefficients, se, strict=True)]
         return df.sparkSession.createDataFrame(rows, "name string, coefficient double, std_error double, z double, p_value double")
 
 
 def gram(table: DataFrame, features: list[str], response: Column, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
     """X'WX, X'Wy, y'Wy and n over rows without nulls, as one aggregate of k(k+3)/2 sums."""
-    xs = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
-    w = weight if weight is not None else F.lit(1.0)
-    k = len(xs)
-    cells = {f"g_{i}_{j}": F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(i, k)} | {f"v_{i}": F.sum(w * xs[i] * response) for i in range(k)}
-    whole = table.where(response.isNotNull()).na.drop(subset=features)
-    row = whole.agg(F.count("*").alias("n"), F.sum(w * response * response).alias("yy"), *(c.alias(n) for n, c in cells.items())).first()
+    named = table.where(response.isNotNull()).na.drop(subset=features)
+    # a projection of its own, so that response and weight are computed once a row, not once a sum
+    whole = named.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features, 1)), response.alias("y"), (weight if weight is not None else F.lit(1.0)).alias("w"))
+    k, y, w = len(features) + 1, F.col("y"), F.col("w")
+    xs = [F.lit(1.0), *(F.col(f"x{i}") for i in range(1, k))]
+    cells = {f"g_{i}_{j}": F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(i, k)} | {f"v_{i}": F.sum(w * xs[i] * y) for i in range(k)}
+    row = whole.agg(F.count("*").alias("n"), F.sum(w * y * y).alias("yy"), *(c.alias(n) for n, c in cells.items())).first()
     g, v = np.zeros((k, k)), np.zeros(k)
     for i in range(k):
         v[i] = row[f"v_{i}"] or 0.0
@@ -64,20 +69,32 @@ def ordinary_least_squares(table: DataFrame, features: list[str], target: str, r
     return Linear(features, b, np.linalg.inv(g + penalty) * sse / max(n - len(b), 1))
 
 
-def iteratively_reweighted(table: DataFrame, features: list[str], target: str, family: str = "binomial", ridge: float = 0.0, rounds: int = 25, dispersion: float = 1.0) -> Linear:
-    """Binomial (also fractional targets), Poisson, gamma and negative-binomial models by Fisher scoring."""
+def iteratively_reweighted(table: DataFrame, features: list[str], target: str, family: str = "binomial", ridge: float = 0.0, rounds: int = 25, dispersion: float = 1.0, power: float = 1.5) -> Linear:
+    """Binomial (also fractional targets), probit, Poisson, gamma, negative-binomial and Tweedie models by Fisher scoring.
+
+    dispersion belongs to the negative binomial, power (of the mean in the variance) to Tweedie. The source is read once
+    and kept while the fit runs.
+    """
+    table = table.select(*features, target).persist()
+    try:
+        return _scored(table, features, target, family, ridge, rounds, dispersion, power)
+    finally:
+        table.unpersist()
+
+
+def _scored(table: DataFrame, features: list[str], target: str, family: str, ridge: float, rounds: int, dispersion: float, power: float) -> Linear:
     y = F.col(target).cast("double")
-    model = Linear(features, np.zeros(len(features) + 1), None, "logit" if family == "binomial" else "log")
-    if family != "binomial":
+    model = Linear(features, np.zeros(len(features) + 1), None, {"binomial": "logit", "probit": "probit"}.get(family, "log"))
+    if family not in ("binomial", "probit"):
         model.coefficients[0] = math.log(max(table.agg(F.avg(y)).first()[0] or 1e-9, 1e-9))
     for _ in range(rounds):
         eta, mu = model.linear(), model.predict()
-        if family == "binomial":
+        if family in ("binomial", "probit"):
             mu = clipped_between(mu, 1e-9, 1 - 1e-9)
-            w = mu * (1 - mu)
-            z = eta + (y - mu) / w
+            slope = mu * (1 - mu) if family == "binomial" else F.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
+            w, z = slope * slope / (mu * (1 - mu)), eta + (y - mu) / slope
         else:
-            w = {"poisson": mu, "gamma": F.lit(1.0), "negative_binomial": mu / (1 + dispersion * mu)}[family]
+            w = {"poisson": mu, "gamma": F.lit(1.0), "negative_binomial": mu / (1 + dispersion * mu), "tweedie": F.pow(mu, F.lit(2 - power))}[family]
             z = eta + (y - mu) / mu
         g, v, _, _ = gram(table, features, z, w)
         g = g + np.diag([0.0, *[ridge] * len(features)])
@@ -96,10 +113,19 @@ def accelerated_failure_time(table: DataFrame, features: list[str], duration: st
 
 
 def within_entity(table: DataFrame, features: list[str], target: str, entity: str) -> Linear:
-    """Panel regression with entity effects: least squares on deviations from entity means."""
-    means = table.groupBy(entity).agg(*(F.avg(c).alias(f"__{c}") for c in [*features, target]))
-    apart = table.join(means, entity).select(*((F.col(c) - F.col(f"__{c}")).alias(c) for c in [*features, target]))
-    return ordinary_least_squares(apart, features, target)
+    """Panel regression with entity effects: least squares on deviations from entity means.
+
+    There is no intercept; each entity's mean takes a degree of freedom. Rows with a null in any column count nowhere.
+    """
+    columns = [*features, target]
+    whole = table.na.drop(subset=columns)
+    means = whole.groupBy(entity).agg(*(F.avg(c).alias(f"__{c}") for c in columns))
+    apart = whole.join(means, entity).select(entity, *((F.col(c) - F.col(f"__{c}")).alias(c) for c in columns))
+    g, v, yy, n = gram(apart, features, F.col(target).cast("double"))
+    g, v, entities = g[1:, 1:], v[1:], means.count()
+    b = np.linalg.solve(g, v)
+    sse = max(yy - b @ v, 0.0)
+    return Linear(features, b, np.linalg.inv(g) * sse / max(n - entities - len(b), 1), intercept=False)
 
 
 def fit_by_segment(table: DataFrame, features: list[str], target: str, segment: str, min_rows: int = 30) -> DataFrame:
@@ -108,19 +134,19 @@ def fit_by_segment(table: DataFrame, features: list[str], target: str, segment:
     return table.groupBy(segment).agg(F.count("*").alias("n"), F.regr_intercept(target, x).alias("intercept"), F.regr_slope(target, x).alias("slope")).where(F.col("n") >= min_rows)
 
 
-def quantile_regression(table: DataFrame, features: list[str], target: str, q: float, rounds: int = 30) -> Linear:
-    """Pinball loss by reweighted least squares."""
+def quantile_regression(table: DataFrame, features: list[str], target: str, q: float, rounds: int = 200) -> Linear:
+    """Pinball loss by reweighted least squares; an error if the coefficients still move after `rounds`."""
     model = ordinary_least_squares(table, features, target)
     for _ in range(rounds):
         e = F.col(target) - model.linear()
-        w = F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(1e-6))
+        w = F.when(e >= 0, q).otherwise(1 - q) / F.greatest(F.abs(e), F.lit(1e-4))
         g, v, _, _ = gram(table, features, F.col(target).cast("double"), w)
         new = np.linalg.solve(g, v)
-        done = np.abs(new - model.coefficients).max() < 1e-7
+        moved = np.abs(new - model.coefficients).max()
         model = Linear(features, new)
-        if done:
-            break
-    return model
+        if moved < 1e-5:
+            return model
+    raise ArithmeticError(f"no convergence in {rounds} rounds: the last moved a coefficient by {moved}")
 
 
 @dataclass

@@ -1,0 +1 @@
+"""The registered queries of the engine."""

@@ -67,13 +67,11 @@ register("correlations", " " + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{
 register("vif", f", c AS (SELECT corr(amount, balance) AS r FROM book) SELECT unnest(['amount', 'balance']) AS \"column\", {r('1 / (1 - r * r)')} AS vif FROM c", lambda b: diagnostics.vif(b, ["amount", "balance"]))
 register("dependency", None, lambda b: diagnostics.dependency(b, ["amount", "balance", "score", "challenger"]))
 register("outliers", f", t AS (SELECT avg(balance) AS m, stddev_pop(balance) AS s FROM book) SELECT id, balance, {r('(balance - m) / s')} AS z FROM book, t WHERE abs((balance - m) / s) >= 1.6", lambda b: diagnostics.outliers(b, "id", "balance", 1.6))
-register("qq_residuals", None, lambda b: diagnostics.qq(b.withColumn("residual", F.col("target") - F.col("score")), "id", "residual"))
 register("duplicate_keys", f" SELECT count(*) AS keys, {big('sum(n - 1)')} AS duplicates, max(n) AS largest FROM (SELECT count(*) AS n FROM book GROUP BY entity, date)", lambda b: diagnostics.duplicate_keys(b, ["entity", "date"]), None)
 register("date_gaps", " SELECT entity, count(*) AS n, CAST(max(g) AS INTEGER) AS max_gap FROM (SELECT entity, date_diff('day', CAST(lag(date) OVER (PARTITION BY entity ORDER BY date, id) AS DATE), CAST(date AS DATE)) AS g FROM book) GROUP BY entity", lambda b: diagnostics.gaps(b, "entity", "date", "id"), None)
 register("suitability", f" SELECT count(*) AS n, {big('sum(target)')} AS events, {r('sum(target) / count(*)')} AS rate, {r('sum(target) / 4')} AS events_per_feature FROM book", lambda b: diagnostics.suitability(b, "target", 4))
 register("cardinality", " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(DISTINCT {c}) AS \"distinct\", count(DISTINCT {c}) > 500 AND count(DISTINCT {c}) / count(*) > 0.2 AS too_many FROM book" for c in ("segment", "id")), lambda b: diagnostics.cardinality(b, ["segment", "id"]), None)
 register("screening", " " + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS missing, {r(f'var_samp({c})', 2)} AS variance, {r(f'abs(corr({c}, CAST(target AS DOUBLE)))')} AS relation, 'keep' AS status FROM book" for c in ("sparse", "balance")), lambda b: diagnostics.screening(b, ["sparse", "balance"], "target").select("column", rounded("missing").alias("missing"), rounded("variance", 2).alias("variance"), rounded("relation").alias("relation"), "status"), None)
-register("residual_summary", None, lambda b: diagnostics.residual_summary(b, "target", "score"), 4)
 register("fingerprint", None, lambda b: tables.fingerprint(b).select("rows", F.col("checksum").cast("string").alias("checksum")), None)
 
 # models
@@ -82,8 +80,6 @@ register("segment_fits", f" SELECT segment, count(*) AS n, {r('regr_intercept(ba
 register("logistic_fit", None, lambda b: models.iteratively_reweighted(b.where("split = 'train'").withColumn("amount", F.col("amount") / 1e5).withColumn("balance", F.col("balance") / 1e4), ["amount", "balance"], "target").table(b))
 on_lines("fractional_fit", None, lambda d: models.iteratively_reweighted(d, ["quantity"], "lgd").table(d))
 on_lines("poisson_fit", None, lambda d: models.iteratively_reweighted(d.withColumn("count", F.floor("lgd")), ["quantity"], "count", "poisson").table(d))
-register("panel_fit", None, lambda b: models.within_entity(b, ["amount"], "score", "entity").table(b))
-on_lines("survival_fit", None, lambda d: models.accelerated_failure_time(d, ["lgd"], "quantity").table(d))
 on_lines("quantile_fit", None, lambda d: models.quantile_regression(d, ["quantity"], "lgd", 0.75).table(d).select("name", "coefficient"))
 
 
@@ -105,26 +101,15 @@ register("decision_tree", None, _tree, None)
 COLUMNS = ["amount", "balance"]
 SCORE = "1 / (1 + exp(-(-0.5 + {a} / 4e5 - {b} / 2e4)))"
 register("partial_dependence", f" SELECT segment, g AS value, {r('avg(' + SCORE.format(a='g', b='balance') + ')')} AS mean_score FROM book, (SELECT unnest([5e4, 1e5, 2e5, 4e5]) AS g) GROUP BY 1, 2", lambda b: explain.partial_dependence(b, COLUMNS, "amount", [5e4, 1e5, 2e5, 4e5], fixed_score, ("segment",)))
-register("individual_curves", f" SELECT id, g AS value, {r(SCORE.format(a='g', b='balance'))} AS score, {r(SCORE.format(a='g', b='balance') + ' - ' + SCORE.format(a='5e4', b='balance'))} AS centred FROM book, (SELECT unnest([5e4, 2e5]) AS g) WHERE id % 50 = 1", lambda b: explain.individual_curves(b.where("id % 50 = 1"), COLUMNS, "id", "amount", [5e4, 2e5], fixed_score))
 register("individual_curves_every_row", f" SELECT id, g AS value, {r(SCORE.format(a='g', b='balance'))} AS score, {r(SCORE.format(a='g', b='balance') + ' - ' + SCORE.format(a='5e4', b='balance'))} AS centred FROM book, (SELECT unnest([5e4, 2e5]) AS g)", lambda b: explain.individual_curves(b, COLUMNS, "id", "amount", [5e4, 2e5], fixed_score))
 register("two_way_dependence", f" SELECT x AS a, y AS b, {r('avg(' + SCORE.format(a='x', b='y') + ')')} AS mean_score FROM book, (SELECT unnest([1e5, 3e5]) AS x), (SELECT unnest([0.0::DOUBLE, 5e3]) AS y) GROUP BY 1, 2", lambda b: explain.two_way(b, COLUMNS, "amount", "balance", [1e5, 3e5], [0.0, 5e3], fixed_score))
-register("accumulated_effects", None, lambda b: explain.accumulated_effects(b, COLUMNS, "amount", 5, fixed_score))
 register("marginal_effect", f" SELECT {r('avg((' + SCORE.format(a='(amount + 1000)', b='balance') + ' - ' + SCORE.format(a='(amount - 1000)', b='balance') + ') / 2000)', 12)} AS effect, count(amount) AS n FROM book", lambda b: explain.marginal_effect(b, COLUMNS, "amount", 1000.0, fixed_score), 12)
 register("scenario", f" SELECT segment, count(*) AS n, {r('avg(' + SCORE.format(a='amount', b='balance') + ')')} AS base, {r('avg(' + SCORE.format(a='(amount * 1.2::DOUBLE)', b='(balance - 500)') + ')')} AS shocked, {r('avg(' + SCORE.format(a='(amount * 1.2::DOUBLE)', b='(balance - 500)') + ' - ' + SCORE.format(a='amount', b='balance') + ')')} AS change FROM book GROUP BY segment", lambda b: explain.scenario(b, COLUMNS, {"amount": ("multiply", 1.2), "balance": ("add", -500.0)}, fixed_score, ("segment",)))
-register("permutation_importance", None, lambda b: metrics.rank_metrics(explain.permuted(b, "id", "amount").withColumn("score", rounded(fixed_score({c: F.col(c) for c in COLUMNS}))), "target", "score", ("split",)))
 
 # tests
-register("mcnemar", f", d AS (SELECT (score >= 0.5) = (target = 1) AS a, (challenger >= 0.5) = (target = 1) AS b FROM book), k AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS x, count(*) FILTER (WHERE b AND NOT a) AS y FROM d) SELECT x AS first_only, y AS second_only, {r('(abs(x - y) - 1) ** 2 / (x + y)')} AS statistic FROM k", lambda b: hypothesis_tests.mcnemar(b, (F.col("score") >= 0.5) == (F.col("target") == 1), (F.col("challenger") >= 0.5) == (F.col("target") == 1)).drop("p_value"))
-register("two_sample_ks", f", h AS (SELECT amount, count(*) FILTER (WHERE split = 'train') AS a, count(*) FILTER (WHERE split <> 'train') AS b FROM book GROUP BY amount), d AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS d, sum(a) OVER () AS n, sum(b) OVER () AS m FROM h WINDOW w AS (ORDER BY amount ROWS UNBOUNDED PRECEDING)) SELECT {r('max(d)')} AS statistic, {big('max(n)')} AS n, {big('max(m)')} AS m FROM d", lambda b: hypothesis_tests.kolmogorov_smirnov(b, "amount", F.col("split") == "train").drop("p_value"))
-AUC = "(SELECT sum(pos * (nu - neg / 2)) / (any_value(pa) * any_value(na)) FROM (SELECT *, sum(neg) OVER (ORDER BY s ROWS UNBOUNDED PRECEDING) AS nu, sum(pos) OVER () AS pa, sum(neg) OVER () AS na FROM (SELECT {s} AS s, sum(target) AS pos, sum(1 - target) AS neg FROM book GROUP BY 1)))"
-register("delong", f" SELECT {r(AUC.format(s='score'))} AS auc_a, {r(AUC.format(s='challenger'))} AS auc_b", lambda b: hypothesis_tests.delong(b, "target", "score", "challenger").select("auc_a", "auc_b"))
 MONTHS = ", m AS (SELECT strftime(date, '%Y-%m') AS month, avg(CAST(target AS DOUBLE)) - avg(score) AS e FROM book GROUP BY 1)"
 monthly = lambda b: b.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg((F.avg(F.col("target").cast("double")) - F.avg("score")).alias("e"))
 register("durbin_watson", MONTHS + f" SELECT {r('sum(d * d) / sum(e * e)')} AS durbin_watson, count(*) AS n FROM (SELECT e, e - lag(e) OVER (ORDER BY month) AS d FROM m)", lambda b: hypothesis_tests.durbin_watson(monthly(b), "month", "e"))
-register("ljung_box", MONTHS + ", c AS (SELECT e - avg(e) OVER () AS e, month FROM m), l AS (SELECT e, " + ", ".join(f"lag(e, {k}) OVER (ORDER BY month) AS e{k}" for k in range(1, 5)) + " FROM c)" + f" SELECT count(*) AS n, {r('count(*) * (count(*) + 2) * (' + ' + '.join(f'(sum(e * e{k}) / sum(e * e)) ** 2 / (count(*) - {k})' for k in range(1, 5)) + ')')} AS statistic FROM l", lambda b: hypothesis_tests.ljung_box(monthly(b), "month", "e").drop("p_value"))
-register("diebold_mariano", None, lambda b: hypothesis_tests.diebold_mariano(b.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.avg((F.col("score") - F.col("target")) ** 2 - (F.col("challenger") - F.col("target")) ** 2).alias("d")), ["month"], "d"))
-register("chow_break", None, lambda b: hypothesis_tests.chow(b, ["amount"], "score", F.col("split") == "train"))
-register("breusch_pagan", None, lambda b: hypothesis_tests.breusch_pagan(b.withColumn("e2", (F.col("target") - F.col("score")) ** 2), ["amount", "balance"], "e2"))
 
 # events
 QUERIES["windowed_events"] = lambda spark, sf: neat(scoring.windowed(spark.read.parquet(f"{sf}/events.parquet"), "ts", "event_type", "value"))

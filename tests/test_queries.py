@@ -5,10 +5,10 @@ import math
 import duckdb
 import pytest
 
-from gritstone.plans import catalogue, review
+from gritstone.plans import everything
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, SQL = {**catalogue.queries(), **review.queries()}, {**catalogue.oracle_sql(), **review.oracle_sql()}
+QUERIES, SQL = everything.queries(), everything.oracle_sql()
 
 
 @pytest.fixture(scope="module")
