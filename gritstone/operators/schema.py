@@ -16,7 +16,7 @@ FALSE_WORDS = ("0", "false", "f", "no", "n")
 
 def cast_column(x: Column, kind: str) -> Column:
     """A tolerant cast: what can't be read is null; a fractional number is no integer."""
-    if kind in ("string", "str", "text", "category"):
+    if kind in ("string", "str", "text", "category", "categorical"):
         return x.cast("string")
     number = x.try_cast("double")
     if kind in ("float", "float64", "double"):
@@ -26,7 +26,7 @@ def cast_column(x: Column, kind: str) -> Column:
     if kind in ("bool", "boolean"):
         word = F.lower(strip(x.cast("string")))
         return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
-    if kind in ("datetime", "date"):
+    if kind in ("datetime", "datetime64", "date"):
         return x.try_cast("timestamp")
     raise ValueError(f"unknown type {kind}")
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gritstone.plans import catalogue, evidence, review
+from gritstone.plans import catalogue, evidence, frameworks, review
 from gritstone.plans.registry import Query
 
-_REGISTRIES = (evidence.REGISTRY,)
+_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY)
 
 
 def queries() -> dict[str, Query]:

@@ -10,7 +10,7 @@ def condition(table: DataFrame, name: str, op: str, value) -> Column | None:
     """The predicate of one filter; an unknown column or operation, or an empty list, filters nothing."""
     if name not in table.columns:
         return None
-    c = F.col(name)
+    c, op = F.col(name), str(op).lower()
     if op in ("eq", "="):
         return c == F.lit(value)
     if op in ("contains", "like"):

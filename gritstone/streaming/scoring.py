@@ -12,5 +12,8 @@ def scored_stream(stream: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 
 def windowed(stream: DataFrame, time: str, key: str, value: str, length: str = "1 day", late: str = "2 hours") -> DataFrame:
-    held = stream.withWatermark(time, late) if stream.isStreaming else stream
-    return held.groupBy(F.window(time, length).alias("w"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).select(F.col("w.start").alias("start"), key, "n", "mean")
+    """key, window start, n and mean; a stream drops what comes later than `late`. Times without a zone are taken in the session's."""
+    kind = dict(stream.dtypes)[time]
+    held = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if stream.isStreaming else stream
+    counted = held.groupBy(F.window(time, length).alias("w"), key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
+    return counted.select(F.col("w.start").cast(kind).alias("start"), key, "n", "mean")
