@@ -139,7 +139,8 @@ def _band(edits: int) -> int:
 
 
 def _simulated_repeats(own: ItemClass, recall: float, rng: np.random.Generator) -> int:
-    """Repeats after which the simulated share of items found after the most edits allowed reaches the recall; 0 if it doesn't."""
+    """Repeats after which the simulated share of items found after the most edits allowed reaches the recall, and half as
+    many again, as so many trials leave the share uncertain; 0 if MAX_REPEATS don't reach it."""
     chosen = own.words[rng.integers(0, len(own.words), TRIALS)]
     both, n = padded_rows([*chosen, *(_edited(x, own.edits, rng) for x in chosen)])
     caught = np.zeros(TRIALS, bool)
@@ -147,7 +148,7 @@ def _simulated_repeats(own: ItemClass, recall: float, rng: np.random.Generator)
         keys = lsh_keys(both, n, np.full(len(both), seed))
         caught |= keys[:TRIALS] == keys[TRIALS:]
         if seed >= 7 and caught.mean() >= recall:
-            return seed + 1
+            return min(MAX_REPEATS, (seed + 1) * 3 // 2)
     return 0
 
 
