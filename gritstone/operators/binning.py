@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import category
+from gritstone.operators.quantiles import exact_quantiles
 from gritstone.operators.splits import global_rank
 
 
@@ -21,8 +22,7 @@ def rank_band(table: DataFrame, order: list[str], q: int, by: tuple[str, ...] =
 
 def quantile_edges(train: DataFrame, source: str, bins: int) -> list[float]:
     """Interior edges of linear-interpolated quantiles, without repeats."""
-    points = train.agg(F.percentile(F.col(source).cast("double"), F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("q")).first()["q"] or []
-    edges = sorted(set(points))
+    edges = sorted({q for q in exact_quantiles(train, source, [k / bins for k in range(bins + 1)]) if q is not None})
     return edges[1:-1]
 
 

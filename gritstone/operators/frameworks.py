@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gritstone.functions.scalars import clipped_between
 from gritstone.operators.metrics import probability_losses, rank_metrics, score_counts
 from gritstone.operators.models import gram
+from gritstone.operators.quantiles import exact_quantiles
 from gritstone.operators.splits import global_rank
 
 
@@ -30,7 +31,7 @@ def with_target(table: DataFrame, target: str) -> DataFrame:
 
 def fence_flags(table: DataFrame, key: str, column: str, reach: float = 1.5) -> DataFrame:
     """key, value, side of the rows beyond the quartiles by more than `reach` interquartile ranges."""
-    low, high = table.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or (None, None)
+    low, high = exact_quantiles(table, column, [0.25, 0.75])
     x = F.col(column)
     side = F.when(x < F.lit(low) - reach * (F.lit(high) - F.lit(low)), "low").when(x > F.lit(high) + reach * (F.lit(high) - F.lit(low)), "high")
     return table.select(key, x.alias("value"), side.alias("side")).where("side IS NOT NULL")
@@ -72,9 +73,8 @@ def challenger_comparison(table: DataFrame, target: str, primary: str, challenge
 
 def quantile_summary(table: DataFrame, columns: list[str], points: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """column, quantile, value."""
-    row = table.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(c) for c in columns))
-    each = (F.struct(F.lit(c).alias("column"), F.lit(p).alias("quantile"), F.get(F.col(c), F.lit(k)).alias("value")) for c in columns for k, p in enumerate(points))
-    return row.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+    rows = [(c, p, q) for c in columns for p, q in zip(points, exact_quantiles(table, c, list(points)))]
+    return table.sparkSession.createDataFrame(rows, "column string, quantile double, value double")
 
 
 def rolling_residuals(table: DataFrame, period: Column, target: str, score: str, width: int = 3) -> DataFrame:

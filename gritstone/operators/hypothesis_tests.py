@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import chi2_sf, f_sf, kolmogorov_sf, normal_sf, t_two_sided
 from gritstone.operators.models import gram
+from gritstone.operators.quantiles import running_shares
 
 
 def mcnemar(table: DataFrame, first_right: Column, second_right: Column) -> DataFrame:
@@ -19,10 +20,10 @@ def mcnemar(table: DataFrame, first_right: Column, second_right: Column) -> Data
 
 
 def kolmogorov_smirnov(table: DataFrame, value: str, sample: Column) -> DataFrame:
-    """Two-sample statistic and asymptotic p-value; sample is true for the first one. Values are counted first."""
+    """Two-sample statistic and asymptotic p-value; sample is true for the first one. Values are counted first, and summed within ranges."""
     held = table.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(sample.cast("bigint")).alias("a"), F.sum((~sample).cast("bigint")).alias("b"))
-    upto, every = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    gap = held.select(F.abs(F.sum("a").over(upto) / F.sum("a").over(every) - F.sum("b").over(upto) / F.sum("b").over(every)).alias("d"), F.sum("a").over(every).alias("n"), F.sum("b").over(every).alias("m"))
+    shares = running_shares(held, value, ["a", "b"])
+    gap = shares.select(F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all")).alias("d"), F.col("a_all").alias("n"), F.col("b_all").alias("m"))
     d, n, m = gap.agg(F.max("d"), F.max("n"), F.max("m")).first()
     root = math.sqrt(n * m / (n + m)) if n and m else 0.0
     return table.sparkSession.createDataFrame([(d, n, m, kolmogorov_sf((root + 0.12 + 0.11 / root) * d) if root else None)], "statistic double, n bigint, m bigint, p_value double")
