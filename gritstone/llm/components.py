@@ -22,21 +22,28 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return hung.where("a <> b").distinct()
 
 
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """The number of edges (a > b, distinct), and whether each node with an edge hangs on one that hangs on nothing."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    total, loose = nodes.agg(F.sum("up"), F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()
+    return total or 0, not loose
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the least node reachable, for every node that has an edge. Edges stay distributed.
 
-    Each round is written to the shared folder; what the driver sees is a row count and a checksum per round. The
-    number of rounds grows with the logarithm of the longest chain. Null ends are ignored, loops too.
+    Each round is written to the shared folder; what the driver sees is a row count and a flag per round. The
+    number of rounds grows with the logarithm of the longest chain, and is 0 where the edges are stars around the least
+    nodes already. Null ends are ignored, loops too.
     """
     spark = edges.sparkSession
-    now, path = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
-    seen, total = None, now.count()
-    while True:
+    ends = F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+    now, path = written(edges.where(F.col(a) != F.col(b)).select(*ends).distinct(), "edges")
+    total, done = _state(now)
+    while not done:
         following, next_path = written(_star(_star(now, True, total), False, total), "edges")
-        state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(spark, path)
         now, path = following, next_path
-        if tuple(state) == seen or not state[0]:
-            break
-        seen, total = tuple(state), state[0]
+        total, done = _state(now)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())

@@ -241,22 +241,22 @@ class _Cluster:
 
 
 def link_within(members: list[tuple[int, int, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
-    """Links that connect all linked (class, n, shingles) of one group, by token unions of what is connected so far."""
+    """Each linked (class, n, shingles) of one group with the least class that links connect it to here, by token unions of
+    what is connected so far. Stars instead of the links themselves, which may form long chains."""
     clusters: list[_Cluster] = []
     for member in members:
         met, apart = [], []
         for cluster in clusters:
-            partner = next((m for m in reversed(cluster.members) if _links(m[2], m[1], member[2], member[1], percent)), None) if cluster.opens(member, percent) else None
-            if partner is None:
-                apart.append(cluster)
-            else:
-                met.append(cluster)
-                yield member[0], partner[0]
+            linked = cluster.opens(member, percent) and any(_links(m[2], m[1], member[2], member[1], percent) for m in reversed(cluster.members))
+            (met if linked else apart).append(cluster)
         own = _Cluster(member)
         for cluster in met:
             cluster.take(own)
             own = cluster
         clusters = [*apart, own]
+    for cluster in clusters:
+        least = min(m[0] for m in cluster.members)
+        yield from ((m[0], least) for m in cluster.members if m[0] != least)
 
 
 def _group_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -290,7 +290,10 @@ def _candidates(docs: DataFrame, signed: DataFrame, width: int, percent: int, te
 
 
 def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent: int = 80, text_col: str = "text") -> DataFrame:
-    """(a, b): links between classes that connect exactly what Jaccard links connect."""
+    """(a, b): edges between classes that connect exactly what Jaccard links connect.
+
+    What the groups link comes as stars, from its components, so that those of the result take few rounds more.
+    """
     spark = docs.sparkSession
     survivors, _ = written(_candidates(docs, signed, width, percent, text_col), "candidates")
 
@@ -313,7 +316,7 @@ def jaccard_links(docs: DataFrame, signed: DataFrame, *, width: int = 5, percent
     chunk = F.pmod(F.xxhash64("class"), F.ceil(F.col("held") / GROUP_MEMBERS))
     named = join_hot(places, members, "component", "size", places.count()).select("class", "component", F.xxhash64("component", chunk).alias("group"))
     grouped, _ = written(survivors.join(named, "class"), "groups")
-    return near.union(_matrix_links(grouped, percent))
+    return component.toDF("a", "b").union(_matrix_links(grouped, percent))
 
 
 def _matrix_links(grouped: DataFrame, percent: int) -> DataFrame:
