@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gritstone.llm import decontamination, interpolated_lm, jaccard_join, language_id, packing, pii, repetition, secret_scan, token_files, url_filter
+from gritstone.llm import centroids, decontamination, fill_in_middle, interpolated_lm, jaccard_join, language_id, packing, pii, repetition, secret_scan, source_mix, token_files, url_filter
 
 
 def _public(name: str) -> str:
@@ -59,9 +59,43 @@ def op10_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.op10(_table(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.op11(_table(spark, sf_dir, "documents"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.op12(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.op13(_table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (
+    op1_token_files,
+    op2_language_filters,
+    op3_personal_data,
+    op4_exact_packing,
+    op5_url_rules,
+    op6_interpolated_lm,
+    op7_jaccard_join,
+    op8_randomness_secrets,
+    op9_decontamination,
+    op10_repetition_rules,
+    op11_source_mix,
+    op12_sort_means,
+    op13_fill_in_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_files, op2_language_filters, op3_personal_data, op4_exact_packing, op5_url_rules, op6_interpolated_lm, op7_jaccard_join, op8_randomness_secrets, op9_decontamination, op10_repetition_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": url_filter.OP5_SQL}
+    return {
+        "op5_url_rules": url_filter.OP5_SQL,
+        "op11_source_mix": source_mix.OP11_SQL,
+        "op12_sort_means": centroids.op12_sql(),
+        "op13_fill_in_middle": fill_in_middle.OP13_SQL,
+    }
