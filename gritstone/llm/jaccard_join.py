@@ -6,7 +6,7 @@
    bucket sends back those that two classes have. A class of n shingles can have a partner only if at least 80 % of n
    are shared, so all others are done. A shingle that a task has met often is known to be shared: beyond FREQUENT_TEXTS
    of its classes there, the task marks the shingle at its bucket and sends the other classes past it, so that no bucket
-   gathers the holders of a very frequent one.
+   gathers the holders of a very frequent one. Counters name the shingle they count, so what is sent past is marked.
 3. Similar classes meet in groups by the least hash of their shared shingles (large groups are dealt into chunks) and
    are linked there; links make components.
 4. The token-group matrix: a group is a chunk of one component, its row the union of the prefixes of its members. Two
@@ -43,8 +43,8 @@ REQUEST_BYTES = 2 << 20
 #: Shingles of a class that follow each other in a request, and rows that may be broadcast.
 RUN, BROADCAST_ROWS = 255, 100_000
 #: A task's classes with one shingle that go to its bucket, per COUNTED shingles of the task, and its counters for them.
-#: Shingles that share a counter may be taken for frequent, which costs time but no link.
-FREQUENT_TEXTS, COUNTED, COUNTERS = 32, 1 << 25, 1 << 22
+#: A shingle that loses its counter to others is not taken for frequent, which costs time but no link.
+FREQUENT_TEXTS, COUNTED, COUNTERS = 32, 1 << 25, 1 << 21
 #: How frequent a shingle is: a power of two of its classes, or MARKED.
 MARKED = 255
 #: Groups of one token that are paired in one task.
@@ -97,6 +97,32 @@ def signatures(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(sign, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, class bigint")
 
 
+class Frequent:
+    """How often a task has met shingles: of those that share a counter the counter names one, found by majority vote."""
+
+    def __init__(self, counters: int):
+        self.owner, self.count = np.zeros(counters, U), np.zeros(counters, np.int64)
+
+    def met(self, shingles: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Count distinct shingles that are met `size` times each. Returns how often each was counted before; -1: unknown.
+
+        A count never exceeds how often its shingle came since it last took its counter, starting from 0.
+        """
+        slot = (mix(shingles) % U(len(self.owner))).astype(np.int64)
+        named = (self.owner[slot] == shingles) & (self.count[slot] > 0)
+        before = np.where(named, self.count[slot], -1)
+        order = np.lexsort((size, slot))
+        first = _starts(slot[order])
+        own, at = slot[order[first]], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        largest = order[np.append(first[1:], len(order)) - 1]
+        left = self.count[own] + np.bincount(at, np.where(named, size, -size)[order]).astype(np.int64)
+        taken = (left < 0) & ~named[largest]
+        self.count[own] = np.where(taken, size[largest], np.maximum(left, 0))
+        self.owner[own[taken]] = shingles[largest[taken]]
+        before[largest[taken]] = 0
+        return before
+
+
 def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataFrame:
     """bucket, known, classes and their counts, shingles; packed, shingles class after class.
 
@@ -106,7 +132,7 @@ def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataF
     bytes_each = key_width(buckets)
 
     def request(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, met, counted = [], np.zeros(COUNTERS, np.int32), 0
+        rows, frequent, counted = [], Frequent(COUNTERS), 0
 
         def emit(bucket, known, classes, doc, keys):
             starts = _starts(doc)
@@ -126,15 +152,14 @@ def _requests(docs: DataFrame, width: int, buckets: int, text_col: str) -> DataF
             if not len(doc):
                 continue
             if counted > COUNTED:
-                met[:], counted = 0, 0
+                frequent, counted = Frequent(COUNTERS), 0
             counted += len(doc)
             order = np.argsort(shingles)
             first = _starts(shingles[order])
             size = np.diff(np.append(first, len(order)))
-            counter = (mix(shingles[order[first]]) % U(COUNTERS)).astype(np.int64)
-            nth = np.empty(len(doc), np.int64)  # how often the task has met the shingle before
-            nth[order] = np.repeat(met[counter] - first, size) + np.arange(len(order))
-            np.add.at(met, counter, size)
+            before = frequent.met(shingles[order[first]], size)
+            nth = np.empty(len(doc), np.int64)  # how often the task has met the shingle before; -1: it is not counted
+            nth[order] = np.where(np.repeat(before, size) >= 0, np.repeat(before - first, size) + np.arange(len(order)), -1)
             bucket, rest = (shingles % U(buckets)).astype(np.int64), shingles // U(buckets)
             for known, at in ((-1, nth < FREQUENT_TEXTS), (-2, nth == FREQUENT_TEXTS), (None, nth > FREQUENT_TEXTS)):
                 by = np.flatnonzero(at)

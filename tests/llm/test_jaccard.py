@@ -125,6 +125,42 @@ def test_hot_keys_give_the_same_links(spark, monkeypatch):
     check(spark.createDataFrame(near_copies(21, 25, 8), "doc_id bigint, text string").repartition(4))
 
 
+@pytest.mark.parametrize("counters", [1, 16, 4096, 1 << 21])
+def test_shingles_that_share_a_counter_are_not_taken_for_frequent(spark, monkeypatch, counters):
+    """One task meets a long common passage often; pairs at exactly 80 % are split over two tasks."""
+    monkeypatch.setattr(J, "COUNTERS", counters)
+    rng = np.random.default_rng(3)
+    word = lambda: "v" + str(rng.integers(0, 10**9))
+    passage = " ".join(word() for _ in range(3000))
+    left, right = [f"{word()} {passage}" for _ in range(100)], []
+    for _ in range(600):
+        words = [word() for _ in range(13)]  # 9 shingles each, 8 of them in both: 8 of 10
+        left.append(" ".join(words))
+        right.append(" ".join([*words[:-1], word()]))
+    rows = list(enumerate(left + right))
+    halves = [spark.createDataFrame(part, "doc_id bigint, text string").coalesce(1) for part in (rows[: len(left)], rows[len(left) :])]
+    got = {r["doc_id"]: r["component_id"] for r in J.op7(spark, halves[0].union(halves[1])).collect()}
+    assert all(got[len(left) + k] == 100 + k for k in range(600))
+    assert {got[k] for k in range(100)} == {0}
+
+
+def test_counters_never_count_too_much():
+    """What a counter has counted is at most what came, and a shingle above the limit has crossed it before."""
+    rng, limit = np.random.default_rng(8), 5
+    for counters in (1, 3, 50):
+        frequent, came, marked = J.Frequent(counters), {}, set()
+        for _ in range(400):
+            shingles, size = np.unique(rng.zipf(1.4, rng.integers(1, 30)) % 200 + 1, return_counts=True)
+            for x, n, before in zip(shingles.tolist(), size.tolist(), frequent.met(shingles.astype(np.uint64), size).tolist()):
+                assert before <= came.get(x, 0)
+                if before > limit:
+                    assert x in marked
+                elif before >= 0 and before + n > limit:
+                    marked.add(x)
+                came[x] = came.get(x, 0) + n
+    assert marked
+
+
 def test_one_document_of_each_group_stays(spark):
     """Repeated rows, repeated and null ids, wordless texts, and columns named as the operator's own."""
     a, b = "one two three four five six seven", "eight nine ten eleven twelve"
