@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gritstone.plans import catalogue, evidence, frameworks, review, robustness
+from gritstone.plans import catalogue, evidence, families, frameworks, review, robustness
 from gritstone.plans.registry import Query
 
-_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY, robustness.REGISTRY)
+_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY, robustness.REGISTRY, families.REGISTRY)
 
 
 def queries() -> dict[str, Query]:
