@@ -43,6 +43,15 @@ def _pack(x: np.ndarray, kind: str) -> bytes:
     return x.astype(kind).tobytes()
 
 
+def packed_counts(x: np.ndarray) -> bytes:
+    """Counts in four bytes each, or in eight where one needs them."""
+    return _pack(x, "<u4" if x.max(initial=0) < 1 << 32 else "<u8")
+
+
+def unpacked_counts(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, "<u4" if len(packed) == 4 * n else "<u8").astype(np.int64)
+
+
 def _blocks(docs: DataFrame, kind: Column, id_col: str, text_col: str) -> DataFrame:
     """One row per block of texts of one kind: block, kind, ids, lengths, vocabulary, and its index of each token.
 
@@ -130,7 +139,8 @@ class _Block:
         """Counts of each token and of each token's bigram, from the buckets' answers."""
         found = np.zeros(len(self.keys), np.int64)
         for x in answers:
-            found[self.order[slice(*self.parts[x["bucket"]])]] = np.frombuffer(x[name], "<u4")
+            first, last = self.parts[x["bucket"]]
+            found[self.order[first:last]] = unpacked_counts(x[name], last - first)
         return found[: self.n], found[self.n :]
 
 
@@ -173,10 +183,10 @@ def _answers(requests: DataFrame, buckets: int) -> DataFrame:
         training = np.add.reduceat(np.where(kind != HELD_OUT, counts, 0)[order], first)
         is_word = word[order][first]
         totals = {"n": int(training[is_word].sum()), "n_fold": int(fold[is_word].sum()), "v": int((training[is_word] > 0).sum())}
-        training, fold = training[number].astype("<u4"), fold[number].astype("<u4")
+        training, fold = training[number], fold[number]
         out = [{"block": -1, "kind": -1, "bucket": rows[0]["bucket"], **totals}]
         for x, a, b in zip(rows, starts, starts[1:], strict=False):
-            out.append({"block": x["block"], "kind": x["kind"], "bucket": x["bucket"], "training": training[a:b].tobytes(), "fold": fold[a:b].tobytes() if x["kind"] == FOLD else None})
+            out.append({"block": x["block"], "kind": x["kind"], "bucket": x["bucket"], "training": packed_counts(training[a:b]), "fold": packed_counts(fold[a:b]) if x["kind"] == FOLD else None})
         return pa.Table.from_pylist(out, schema=pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("training", pa.binary()), ("fold", pa.binary()), ("n", pa.int64()), ("n_fold", pa.int64()), ("v", pa.int64())]))
 
     return requests.groupBy("bucket").applyInArrow(answer, "block bigint, kind int, bucket int, training binary, fold binary, n bigint, n_fold bigint, v bigint")

@@ -71,3 +71,19 @@ def test_em_finds_the_mixture():
     level2, level1 = np.where(right, 4, -1), np.where(right, 60, 16)
     w = L.learn_weights(np.full(20000, 5), level2, level1, np.ones(20000), 1e-9)
     assert abs(w[5, 0] - 0.7) < 0.02 and abs(w[5].sum() - 1) < 1e-9 and np.allclose(w[9], w[5])
+
+
+def test_counts_beyond_32_bits(spark):
+    """Two blocks with three billion of one word each, and a few of another."""
+    from gritstone.llm.common import key_width, packed_keys
+
+    keys = np.array([3, 9], np.uint64)
+    schema = "bucket int, block bigint, kind int, words int, keys binary, counts binary"
+    rows = [(0, block, kind, 2, packed_keys(keys, key_width(1)), np.array([3_000_000_000, 5], "<u4").tobytes()) for block, kind in ((1, L.REST), (2, L.FOLD), (3, L.HELD_OUT))]
+    got = {r["block"]: r for r in L._answers(spark.createDataFrame(rows, schema), 1).collect()}
+    assert (got[-1]["n"], got[-1]["n_fold"], got[-1]["v"]) == (6_000_000_010, 3_000_000_005, 2)
+    for block in (1, 2, 3):
+        assert L.unpacked_counts(got[block]["training"], 2).tolist() == [6_000_000_000, 10]
+    assert L.unpacked_counts(got[2]["fold"], 2).tolist() == [3_000_000_000, 5]
+    for held in ([], [0], [2**32 - 1], [2**32], [1, 2**40]):
+        assert L.unpacked_counts(L.packed_counts(np.array(held, np.int64)), len(held)).tolist() == held
