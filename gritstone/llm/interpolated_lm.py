@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gritstone.llm.common import clipped, free_name, key_width, packed_keys, text_slices, unpacked_keys, written
 from gritstone.llm.words import GRAM_CODE, U, mix, words_of
 
-BLOCK_BYTES, BUCKET_KEYS = 12 << 20, 1_200_000
+BLOCK_BYTES, BUCKET_KEYS = 8 << 20, 1_000_000
 REST, FOLD, HELD_OUT = 0, 1, 2
 END = 0x5851F42D4C957F2D
 STEPS = 4  # of a power of two
