@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import logistic
 from gritstone.operators.blocks import block_sums, doubles
-from gritstone.operators.quantiles import exact_quantiles
+from gritstone.operators.quantiles import quantiles_of
 
 
 @dataclass
@@ -92,11 +92,8 @@ def additive_boosting(table: DataFrame, features: list[str], target: str, binary
         total = held.agg(F.count("*"), F.avg(target)).first()
         if not total[0]:
             raise ValueError("no row has a target")
-        cuts = []
-        for c in features:
-            points = exact_quantiles(held, c, [k / bins for k in range(1, bins)])
-            low_high = held.agg(F.max(c)).first()[0]
-            cuts.append(sorted({p for p in points if p is not None and p < low_high}))
+        found = quantiles_of(held, {c: F.col(c) for c in features}, {c: [k / bins for k in range(1, bins + 1)] for c in features})
+        cuts = [sorted({q for q in found[c] if q is not None and q < found[c][-1]}) for c in features]
         bounds = np.concatenate([[0], np.cumsum([len(c) + 2 for c in cuts])])
         size = int(bounds[-1])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import category
 from gritstone.operators.quantiles import exact_quantiles
+from gritstone.operators.ranges import count_below, free_name
 from gritstone.operators.splits import global_rank
 
 
@@ -15,9 +16,10 @@ def rank_band(table: DataFrame, order: list[str], q: int, by: tuple[str, ...] =
 
     order: a number first, a unique key last. The rank is distributed; no task sees all rows.
     """
-    spans = F.greatest(F.col("__rank_n") - 1, F.lit(1))
-    band = F.greatest(F.lit(1), F.floor(((F.col("__rank") - 1) * q + spans - 1) / spans)).cast("int")
-    return global_rank(table, order, "__rank", by).withColumn(output, band).drop("__rank", "__rank_n")
+    rank = free_name("rank__", table.columns, (output,))
+    spans = F.greatest(F.col(f"{rank}_n") - 1, F.lit(1))
+    band = F.greatest(F.lit(1), F.floor(((F.col(rank) - 1) * q + spans - 1) / spans)).cast("int")
+    return global_rank(table, order, rank, by).withColumn(output, band).drop(rank, f"{rank}_n")
 
 
 def quantile_edges(train: DataFrame, source: str, bins: int) -> list[float]:
@@ -32,10 +34,25 @@ def equal_width_edges(train: DataFrame, source: str, bins: int) -> list[float]:
 
 
 def monotonic_edges(train: DataFrame, source: str, target: str, bins: int) -> list[float]:
-    """Quantile edges with as many bins as keep the target's mean monotone, in numeric order of the bins."""
-    for n in range(bins, 1, -1):
-        edges = quantile_edges(train, source, n)
-        means = [r["m"] for r in train.where(F.col(source).isNotNull()).groupBy(bin_number(F.col(source), edges).alias("b")).agg(F.avg(target).alias("m")).orderBy("b").collect()]
+    """Quantile edges with as many bins as keep the target's mean monotone, in numeric order of the bins.
+
+    The quantiles of every number of bins come from one count of the values, and one count of the bins that all their
+    edges together make serves all of them.
+    """
+    numbers = range(bins, 1, -1)
+    points = sorted({k / n for n in numbers for k in range(n + 1)})
+    at = dict(zip(points, exact_quantiles(train, source, points), strict=True))
+    fine = sorted({q for q in at.values() if q is not None})
+    held = train.where(F.col(source).isNotNull() & F.col(target).isNotNull()).groupBy(count_below(F.col(source).cast("double"), fine).alias("b")).agg(F.count("*").alias("n"), F.sum(F.col(target).cast("double")).alias("t"))
+    found = {r["b"]: (r["n"], r["t"]) for r in held.collect()}
+    for n in numbers:
+        edges = sorted({q for k in range(n + 1) if (q := at[k / n]) is not None})[1:-1]
+        # fine bin b holds what is above fine[b - 1] and at most fine[b]
+        sums: dict[int, list[float]] = {}
+        for b, (rows, events) in found.items():
+            own = sums.setdefault(sum(e < fine[min(b, len(fine) - 1)] for e in edges), [0, 0.0])
+            own[0], own[1] = own[0] + rows, own[1] + events
+        means = [sums[b][1] / sums[b][0] for b in sorted(sums)]
         if means == sorted(means) or means == sorted(means, reverse=True):
             return edges
     return []

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import divided
+from gritstone.operators.quantiles import quantiles_of
 from gritstone.operators.splits import global_rank
 from gritstone.operators.transforms import inverse_normal
 
@@ -17,10 +18,13 @@ def _long(row: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
 
 
 def describe(table: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, std (sample), min, quartiles and max per column, in one pass."""
-    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": lambda c: F.percentile(c, F.lit(0.25)), "p50": lambda c: F.percentile(c, F.lit(0.5)), "p75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
+    """count, mean, std (sample), min, quartiles and max per column; quartiles by ranges of the values."""
+    stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     row = table.agg(*(f(F.col(c).cast("double")).alias(f"{c}__{k}") for c in columns for k, f in stats.items()))
-    return _long(row, columns, list(stats))
+    quartiles = quantiles_of(table, {c: F.col(c) for c in columns}, {c: [0.25, 0.5, 0.75] for c in columns})
+    at = F.create_map(*(x for c in columns for x in (F.lit(c), F.array(*(F.lit(q).cast("double") for q in quartiles[c])))))
+    held = _long(row, columns, list(stats))
+    return held.select("column", "n", "mean", "std", "min", *(F.get(at[F.col("column")], F.lit(k)).alias(p) for k, p in enumerate(("p25", "p50", "p75"))), "max")
 
 
 def moments(table: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.operators.binning import quantile_edges
+from gritstone.operators.quantiles import exact_quantiles
+from gritstone.operators.ranges import free_name
 
 Score = Callable[[dict[str, Column]], Column]
 
@@ -22,7 +24,7 @@ def inputs(columns: list[str], **changed: Column) -> dict[str, Column]:
 
 def quantile_grid(table: DataFrame, feature: str, points: int = 5, low: float = 0.05, high: float = 0.95) -> list[float]:
     at = [low + (high - low) * k / (points - 1) for k in range(points)]
-    return sorted(set(table.agg(F.percentile(F.col(feature).cast("double"), F.array(*map(F.lit, at)))).first()[0] or []))
+    return sorted({q for q in exact_quantiles(table, feature, at) if q is not None})
 
 
 def partial_dependence(table: DataFrame, columns: list[str], feature: str, grid: list[float], score: Score, by: tuple[str, ...] = ()) -> DataFrame:
@@ -71,10 +73,11 @@ def permuted(table: DataFrame, key: str, feature: str, multiplier: int = 7919, m
     """The table with one column dealt anew: the values in key order go to the rows in a shuffled order."""
     from gritstone.operators.splits import global_rank
 
-    ranked = global_rank(table, [key], "__a").drop("__a_n").withColumn("__mixed", F.pmod(F.col(key) * multiplier, F.lit(modulus)))
-    ranked = global_rank(ranked, ["__mixed", key], "__b").drop("__b_n")
-    values = ranked.select(F.col("__a").alias("__b"), F.col(feature).alias("__dealt"))
-    return ranked.join(values, "__b").withColumn(feature, F.col("__dealt")).drop("__a", "__b", "__mixed", "__dealt")
+    a, b, mixed, dealt = (free_name(c, table.columns) for c in ("a__", "b__", "mixed__", "dealt__"))
+    ranked = global_rank(table, [key], a).drop(f"{a}_n").withColumn(mixed, F.pmod(F.col(key) * multiplier, F.lit(modulus)))
+    ranked = global_rank(ranked, [mixed, key], b).drop(f"{b}_n")
+    values = ranked.select(F.col(a).alias(b), F.col(feature).alias(dealt))
+    return ranked.join(values, b).withColumn(feature, F.col(dealt)).drop(a, b, mixed, dealt)
 
 
 def permutation_importance(table: DataFrame, columns: list[str], features: list[str], key: str, target: str, score: Score, by: tuple[str, ...] = ()) -> DataFrame:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import clipped_between
 from gritstone.operators.metrics import probability_losses, rank_metrics, score_counts
 from gritstone.operators.models import gram
-from gritstone.operators.quantiles import exact_quantiles
+from gritstone.operators.quantiles import exact_quantiles, quantiles_of
+from gritstone.operators.ranges import count_below, free_name, range_count
 from gritstone.operators.splits import global_rank
 
 
@@ -46,7 +49,7 @@ def missing_correlations(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ks_curve(table: DataFrame, target: str, score: str) -> DataFrame:
-    """score, cumulative shares of events and others, and their gap; scores are quantised by the caller."""
+    """score, cumulative shares of events and others, and their gap."""
     c = score_counts(table, target, score)
     bad, good = F.col("pos_upto") / F.col("pos_all"), F.col("neg_upto") / F.col("neg_all")
     return c.select(score, bad.alias("events"), good.alias("others"), F.abs(bad - good).alias("gap"))
@@ -73,7 +76,8 @@ def challenger_comparison(table: DataFrame, target: str, primary: str, challenge
 
 def quantile_summary(table: DataFrame, columns: list[str], points: tuple[float, ...] = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
     """column, quantile, value."""
-    rows = [(c, p, q) for c in columns for p, q in zip(points, exact_quantiles(table, c, list(points)))]
+    found = quantiles_of(table, {c: F.col(c) for c in columns}, {c: list(points) for c in columns})
+    rows = [(c, p, q) for c in columns for p, q in zip(points, found[c], strict=True)]
     return table.sparkSession.createDataFrame(rows, "column string, quantile double, value double")
 
 
@@ -85,15 +89,16 @@ def rolling_residuals(table: DataFrame, period: Column, target: str, score: str,
 
 def stratified_folds(table: DataFrame, key: str, target: str, k: int, multiplier: int = 7919, modulus: int = 1_000_003) -> DataFrame:
     """The rows of each class dealt in turn to k folds, in a reproducible shuffle of a unique integer key."""
-    mixed = table.withColumn("__mixed", F.pmod(F.col(key) * multiplier, F.lit(modulus)))
-    ranked = global_rank(mixed, ["__mixed", key], "__place", (target,))
-    return ranked.withColumn("fold", F.pmod(F.col("__place") - 1, F.lit(k)).cast("int")).drop("__mixed", "__place", "__place_n")
+    mixed, place = free_name("mixed__", table.columns), free_name("place__", table.columns)
+    ranked = global_rank(table.withColumn(mixed, F.pmod(F.col(key) * multiplier, F.lit(modulus))), [mixed, key], place, (target,))
+    return ranked.withColumn("fold", F.pmod(F.col(place) - 1, F.lit(k)).cast("int")).drop(mixed, place, f"{place}_n")
 
 
 def expanding_folds(table: DataFrame, order: list[str], k: int) -> DataFrame:
     """fold 0..k: equal blocks in time order; fold f is tested on a model of all blocks before it."""
-    ranked = global_rank(table, order, "__place")
-    return ranked.withColumn("block", F.floor((F.col("__place") - 1) * (k + 1) / F.col("__place_n")).cast("int")).drop("__place", "__place_n")
+    place = free_name("place__", table.columns)
+    ranked = global_rank(table, order, place)
+    return ranked.withColumn("block", F.floor((F.col(place) - 1) * (k + 1) / F.col(f"{place}_n")).cast("int")).drop(place, f"{place}_n")
 
 
 def banded_dependence(table: DataFrame, columns: list[str], feature: str, grid: list[float], score, z: float = 1.96) -> DataFrame:
@@ -157,15 +162,33 @@ def platt(table: DataFrame, target: str, score: str, floor: float = 1e-6) -> tup
     return a, b, 1 / (1 + F.exp(-(a + b * logit)))
 
 
-def isotonic(table: DataFrame, target: str, score: str) -> list[tuple[float, float]]:
-    """(least score, rate) of the steps of the best non-decreasing fit; scores are quantised by the caller, so one count
-    per distinct score is all the driver sees."""
-    rows = table.groupBy(score).agg(F.count("*").alias("n"), F.sum(target).alias("events")).orderBy(score).collect()
+def pooled_steps(rows: Iterable[tuple[float, float, float]]) -> list[list[float]]:
+    """(least score, rows, events) in order of the score, adjacent ones joined until the rates rise."""
     steps: list[list[float]] = []
-    for r in rows:
-        steps.append([r[score], float(r["n"]), float(r["events"])])
-        while len(steps) > 1 and steps[-2][2] / steps[-2][1] >= steps[-1][2] / steps[-1][1]:
+    for score, n, events in rows:
+        steps.append([score, n, events])
+        while len(steps) > 1 and steps[-2][2] * steps[-1][1] >= steps[-1][2] * steps[-2][1]:
             _, n, events = steps.pop()
             steps[-1][1] += n
             steps[-1][2] += events
-    return [(s, e / n) for s, n, e in steps]
+    return steps
+
+
+def isotonic(table: DataFrame, target: str, score: str) -> list[tuple[float, float]]:
+    """(least score, rate) of the steps of the best non-decreasing fit.
+
+    Scores are counted, then pooled within ranges of the score in tasks of their own; what a range pools stays pooled
+    over all, so the driver pools only the ranges' steps, of which a rising curve has far fewer than scores.
+    """
+    counts = table.where(F.col(score).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(target).cast("double")).alias("events"))
+    ranges = range_count(table)
+    cuts = counts.select(F.percentile_approx("s", F.array(*(F.lit(k / ranges) for k in range(1, ranges))), 10_000).alias("c")).first()["c"]
+    placed = counts.withColumn("at", count_below(F.col("s"), sorted(set(cuts or ()))))
+
+    def pool(held: pa.Table) -> pa.Table:
+        held = held.sort_by("s")
+        steps = pooled_steps(zip(*(held.column(c).to_pylist() for c in ("s", "n", "events")), strict=True))
+        return pa.table([pa.array([x[k] for x in steps], pa.float64()) for k in range(3)], names=["s", "n", "events"])
+
+    rows = placed.groupBy("at").applyInArrow(pool, "s double, n double, events double").orderBy("s").collect()
+    return [(s, e / n) for s, n, e in pooled_steps(tuple(r) for r in rows)]

@@ -34,9 +34,8 @@ def delong(table: DataFrame, target: str, a: str, b: str) -> DataFrame:
 
     def placed(score: str, out: str) -> DataFrame:
         held = table.groupBy(score).agg(F.sum(target).cast("double").alias("p"), F.sum(1 - F.col(target)).cast("double").alias("q"))
-        upto, every = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-        below = lambda c: (F.sum(c).over(upto) - F.col(c) / 2) / F.sum(c).over(every)
-        return held.select(score, below("q").alias(f"{out}1"), (1 - below("p")).alias(f"{out}0"))
+        below = lambda c: (F.col(f"{c}_upto") - F.col(c) / 2) / F.col(f"{c}_all")
+        return running_shares(held, score, ["p", "q"]).select(score, below("q").alias(f"{out}1"), (1 - below("p")).alias(f"{out}0"))
 
     both = table.select(target, a, b).join(placed(a, "u"), a).join(placed(b, "v"), b)
     value = lambda x: F.when(F.col(target) == 1, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))

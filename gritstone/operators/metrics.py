@@ -1,7 +1,7 @@
 """Model metrics, exact and distributed.
 
-Rank metrics first count rows per distinct score (a hash aggregate), then run over the scores in order; scores are
-quantised by the caller, so the table of distinct scores is bounded by the quantisation.
+Rank metrics first count rows per distinct score (a hash aggregate), then run over the scores in order, within ranges of
+them, so that scores need not be rounded.
 """
 
 from __future__ import annotations
@@ -10,14 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import clipped_between, divided
+from gritstone.operators.quantiles import running_shares
 
 
 def score_counts(table: DataFrame, target: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, score, pos, neg and the counts below each score and in total."""
+    """by, score, pos, neg and the counts up to each score and in total; any number of distinct scores, summed within ranges."""
     held = table.groupBy(*by, score).agg(F.sum(target).cast("bigint").alias("pos"), F.sum(1 - F.col(target)).cast("bigint").alias("neg"))
-    own = Window.partitionBy(*by)
-    upto = own.orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
-    return held.select(*by, score, "pos", "neg", *(F.sum(c).over(w).alias(f"{c}_{n}") for c in ("pos", "neg") for n, w in (("upto", upto), ("all", own))))
+    return running_shares(held, score, ["pos", "neg"], by=by)
 
 
 def rank_metrics(table: DataFrame, target: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import strip
+from gritstone.operators.ranges import free_name, ranged
 
 #: Names that stand for a split.
 ALIASES = {
@@ -15,38 +16,40 @@ ALIASES = {
 }
 
 
-def global_rank(table: DataFrame, order: list[str], output: str = "place", by: tuple[str, ...] = (), ranges: int = 64) -> DataFrame:
-    """1-based rank by `order` (a unique key, the first column a number or time) without one task for all rows.
+def global_rank(table: DataFrame, order: list[str], output: str = "place", by: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """1-based rank by `order`, nulls first, and `<output>_n`, the number of rows, without one task for all rows.
 
-    Rows are ranked within ranges of the first order column; a range starts after the rows of those before it. The
-    cuts are approximate quantiles and only balance the work. With `by`, each group has ranks of its own.
+    `order` ends with a unique key. Rows are ranked within ranges of the whole order key; a range starts after the rows
+    of those before it. With `by`, each group has ranks of its own. A table that has the output's columns is an error.
     """
-    x = F.col(order[0])
-    if dict(table.dtypes)[order[0]].startswith(("timestamp", "date")):
-        x = x.cast("timestamp")
-    x = x.cast("double")
-    cuts = table.select(F.percentile_approx(x, [k / ranges for k in range(1, ranges)], 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    place = F.lit(0)
-    if cuts:
-        place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < x))
-    held = table.withColumn("__range", place)
-    sizes = held.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    if clash := {output.lower(), f"{output}_n".lower()} & {c.lower() for c in table.columns}:
+        raise ValueError(f"the table already has {sorted(clash)}")
+    at, n, before, total = (free_name(c, table.columns, (output, f"{output}_n")) for c in ("range__", "n__", "before__", "total__"))
+    held = ranged(table, order, at, ranges)
     groups = Window.partitionBy(*by)
-    before = F.sum("__n").over(groups.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__range").alias("__at"), F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__n").over(groups).alias(f"{output}_n"))
-    meets = F.col("__range") == F.col("__at")
+    ahead = groups.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy(*by, at).agg(F.count("*").alias(n))
+    names = {c: free_name(f"{c}__", table.columns, (at, n, before, total)) for c in by}
+    starts = sizes.select(*(F.col(c).alias(names[c]) for c in by), F.col(at).alias(f"{at}_"), F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(before), F.sum(n).over(groups).alias(total))
+    meets = F.col(at) == F.col(f"{at}_")
     for c in by:
-        meets = meets & F.col(c).eqNullSafe(F.col(f"__{c}"))
-    own = F.row_number().over(Window.partitionBy(*by, "__range").orderBy(*order))
-    return held.withColumn(output, own).join(starts, meets).withColumn(output, F.col(output) + F.col("__before")).drop("__range", "__at", "__before", *(f"__{c}" for c in by))
+        meets = meets & F.col(c).eqNullSafe(F.col(names[c]))
+    own = F.row_number().over(Window.partitionBy(*by, at).orderBy(*order))
+    ranked = held.withColumn(output, own).join(starts, meets)
+    return ranked.withColumns({output: F.col(output) + F.col(before), f"{output}_n": F.col(total)}).drop(at, f"{at}_", before, total, *names.values())
+
+
+def _dealt(table: DataFrame, order: list[str], share: tuple[float, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """`split` by rank: the first floor(n * train) rows (of each group) train, the next floor(n * validation) validate."""
+    place = free_name("place", table.columns)
+    a, b = (F.floor(F.col(f"{place}_n") * x + 1e-9) for x in share)
+    ranked = global_rank(table, order, place, by)
+    return ranked.withColumn("split", F.when(F.col(place) <= a, "train").when(F.col(place) <= a + b, "validation").otherwise("test")).drop(place, f"{place}_n")
 
 
 def chronological(table: DataFrame, order: list[str], train: float, validation: float) -> DataFrame:
     """The first floor(n * train) rows in time train, the next floor(n * validation) validate, the rest test."""
-    n = table.count()
-    a, b = int(n * train + 1e-9), int(n * validation + 1e-9)
-    return global_rank(table, order).drop("place_n").withColumn("split", F.when(F.col("place") <= a, "train").when(F.col("place") <= a + b, "validation").otherwise("test"))
+    return _dealt(table, order, (train, validation))
 
 
 def date_cutoff(date: Column, validation_start: str, test_start: str) -> Column:
@@ -73,10 +76,8 @@ def named_split(label: Column) -> Column:
 
 def stratified(table: DataFrame, key: str, target: str, train: float, validation: float, multiplier: int = 7919, modulus: int = 1_000_003) -> DataFrame:
     """Exact shares within each target class, in a reproducible shuffle of a unique integer key."""
-    mixed = F.pmod(F.col(key) * multiplier, F.lit(modulus))
-    ranked = global_rank(table.withColumn("__mixed", mixed), ["__mixed", key], "__place", (target,)).withColumns({"place": F.col("__place"), "__n": F.col("__place_n")}).drop("__place", "__place_n", "__mixed")
-    a, b = F.floor(F.col("__n") * train + 1e-9), F.floor(F.col("__n") * validation + 1e-9)
-    return ranked.withColumn("split", F.when(F.col("place") <= a, "train").when(F.col("place") <= a + b, "validation").otherwise("test")).drop("__n")
+    mixed = free_name("mixed", table.columns)
+    return _dealt(table.withColumn(mixed, F.pmod(F.col(key) * multiplier, F.lit(modulus))), [mixed, key], (train, validation), (target,)).drop(mixed)
 
 
 def summary(table: DataFrame, date: str) -> DataFrame:

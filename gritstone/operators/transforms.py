@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import DAYS_PER_MONTH, clipped_between, divided, let
+from gritstone.operators.quantiles import quantiles_of
+from gritstone.operators.ranges import count_below
 
 
 @dataclass(frozen=True)
@@ -38,23 +40,39 @@ class Fitted:
 
 #: What a numeric transform learns, as (parameter, aggregate of the column).
 _FITS = {
-    "winsorize": lambda s, x: {"low": F.percentile(x, F.lit(s.low)), "high": F.percentile(x, F.lit(s.high))},
     "capped_zscore": lambda s, x: {"mean": F.avg(x), "std": F.stddev_pop(x)},
     "standard_scale": lambda s, x: {"mean": F.avg(x), "std": F.stddev_pop(x)},
-    "robust_scale": lambda s, x: {"q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))},
     "min_max_scale": lambda s, x: {"low": F.min(x), "high": F.max(x)},
     "log1p": lambda s, x: {"low": F.min(x)},
     "center_mean": lambda s, x: {"mean": F.avg(x)},
-    "center_median": lambda s, x: {"q": F.percentile(x, F.lit(0.5))},
-    "percentile_rank": lambda s, x: {"grid": F.percentile(x, F.array(*(F.lit(k / 1000) for k in range(1001))))},
-    "normal_score": lambda s, x: {"grid": F.percentile(x, F.array(*(F.lit(k / 1000) for k in range(1001)))), "n": F.count(x)},
+    "normal_score": lambda s, x: {"n": F.count(x)},
     "date_age_days": lambda s, x: {"last": F.max(s.source)},
     "date_age_months": lambda s, x: {"last": F.max(s.source)},
 }
 
 
+_GRID = [k / 1000 for k in range(1001)]
+#: The quantiles of the column that a transform learns, and the parameters that they make.
+_QUANTILES = {
+    "winsorize": (lambda s: [s.low, s.high], lambda q: {"low": q[0], "high": q[1]}),
+    "robust_scale": (lambda s: [0.25, 0.5, 0.75], lambda q: {"q": None if None in q else q}),
+    "center_median": (lambda s: [0.5], lambda q: {"q": q[0]}),
+    "percentile_rank": (lambda s: _GRID, lambda q: {"grid": q}),
+    "normal_score": (lambda s: _GRID, lambda q: {"grid": q}),
+}
+
+
+def _learned_quantiles(train: DataFrame, specs: list[Transform]) -> dict[int, dict]:
+    """Parameters by the number of the transform; the columns' values are counted together, once."""
+    own = {k: s for k, s in enumerate(specs) if s.kind in _QUANTILES}
+    points = {s.source: sorted({p for o in own.values() if o.source == s.source for p in _QUANTILES[o.kind][0](o)}) for s in own.values()}
+    found = quantiles_of(train, {c: F.col(c).try_cast("double") for c in points}, points)
+    at = {c: dict(zip(points[c], found[c], strict=True)) for c in points}
+    return {k: _QUANTILES[s.kind][1]([at[s.source][p] for p in _QUANTILES[s.kind][0](s)]) for k, s in own.items()}
+
+
 def fit(train: DataFrame, specs: list[Transform]) -> list[Fitted]:
-    """One aggregate over the training rows for all transforms that need any."""
+    """One aggregate over the training rows for all transforms that need any, and one count of values for all quantiles."""
     wanted = {}
     for k, s in enumerate(specs):
         for name, agg in _FITS.get(s.kind, lambda s, x: {})(s, F.col(s.source).try_cast("double") if not s.kind.startswith("date") else F.col(s.source)).items():
@@ -63,6 +81,8 @@ def fit(train: DataFrame, specs: list[Transform]) -> list[Fitted]:
     out = [Fitted(s) for s in specs]
     for k, n in wanted:
         out[k].params[n] = row[f"{k}_{n}"]
+    for k, params in _learned_quantiles(train, specs).items():
+        out[k].params |= params
     for f in out:
         if f.spec.kind in ("box_cox", "yeo_johnson") and f.spec.value is None:
             f.params["lambda"] = _power_lambda(train, f.spec)
@@ -102,21 +122,15 @@ def _interpolated(x: Column, grid: list[float]) -> Column:
     points = sorted(set(v for v in grid or () if v is not None))
     if len(points) < 2:
         return F.when(x.isNotNull(), 0.5)
-    last, step = len(points) - 1, math.isqrt(len(points))
-    grid, coarse = F.array(*map(F.lit, points)), F.array(*map(F.lit, points[::step]))
-
-    def placed(x: Column) -> Column:
-        # how many points are at most x: whole steps first, then within one
-        upto = lambda held: F.size(F.filter(held, lambda g: g <= x))
-        whole = (F.greatest(upto(coarse), F.lit(1)) - 1) * step
-        return let(whole, lambda w: w + upto(F.slice(grid, w + 1, F.lit(step))))
+    last, grid = len(points) - 1, F.array(*map(F.lit, points))
 
     def place(v: Column) -> Column:
-        k, x = v["k"], v["x"]
+        # a point itself stands at the end of the piece below it, which gives the same
+        k, x = F.greatest(F.least(v["k"], F.lit(last)), F.lit(1)), v["x"]
         low, high = F.get(grid, k - 1), F.get(grid, k)
         return F.when(x.isNotNull(), clipped_between((k - 1 + (x - low) / (high - low)) / last, 0.0, 1.0))
 
-    return let(F.struct(let(x, lambda x: F.greatest(F.least(placed(x), F.lit(last)), F.lit(1))).alias("k"), x.alias("x")), place)
+    return let(F.struct(count_below(x, points).alias("k"), x.alias("x")), place)
 
 
 #: Numerator and denominator of the middle, then of the tails.

@@ -27,10 +27,13 @@ def hash_sample(table: DataFrame, key: str, rows: int, multiplier: int = 7919, m
 
 
 def profile(table: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, nulls, distinct and five quantiles of numeric columns, in one pass over the whole table."""
+    """column, rows, nulls, distinct and five quantiles of numeric columns over the whole table; quantiles by ranges of the values."""
+    from gritstone.operators.quantiles import quantiles_of
+
     points = (0.01, 0.25, 0.5, 0.75, 0.99)
-    held = table.agg(F.count("*").alias("rows"), *(e for c in columns for e in (F.sum(F.col(c).isNull().cast("long")).alias(f"{c}__nulls"), F.count_distinct(c).alias(f"{c}__distinct"), F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, points))).alias(f"{c}__q"))))
-    each = (F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__distinct").alias("distinct"), *(F.get(F.col(f"{c}__q"), F.lit(k)).alias(f"p{int(100 * p):02d}") for k, p in enumerate(points))) for c in columns)
+    held = table.agg(F.count("*").alias("rows"), *(e for c in columns for e in (F.sum(F.col(c).isNull().cast("long")).alias(f"{c}__nulls"), F.count_distinct(c).alias(f"{c}__distinct"))))
+    found = quantiles_of(table, {c: F.col(c) for c in columns}, {c: list(points) for c in columns})
+    each = (F.struct(F.lit(c).alias("column"), F.col("rows"), F.col(f"{c}__nulls").alias("nulls"), F.col(f"{c}__distinct").alias("distinct"), *(F.lit(q).cast("double").alias(f"p{int(100 * p):02d}") for p, q in zip(points, found[c], strict=True))) for c in columns)
     return held.select(F.explode(F.array(*each)).alias("x")).select("x.*")
 
 
