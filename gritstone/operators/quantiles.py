@@ -8,7 +8,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.operators.ranges import count_below, free_name, range_count
+from gritstone.operators.ranges import constants, count_below, free_name, range_count
 
 
 def _cuts(found: list[float] | None) -> list[float]:
@@ -51,8 +51,9 @@ def quantiles_of(table: DataFrame, values: dict[str, Column], wanted: dict[str,
         upto = F.sum("n").over(Window.partitionBy("c", "range").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
         start = choose({k: F.get(F.array(*map(F.lit, b)), F.col("range")) for k, b in before.items()})
         ends = placed.where(asked).withColumn("upto", upto + start)
-        passed = lambda x: choose({k: count_below(x, [float(t) for t in r]) for k, r in ranks.items() if r})
-        at = ends.where(passed(F.col("upto").cast("double")) > passed((F.col("upto") - F.col("n")).cast("double"))).select("c", "v", "n", "upto").collect() if any(ranks.values()) else []
+        # the first wanted rank from where a value starts on; a row stands at one if that is below its end
+        first = choose({k: F.get(constants(r), count_below((F.col("upto") - F.col("n")).cast("double"), r)) for k, r in ranks.items() if r})
+        at = ends.where(first < F.col("upto")).select("c", "v", "n", "upto").collect() if any(ranks.values()) else []
     finally:
         counts.unpersist()
     value: dict[tuple[int, int], float] = {}

@@ -7,6 +7,7 @@ only balance the work; results don't depend on them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from gritstone.functions.scalars import let
 
 #: Ranges at least and at most, and sampled keys per range.
 LEAST_RANGES, MOST_RANGES, PER_RANGE = 8, 10_000, 50
-#: Cuts up to here become a tree of comparisons in generated code, more of them a search in an array.
+#: Cuts up to here become a tree of comparisons in generated code, more of them a tree over every n-th and a search in an array.
 TREE = 64
 
 
@@ -28,26 +29,34 @@ def free_name(name: str, *taken: Iterable[str]) -> str:
     return name
 
 
+def constants(values: list[float]) -> Column:
+    """An array of doubles, parsed at once instead of built one by one."""
+    return F.expr(f"array({', '.join(f'{v!r}D' if math.isfinite(v) else f'double({str(v)!r})' for v in map(float, values))})")
+
+
 def count_below(x: Column, cuts: list) -> Column:
     """How many of the sorted cuts are less than x. Cuts are numbers or columns of constants; a null x is below all."""
-    held = [c if isinstance(c, Column) else F.lit(c) for c in cuts]
-    if not held:
+    if not cuts:
         return F.lit(0)
-    if len(held) <= TREE:
+    every = -(-len(cuts) // TREE)
+    coarse = [c if isinstance(c, Column) else F.lit(c) for c in cuts[every - 1 :: every]]
 
-        def tree(low: int, high: int) -> Column:
-            if low == high:
-                return F.lit(low)
-            middle = (low + high) // 2
-            return F.when(held[middle] < x, tree(middle + 1, high)).otherwise(tree(low, middle))
+    def tree(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low * every)
+        middle = (low + high) // 2
+        return F.when(coarse[middle] < x, tree(middle + 1, high)).otherwise(tree(low, middle))
 
-        return tree(0, len(held))
-    array, width = F.array(*held), 1 << (len(held).bit_length() - 1)
+    if every == 1:
+        return tree(0, len(coarse))
+    # what the tree leaves open are the `every` cuts from there on
+    array = F.array(*cuts) if isinstance(cuts[0], Column) else constants(cuts)
+    width = 1 << (every.bit_length() - 1)
 
     def wider(found: Column, width: int) -> Column:
         return let(found, lambda p: F.when(F.get(array, p + (width - 1)) < x, p + width).otherwise(p))
 
-    out = F.lit(0)
+    out = tree(0, len(coarse))
     while width:
         out, width = wider(out, width), width >> 1
     return out

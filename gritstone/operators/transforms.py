@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import DAYS_PER_MONTH, clipped_between, divided, let
 from gritstone.operators.quantiles import quantiles_of
-from gritstone.operators.ranges import count_below
+from gritstone.operators.ranges import constants, count_below
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def _interpolated(x: Column, grid: list[float]) -> Column:
     points = sorted(set(v for v in grid or () if v is not None))
     if len(points) < 2:
         return F.when(x.isNotNull(), 0.5)
-    last, grid = len(points) - 1, F.array(*map(F.lit, points))
+    last, grid = len(points) - 1, constants(points)
 
     def place(v: Column) -> Column:
         # a point itself stands at the end of the piece below it, which gives the same
