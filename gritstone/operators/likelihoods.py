@@ -146,7 +146,11 @@ def beta_regression(table: DataFrame, features: list[str], target: str, floor: f
         return np.column_stack([rows * (phi * gap * mu * (1 - mu))[:, None], spread])
 
     first = iteratively_reweighted(whole, features, target)
-    return newton(whole, ["intercept", *features, "log_precision"], np.append(first.coefficients, 1.0), gradient)
+    mu = first.predict()
+    # the precision by moments: the variance of a beta is mu (1 - mu) / (1 + precision)
+    spread, rest = whole.agg(F.avg(mu * (1 - mu)), F.avg((F.col(target) - mu) * (F.col(target) - mu))).first()
+    start = math.log(max(spread / max(rest, 1e-12) - 1, 0.1))
+    return newton(whole, ["intercept", *features, "log_precision"], np.append(first.coefficients, start), gradient)
 
 
 def ordered_logit(table: DataFrame, features: list[str], target: str, levels: int) -> Fit:

@@ -73,7 +73,7 @@ def iteratively_reweighted(table: DataFrame, features: list[str], target: str, f
     """Binomial (also fractional targets), probit, Poisson, gamma, negative-binomial and Tweedie models by Fisher scoring.
 
     dispersion belongs to the negative binomial, power (of the mean in the variance) to Tweedie. The source is read once
-    and kept while the fit runs.
+    and kept while the fit runs. Coefficients that still move after `rounds`, as where the classes are separable, are an error.
     """
     table = table.select(*features, target).persist()
     try:
@@ -101,9 +101,9 @@ def _scored(table: DataFrame, features: list[str], target: str, family: str, rid
         new = np.linalg.solve(g, v)
         moved = np.abs(new - model.coefficients).max()
         model.coefficients, model.covariance = new, np.linalg.inv(g)
-        if moved < 1e-9:
-            break
-    return model
+        if moved < 1e-9 * max(1.0, np.abs(new).max()):
+            return model
+    raise ArithmeticError(f"no convergence in {rounds} rounds: the last moved a coefficient by {moved}")
 
 
 def accelerated_failure_time(table: DataFrame, features: list[str], duration: str) -> Linear:

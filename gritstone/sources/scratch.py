@@ -3,15 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/gritstone-{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(table: DataFrame) -> DataFrame:
-    """The table, computed and kept in spark.checkpoint.dir; where that is unset, in local mode in a folder of our own."""
-    spark = table.sparkSession
+    """The table, computed and kept in the shared folder."""
+    shared_folder(table.sparkSession)
+    return table.checkpoint()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, in local mode one of our own."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = spark.conf.get(CHECKPOINT_KEY, None)
@@ -20,4 +31,4 @@ def checkpointed(table: DataFrame) -> DataFrame:
                 raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="gritstone-")
         context.setCheckpointDir(folder)
-    return table.checkpoint()
+    return context.getCheckpointDir()
