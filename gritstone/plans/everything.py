@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gritstone.plans import catalogue, evidence, families, fits, frameworks, review, robustness
+from gritstone.plans import catalogue, evidence, families, fits, frameworks, review, robustness, selection, series
 from gritstone.plans.registry import Query
 
-_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY, robustness.REGISTRY, families.REGISTRY, fits.REGISTRY)
+_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY, robustness.REGISTRY, families.REGISTRY, fits.REGISTRY, selection.REGISTRY, series.REGISTRY)
 
 
 def queries() -> dict[str, Query]:
