@@ -26,6 +26,15 @@ def divided(a: str | Column, b: str | Column) -> Column:
     return F.when(F.abs(col(b)) > TINY, col(a) / col(b))
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r over the rows that have both, an aggregate; null (not an error) where either has no spread."""
+    a, b = col(x).cast("double"), col(y).cast("double")
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(spread > 0, F.covar_pop(a, b) / spread)
+
+
 def clipped_between(x: str | Column, low, high) -> Column:
     """greatest and least skip nulls, so a null is kept by hand."""
     return F.when(col(x).isNotNull(), F.least(F.greatest(col(x), F.lit(low)), F.lit(high)))

@@ -76,6 +76,15 @@ def woe_table(table: DataFrame, key: Column, target: str, smoothing: float = 0.5
     return held.select("key", "n", "events", (F.col("events") / F.col("n")).alias("bad_rate"), F.log(good / bad).alias("woe"), ((good - bad) * F.log(good / bad)).alias("iv"))
 
 
+def floored_woe_table(table: DataFrame, key: Column, target: str, floor: float = 0.5) -> DataFrame:
+    """As woe_table, but with counts of at least `floor` instead of smoothed ones, over totals that are left as they are."""
+    held = table.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(target).cast("bigint").alias("events"))
+    every = Window.partitionBy()  # a row per key
+    share = lambda c: F.greatest(c.cast("double"), F.lit(floor)) / F.greatest(F.sum(c).over(every).cast("double"), F.lit(1.0))
+    bad, good = share(F.col("events")), share(F.col("n") - F.col("events"))
+    return held.select("key", "n", "events", F.log(good / bad).alias("woe"), ((good - bad) * F.log(good / bad)).alias("iv"))
+
+
 def encode(table: DataFrame, mapping: DataFrame, key: Column, value: str, default: float, output: str) -> DataFrame:
     """Look a key up in a learned table (key, value); an unseen key gets the default. The join is Spark's to plan."""
     found = mapping.select(F.col("key").alias("__key"), F.col(value).alias("__value"))

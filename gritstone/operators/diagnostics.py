@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import divided
+from gritstone.functions.scalars import correlation, divided
 from gritstone.operators.quantiles import quantiles_of
 from gritstone.operators.splits import global_rank
 from gritstone.operators.transforms import inverse_normal
@@ -46,7 +46,7 @@ def missingness(table: DataFrame, columns: list[str], target: str) -> DataFrame:
 def correlations(table: DataFrame, columns: list[str]) -> DataFrame:
     """left, right, r for all pairs, each over the rows that have both; one aggregate."""
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    row = table.agg(*(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}") for a, b in pairs))
+    row = table.agg(*(correlation(a, b).alias(f"{a}__{b}") for a, b in pairs))
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"{a}__{b}").alias("r")) for a, b in pairs))).alias("x")).select("x.*")
 
 
@@ -118,6 +118,6 @@ def cardinality(table: DataFrame, columns: list[str], limit: int = 500, ratio: f
 def screening(table: DataFrame, columns: list[str], target: str) -> DataFrame:
     """Advisory screen: missing share, sample variance and |r| with the target."""
     y = F.col(target).cast("double")
-    row = table.agg(*(e for c in columns for e in (F.avg(F.col(c).isNull().cast("double")).alias(f"{c}__missing"), F.var_samp(F.col(c).cast("double")).alias(f"{c}__variance"), F.abs(F.corr(F.col(c).cast("double"), y)).alias(f"{c}__relation"))))
+    row = table.agg(*(e for c in columns for e in (F.avg(F.col(c).isNull().cast("double")).alias(f"{c}__missing"), F.var_samp(F.col(c).cast("double")).alias(f"{c}__variance"), F.abs(correlation(c, y)).alias(f"{c}__relation"))))
     held = _long(row, columns, ["missing", "variance", "relation"])
     return held.withColumn("status", F.when(F.col("missing") >= 0.95, "missing").when(F.col("variance") <= 1e-12, "constant").otherwise("keep"))

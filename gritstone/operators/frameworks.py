@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import clipped_between
+from gritstone.functions.scalars import clipped_between, correlation
 from gritstone.operators.metrics import probability_losses, rank_metrics, score_counts
 from gritstone.operators.models import gram
 from gritstone.operators.quantiles import exact_quantiles, quantiles_of
@@ -44,7 +44,7 @@ def missing_correlations(table: DataFrame, columns: list[str]) -> DataFrame:
     """left, right, r of the columns' missing indicators; one aggregate."""
     gone = {c: F.col(c).isNull().cast("double") for c in columns}
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    row = table.agg(*(F.corr(gone[a], gone[b]).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
+    row = table.agg(*(correlation(gone[a], gone[b]).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
     return row.select(F.explode(F.array(*(F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{k}").alias("r")) for k, (a, b) in enumerate(pairs)))).alias("x")).select("x.*")
 
 

@@ -75,6 +75,29 @@ def multiclass_metrics(table: DataFrame, target: str, predicted: str) -> DataFra
     return s.select("class", "support", ratio("hit", "predicted").alias("precision"), ratio("hit", "support").alias("recall"), F.coalesce(divided(2.0 * F.col("hit"), F.col("support") + F.col("predicted")), F.lit(0.0)).alias("f1"))
 
 
+def multiclass_summary(table: DataFrame, target: str, predicted: str, probability: Column | None = None) -> DataFrame:
+    """n, classes, accuracy, macro and weighted F1 (of classes seen or predicted; one without any hit counts 0), and the mean
+    log loss if the probability of the row's own class is given."""
+    per_class = multiclass_metrics(table, target, predicted)
+    f1 = per_class.agg(F.count("*").alias("classes"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))
+    loss = F.avg(-F.log(clipped_between(probability, 1e-15, 1.0))) if probability is not None else F.lit(None).cast("double")
+    every = table.agg(F.count("*").alias("n"), F.avg((F.col(target) == F.col(predicted)).cast("double")).alias("accuracy"), loss.alias("log_loss"))
+    return every.crossJoin(f1).select("n", "classes", "accuracy", "macro_f1", "weighted_f1", "log_loss")  # one row each
+
+
+def calibration_fit(table: DataFrame, banded: DataFrame, target: str, score: str, band: str = "band") -> DataFrame:
+    """Intercept and slope of the target on the score's logit, and the Hosmer-Lemeshow statistic over the bands with its
+    p-value (as many degrees as bands less two, at least one), beside expected and largest calibration error."""
+    from gritstone.functions.distributions import chi2_sf
+    from gritstone.operators.frameworks import platt
+
+    a, b, _ = platt(table, target, score)
+    row = calibration_summary(calibration_table(banded, target, score, band)).first()
+    degrees = max(row["bands"] - 2, 1)
+    out = (float(a), float(b), row["ece"], row["mce"], row["hl"], degrees, chi2_sf(row["hl"], degrees))
+    return table.sparkSession.createDataFrame([out], "intercept double, slope double, ece double, mce double, hosmer_lemeshow double, degrees int, p_value double")
+
+
 def lift_table(banded: DataFrame, target: str, score: str, band: str = "band") -> DataFrame:
     """Per band (1 = highest scores): n, events, rate, mean score, capture, cumulative capture, lift."""
     held = banded.groupBy(band).agg(F.count("*").alias("n"), F.sum(target).cast("bigint").alias("events"), F.avg(score).alias("mean_score"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import chi2_sf, f_sf, normal_sf
+from gritstone.functions.scalars import correlation
 from gritstone.operators.blocks import block_sums, design, doubles
 from gritstone.operators.models import Linear
 
@@ -155,7 +156,7 @@ def seasonality(series: DataFrame, order: str, value: str, period: int) -> DataF
 def autocorrelation(series: DataFrame, order: str, value: str, lag: int = 1) -> DataFrame:
     """The correlation of values with those `lag` periods before: n pairs and r."""
     pairs = series.where(F.col(value).isNotNull()).select(F.col(value).alias("a"), F.lag(value, lag).over(Window.orderBy(order)).alias("b")).na.drop()
-    return pairs.agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    return pairs.agg(F.count("*").alias("n"), correlation("a", "b").alias("r"))
 
 
 # rows behind a least-squares model
