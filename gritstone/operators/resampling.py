@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gritstone.operators.splits import global_rank
 
 
-def hashed_number(*parts: Column | int) -> Column:
+def hashed_number(*parts: Column | int | str) -> Column:
     """A whole number below 2^52 from the SHA-256 of the parts, written with colons between them."""
     text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")

@@ -10,12 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import chi2_sf, f_sf
+from gritstone.operators.blocks import block_sums, design
 from gritstone.operators.models import Linear, gram
+from gritstone.operators.resampling import hashed_number
 
 
-def poisson_weight(key: str, replicate: int, multiplier: int = 7919, modulus: int = 1_000_003) -> Column:
-    """How often a row is in a replicate of a bootstrap: a Poisson(1) count, reproducible from a unique integer key."""
-    u = (F.pmod((F.pmod(F.col(key), F.lit(modulus)) * multiplier + replicate * 104_729) * 31 + replicate, F.lit(modulus)) + 0.5) / modulus
+def poisson_weight(key: str, replicate: int) -> Column:
+    """How often a row is in a replicate of a bootstrap: a Poisson(1) count, reproducible from a unique key.
+
+    Counts come from the SHA-256 of replicate and key, so neither neighbouring keys nor replicates go together.
+    """
+    u = (hashed_number("poisson", replicate, F.col(key)) + 0.5) / float(1 << 52)
     out, upto, p = F.lit(0), 0.0, math.exp(-1)
     for k in range(12):
         upto += p
@@ -38,17 +43,19 @@ def bootstrap_means(table: DataFrame, key: str, values: dict[str, Column], repli
 def bootstrap_fit(table: DataFrame, key: str, features: list[str], target: str, replicates: int) -> DataFrame:
     """term, mean, std, p05, p50, p95 and share of the commoner sign of least-squares coefficients over replicates.
 
-    A replicate is one weighted Gram matrix: (k + 1)^2 sums reach the driver.
+    One job sums the weighted moments of all replicates, (k + 1)(k + 2) numbers for each.
     """
-    held = table.select(key, *features, target).persist()
-    try:
-        fits = []
-        for k in range(replicates):
-            g, v, _, _ = gram(held, features, F.col(target).cast("double"), poisson_weight(key, k).cast("double"))
-            fits.append(np.linalg.lstsq(g, v, rcond=None)[0])
-    finally:
-        held.unpersist()
-    b = np.array(fits)
+    names = [*features, target]
+    held = table.select(*(F.col(c).cast("double").alias(c) for c in names), *(poisson_weight(key, k).cast("double").alias(f"weight__{k}") for k in range(replicates))).na.drop()
+    p = len(features) + 1
+
+    def part(x: dict[str, np.ndarray]) -> np.ndarray:
+        rows = design(x, features)
+        wide = np.column_stack([rows, x[target]])
+        return np.concatenate([(rows.T @ (wide * x[f"weight__{k}"][:, None])).ravel() for k in range(replicates)])
+
+    sums = block_sums(held, replicates * p * (p + 1), part).reshape(replicates, p, p + 1)
+    b = np.array([np.linalg.lstsq(m[:, :p], m[:, p], rcond=None)[0] for m in sums])
     low, mid, high = np.quantile(b, [0.05, 0.5, 0.95], axis=0)
     spread = b.std(axis=0, ddof=1) if replicates > 1 else np.zeros(b.shape[1])
     sign = np.maximum((b > 0).mean(axis=0), (b < 0).mean(axis=0))
@@ -214,15 +221,50 @@ def rank_score(table: DataFrame, value: str, by: list[str], higher_is_better: bo
 
 
 def segmented_fits(table: DataFrame, segment: str, features: list[str], target: str, least: int = 50) -> tuple[Linear, dict[str, Linear]]:
-    """A model of all rows and one of each segment with `least` rows or more (a bounded number of segments)."""
-    whole = _least_squares(table, features, target)
-    counts = table.where(F.col(segment).isNotNull()).groupBy(segment).agg(F.count("*").alias("n")).where(F.col("n") >= least).collect()
-    return whole, {r[segment]: _least_squares(table.where(F.col(segment) == F.lit(r[segment])), features, target) for r in counts}
+    """A model of all rows and one of each segment with `least` rows or more; one grouped aggregate of moments gives all.
 
+    Segments are few: a scored row goes through a CASE over them.
+    """
+    found = segment_moments(table, segment, features, target)
+    solved = lambda m: Linear(features, np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0])
+    if not found:
+        raise ValueError("no row is without nulls")
+    return solved(sum(m for _, m in found.values())), {s: solved(m) for s, (n, m) in found.items() if s is not None and n >= least}
+
+
+def segment_moments(table: DataFrame, segment: str, features: list[str], target: str) -> dict:
+    """segment -> rows of it, and moments of (1, features, target) over those without nulls."""
+    names = [*features, target]
+    k = len(names) + 1
+    columns = {f"x{j}": F.col(c).cast("double") for j, c in enumerate(names, 1)}
+    whole = F.lit(True)
+    for x in columns.values():
+        whole = whole & x.isNotNull()
+    held = table.select(F.col(segment).alias("segment"), F.lit(1.0).alias("x0"), *(F.when(whole, x).alias(n) for n, x in columns.items()), whole.alias("whole"))
+    held = held.withColumn("x0", F.when(F.col("whole"), F.col("x0")))
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    rows = held.groupBy("segment").agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col(f"x{i}") * F.col(f"x{j}")), F.lit(0.0)).alias(f"m{i}_{j}") for i, j in cells)).collect()
+    out = {}
+    for r in rows:
+        m = np.zeros((k, k))
+        for i, j in cells:
+            m[i, j] = m[j, i] = r[f"m{i}_{j}"]
+        out[r["segment"]] = r["n"], m
+    return out
 
-def _least_squares(table: DataFrame, features: list[str], target: str) -> Linear:
-    g, v, _, _ = gram(table, features, F.col(target).cast("double"))
-    return Linear(features, np.linalg.lstsq(g, v, rcond=None)[0])
+
+def segment_fit_table(table: DataFrame, segment: str, features: list[str], target: str, least: int = 50) -> DataFrame:
+    """segment, n, term, coefficient and r2 of each segment with `least` rows or more, in one grouped aggregate."""
+    out = []
+    for s, (n, m) in segment_moments(table, segment, features, target).items():
+        if n < least or not m[0, 0]:
+            continue
+        b = np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
+        total = m[-1, -1] - m[0, -1] ** 2 / m[0, 0]
+        rest = max(m[-1, -1] - b @ m[:-1, -1], 0.0)
+        out += [(s, n, c, float(v), float(1 - rest / total) if total > 0 else None) for c, v in zip(["intercept", *features], b, strict=True)]
+    kind = table.schema[segment].dataType.simpleString()
+    return table.sparkSession.createDataFrame(out, f"segment {kind}, n bigint, term string, coefficient double, r2 double")
 
 
 def routed(segment: str, whole: Linear, models: dict[str, Linear]) -> tuple[Column, Column]:

@@ -29,12 +29,13 @@ def poisson_steps() -> list[float]:
     return out
 
 
-DRAW = "(((id % 1000003) * 7919 + k * 104729) * 31 + k) % 1000003"
-WEIGHT = " + ".join(f"CASE WHEN ({DRAW} + 0.5::DOUBLE) / 1000003 > {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in poisson_steps())
+DRAW = "('0x' || sha256('poisson:' || k || ':' || id)[1:13])::BIGINT"
+WEIGHT = " + ".join(f"CASE WHEN u > {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in poisson_steps())
 add(
     "bootstrap_means",
     f"""
-    , w AS (SELECT k, {WEIGHT} AS w, target, score, sparse FROM book, (SELECT unnest(range(0, {REPLICATES})) AS k))
+    , u AS (SELECT k, ({DRAW} + 0.5::DOUBLE) / 4503599627370496 AS u, target, score, sparse FROM book, (SELECT unnest(range(0, {REPLICATES})) AS k)),
+      w AS (SELECT *, {WEIGHT} AS w FROM u)
     SELECT CAST(k AS INTEGER) AS replicate, CAST(sum(w) AS BIGINT) AS n, {r('sum(w * CAST(target AS DOUBLE)) / sum(w)')} AS rate, {r('sum(w * score) / sum(w)')} AS score,
            {r('sum(w * sparse) / sum(CASE WHEN sparse IS NOT NULL THEN w END)', 4)} AS sparse FROM w GROUP BY k""",
     lambda b: R.bootstrap_means(b, "id", {"rate": F.col("target"), "score": F.col("score"), "sparse": F.col("sparse")}, REPLICATES).select(
@@ -123,6 +124,14 @@ def segmented(b):
     return held.select("id", route.alias("model"), score.alias("score"))
 
 
+add(
+    "segment_fit_table",
+    f"""
+    , s AS (SELECT segment, count(*) AS n, regr_slope(target, amount / 1e5) AS b, regr_intercept(target, amount / 1e5) AS a, corr(target, amount) ** 2 AS r2 FROM book GROUP BY segment HAVING count(*) >= 50)
+    SELECT segment, n, unnest(['intercept', 'amount']) AS term, unnest([{r('a')}, {r('b')}]) AS coefficient, {r('r2', 8)} AS r2 FROM s""",
+    lambda b: R.segment_fit_table(scaled(b), "segment", ["amount"], "target").select("segment", "n", "term", rounded("coefficient").alias("coefficient"), rounded("r2", 8).alias("r2")),
+    digits=None,
+)
 add("ramsey_reset", None, lambda b: R.ramsey_reset(scaled(b), ["amount", "balance"], "target"))
 add("elastic_net", None, elastic)
 add("subset_search", None, lambda b: R.subset_search(scaled(b), [c for c, _ in SCALED], "target", range(1, 4)))
