@@ -91,6 +91,20 @@ def encode(table: DataFrame, mapping: DataFrame, key: Column, value: str, defaul
     return table.join(found, key == F.col("__key"), "left").withColumn(output, F.coalesce("__value", F.lit(default))).drop("__key", "__value")
 
 
+def source_key(train: DataFrame, source: str, bins: int = 10) -> Column:
+    """What an encoding looks a value up by: a number's quantile bin, a category itself, Missing for a gap."""
+    if dict(train.dtypes)[source] in ("string", "boolean"):
+        return category(source)
+    return category(bin_number(F.col(source).cast("double"), quantile_edges(train, source, bins)))
+
+
+def evidence_encoding(table: DataFrame, train: DataFrame, source: str, target: str, output: str, bins: int = 10, value: str = "woe") -> DataFrame:
+    """The table with the weight of evidence (unseen: 0) or, by value, the bad_rate (unseen: the mean target) of its key."""
+    key = source_key(train, source, bins)
+    default = 0.0 if value == "woe" else train.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    return encode(table, woe_table(train, key, target), key, value, default, output)
+
+
 def rare_levels(train: DataFrame, source: str, share: float = 0.01) -> DataFrame:
     """key, kept: levels with less than the share become 'Other', 'Missing' never."""
     held = train.groupBy(category(source).alias("key")).agg(F.count("*").alias("n"))

@@ -225,8 +225,8 @@ def zero_one_inflated_beta(table: DataFrame, features: list[str], target: str) -
     whole, y = _whole(table, features, target), F.col(target)
     ends = whole.withColumns({"is_zero__": (y <= 0).cast("double"), "is_one__": (y >= 1).cast("double")})
     return Inflated(
-        iteratively_reweighted(ends, features, "is_zero__", ridge=1e-6),
-        iteratively_reweighted(ends.where(y > 0), features, "is_one__", ridge=1e-6),
+        iteratively_reweighted(ends, features, "is_zero__", ridge=1e-6, rounds=200),
+        iteratively_reweighted(ends.where(y > 0), features, "is_one__", ridge=1e-6, rounds=200),
         beta_regression(whole.where((y > 0) & (y < 1)), features, target),
         features,
     )

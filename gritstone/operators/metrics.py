@@ -75,6 +75,23 @@ def multiclass_metrics(table: DataFrame, target: str, predicted: str) -> DataFra
     return s.select("class", "support", ratio("hit", "predicted").alias("precision"), ratio("hit", "support").alias("recall"), F.coalesce(divided(2.0 * F.col("hit"), F.col("support") + F.col("predicted")), F.lit(0.0)).alias("f1"))
 
 
+def joined_scores(primary: DataFrame, challenger: DataFrame, key: list[str], target: str, score: str) -> DataFrame:
+    """key, target, primary and challenger score of the rows that both tables have; the key must be unique in each."""
+    left = primary.select(*key, target, F.col(score).alias("primary"))
+    return left.join(challenger.select(*key, F.col(score).alias("challenger")), key)
+
+
+def comparison_table(table: DataFrame, target: str, scores: list[str], rank_by: str = "auc") -> DataFrame:
+    """model (a column of scores), auc, ks, average precision, Brier score, log loss, and its place by one of them."""
+    out = None
+    for c in scores:
+        losses = table.agg(*probability_losses(F.col(target), F.col(c)))
+        one = rank_metrics(table, target, c).crossJoin(losses).select(F.lit(c).alias("model"), "*")  # one row each
+        out = one if out is None else out.unionByName(one)
+    order = F.asc(rank_by) if rank_by in ("brier", "log_loss") else F.desc(rank_by)
+    return out.withColumn("place", F.row_number().over(Window.orderBy(order, "model")))  # a row per model
+
+
 def multiclass_summary(table: DataFrame, target: str, predicted: str, probability: Column | None = None) -> DataFrame:
     """n, classes, accuracy, macro and weighted F1 (of classes seen or predicted; one without any hit counts 0), and the mean
     log loss if the probability of the row's own class is given."""

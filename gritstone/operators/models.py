@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import normal_sf
 from gritstone.functions.scalars import clipped_between, logistic, normal_cdf
+from gritstone.operators.blocks import block_sums, design
 
 
 @dataclass
@@ -44,12 +45,27 @@ class Linear:
         return df.sparkSession.createDataFrame(rows, "name string, coefficient double, std_error double, z double, p_value double")
 
 
+#: Features up to which moments are sums in generated code; their number grows with the square, so more features are summed
+#: in blocks by NumPy.
+WIDE = 20
+
+
 def gram(table: DataFrame, features: list[str], response: Column, weight: Column | None = None) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """X'WX, X'Wy, y'Wy and n over rows without nulls, as one aggregate of k(k+3)/2 sums."""
+    """X'WX, X'Wy, y'Wy and n over rows without nulls, in one job: k(k+3)/2 sums."""
     named = table.where(response.isNotNull()).na.drop(subset=features)
     # a projection of its own, so that response and weight are computed once a row, not once a sum
     whole = named.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features, 1)), response.alias("y"), (weight if weight is not None else F.lit(1.0)).alias("w"))
     k, y, w = len(features) + 1, F.col("y"), F.col("w")
+    if len(features) > WIDE:
+        names = [f"x{i}" for i in range(1, k)]
+
+        def part(x: dict[str, np.ndarray]) -> np.ndarray:
+            rows = np.column_stack([design(x, names), x["y"]])
+            return np.append((rows.T @ (rows * x["w"][:, None])).ravel(), len(rows))
+
+        sums = block_sums(whole, (k + 1) ** 2 + 1, part)
+        both = sums[:-1].reshape(k + 1, k + 1)
+        return both[:k, :k].copy(), both[:k, k].copy(), float(both[k, k]), int(sums[-1])
     xs = [F.lit(1.0), *(F.col(f"x{i}") for i in range(1, k))]
     cells = {f"g_{i}_{j}": F.sum(w * xs[i] * xs[j]) for i in range(k) for j in range(i, k)} | {f"v_{i}": F.sum(w * xs[i] * y) for i in range(k)}
     row = whole.agg(F.count("*").alias("n"), F.sum(w * y * y).alias("yy"), *(c.alias(n) for n, c in cells.items())).first()

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gritstone.plans import catalogue, effects, evidence, families, fits, frameworks, review, robustness, scoring, selection, series
+from gritstone.plans import catalogue, effects, evidence, families, fits, frameworks, review, robustness, scoring, selection, series, shape
 from gritstone.plans.registry import Query
 
-_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY, robustness.REGISTRY, families.REGISTRY, fits.REGISTRY, selection.REGISTRY, series.REGISTRY, effects.REGISTRY, scoring.REGISTRY)
+_REGISTRIES = (evidence.REGISTRY, frameworks.REGISTRY, robustness.REGISTRY, families.REGISTRY, fits.REGISTRY, selection.REGISTRY, series.REGISTRY, effects.REGISTRY, scoring.REGISTRY, shape.REGISTRY)
 
 
 def queries() -> dict[str, Query]:
