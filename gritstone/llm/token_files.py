@@ -4,8 +4,11 @@ A shard file is an Arrow IPC stream. Each record batch has ``input_ids`` and ``a
 ``sequence_length`` ids (uint16 or uint32, by vocabulary size) and of bits. All batches but a shard's last have
 ``BATCH_SEQUENCES`` rows, so row r of a shard is row r % BATCH_SEQUENCES of batch r // BATCH_SEQUENCES, and a memory
 map gives any sequence and mask without a copy. A shard's texts follow each other without gaps; only its last sequence
-is padded, with mask 0. Shards follow each other in ascending order of the document id. Beside the shards lies a
-Parquet index: one row per document with its shard, its position there in tokens, and its number of tokens.
+is padded, with mask 0. A task goes on to its next shard after the document with which one reaches SHARD_TOKENS, so shards
+are as large at any size of the corpus, and a reader of another store holds one of them at most. Shards follow each other
+in ascending order of the document id; a shard's number is its task's times SHARDS_PER_TASK plus its place there. Beside
+the shards lies a Parquet index: one row per document with its shard, its position there in tokens, and its number of
+tokens.
 
 Cases: a null or empty text is an end id alone; a null id sorts first; repeated ids stay separate rows, ordered by a
 hash of their text; an empty table makes an index without rows and no shard; extra columns are left out.
@@ -26,6 +29,12 @@ from gritstone.llm.common import clipped, scratch_path, text_slices
 from gritstone.llm.tokens import piece_tokenizer
 
 BATCH_SEQUENCES = 256
+#: Tokens with which a shard is full (128 MB of 16-bit ids, and a document more), and numbers that a task has for its shards.
+SHARD_TOKENS, SHARDS_PER_TASK = 1 << 26, 1 << 24
+
+
+def shard_name(shard: int) -> str:
+    return f"shard-{shard // SHARDS_PER_TASK:06d}-{shard % SHARDS_PER_TASK:06d}"
 
 
 def _file_system(uri: str):
@@ -45,7 +54,7 @@ class ShardWriter:
     def __init__(self, directory: str, shard: int, attempt: int, dtype: np.dtype, sequence_length: int):
         self.files, root = _file_system(directory)
         self.files.create_dir(root, recursive=True)
-        self.path, self.part = f"{root}/shard-{shard:06d}.arrow", f"{root}/_shard-{shard:06d}.{attempt}"
+        self.path, self.part = f"{root}/{shard_name(shard)}.arrow", f"{root}/_{shard_name(shard)}.{attempt}"
         self.schema, self.dtype, self.length = shard_schema(dtype, sequence_length), dtype, sequence_length
         self.out, self.writer, self.held, self.n = None, None, [], 0
         self.batch = BATCH_SEQUENCES * sequence_length
@@ -86,30 +95,36 @@ def write_token_files(docs: DataFrame, directory: str, tokenizer: str, *, end_id
     """Encode whole texts into shard files under `directory`, a folder that driver and executors share.
 
     Returns the index (id, shard, position, n_tokens), already written. One range shuffle puts the texts in order of
-    their ids, by (id, hash of text) so that a repeated id spreads too; each task then writes one shard, under a name
-    of its own until it is whole.
+    their ids, by (id, hash of text) so that a repeated id spreads too; each task then writes its shards, each under a
+    name of its own until it is whole.
     """
 
+    full = SHARD_TOKENS
+
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, encoder = TaskContext.get(), piece_tokenizer(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
-        writer, position = ShardWriter(f"{directory}/shards", task.partitionId(), task.taskAttemptId(), encoder.dtype, sequence_length), 0
+        number, position, writer = task.partitionId() * SHARDS_PER_TASK, 0, None
         for batch in text_slices(batches, "text"):
-            counts = []
+            places = []
             for text in batch.column(1).to_pylist():
+                if position >= full:
+                    writer.close()
+                    number, position, writer = number + 1, 0, None
+                writer = writer or ShardWriter(f"{directory}/shards", number, task.taskAttemptId(), encoder.dtype, sequence_length)
                 ids = encoder.encode(text) + end
-                counts.append(len(ids) // encoder.dtype.itemsize)
+                n = len(ids) // encoder.dtype.itemsize
+                places.append((number, position, n))
+                position += n
                 writer.add(ids)
-            n = np.array(counts, np.int64)
-            at = position + np.cumsum(n) - n
-            position += int(n.sum())
-            yield pa.record_batch([batch.column(0), pa.array(np.full(len(n), task.partitionId(), np.int32)), pa.array(at), pa.array(n)], names=["id", "shard", "position", "n_tokens"])
-        writer.close()
+            yield pa.record_batch([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*places, strict=True))], names=["id", "shard", "position", "n_tokens"])
+        if writer is not None:
+            writer.close()
 
     rows = clipped(docs, id_col, text_col).toDF("id", "text")
     kind = rows.schema["id"].dataType.simpleString()
     order = ["id", F.xxhash64("text")]
-    index = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, f"id {kind}, shard int, position bigint, n_tokens bigint")
+    index = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(shard, f"id {kind}, shard bigint, position bigint, n_tokens bigint")
     index.write.parquet(f"{directory}/index")
     return read_index(docs.sparkSession, directory)
 
@@ -123,7 +138,7 @@ class ShardReader:
 
     def __init__(self, directory: str, shard: int):
         files, root = _file_system(directory)
-        path = f"{root}/shards/shard-{shard:06d}.arrow"
+        path = f"{root}/shards/{shard_name(shard)}.arrow"
         source = pa.memory_map(path) if files.type_name == "local" else files.open_input_file(path)
         self.batches = list(pa.ipc.open_stream(source))
         kind = self.batches[0].schema.field("input_ids").type
@@ -168,7 +183,7 @@ def read_documents(spark: SparkSession, directory: str) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = index.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     kind = index.schema["id"].dataType.simpleString()
-    found = index.mapInArrow(read, f"id {kind}, shard int, position bigint, n_tokens bigint, ids_crc32 bigint")
+    found = index.mapInArrow(read, f"id {kind}, shard bigint, position bigint, n_tokens bigint, ids_crc32 bigint")
     return found.join(starts, "shard").select("id", (F.col("first") + F.col("position")).alias("start"), "n_tokens", "ids_crc32", "shard", "position")
 
 

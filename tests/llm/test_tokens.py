@@ -67,6 +67,25 @@ def test_sequences_and_masks(spark, sf):
     assert total == sum(r["n_tokens"] for r in index)
 
 
+def test_shards_end_where_they_are_full(spark, sf, monkeypatch, tmp_path):
+    """Small shards give the same documents, each whole within one, and no shard goes on beyond the document that fills it."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    rows = lambda df: sorted((r["id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in df.collect())
+    token_files.write_token_files(docs, f"file://{tmp_path}/large", WORD, sequence_length=128)
+    monkeypatch.setattr(token_files, "SHARD_TOKENS", 1000)
+    index = token_files.write_token_files(docs, f"file://{tmp_path}/small", WORD, sequence_length=128).collect()
+    assert rows(token_files.read_documents(spark, f"file://{tmp_path}/small")) == rows(token_files.read_documents(spark, f"file://{tmp_path}/large"))
+    last = {}
+    for r in sorted(index, key=lambda r: (r["shard"], r["position"])):
+        assert r["position"] < 1000
+        last[r["shard"]] = r["position"] + r["n_tokens"]
+    assert len(last) > 20
+    by_task = {}
+    for k in sorted(last):
+        by_task.setdefault(k // token_files.SHARDS_PER_TASK, []).append(last[k])
+    assert all(n >= 1000 for held in by_task.values() for n in held[:-1])
+
+
 @pytest.mark.parametrize("which", ["odd", "sf", "empty"])
 def test_packing_is_whole_and_tight(spark, sf, which):
     docs = {"odd": lambda: clashing(odd_documents(spark)), "sf": lambda: spark.read.parquet(f"{sf}/documents.parquet").repartition(3), "empty": lambda: empty_documents(spark)}[which]()
