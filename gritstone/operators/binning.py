@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import category
+from gritstone.functions.scalars import category, divided
 from gritstone.operators.quantiles import exact_quantiles
 from gritstone.operators.ranges import count_below, free_name
 from gritstone.operators.splits import global_rank
@@ -132,9 +132,11 @@ def target_encoding(table: DataFrame, source: str, target: str, smoothing: float
 
 
 def psi(table: DataFrame, source: str, base: Column, other: Column, bins: int = 10, floor: float = 1e-6) -> DataFrame:
-    """bin, expected, actual, psi between the rows of `base` and of `other`, over quantile bins of the base."""
+    """bin, expected, actual, psi between the rows of `base` and of `other`, over quantile bins of the base; null shares
+    where there are no such rows."""
     edges = quantile_edges(table.where(base), source, bins)
     held = table.where((base | other) & F.col(source).isNotNull()).groupBy(bin_number(F.col(source), edges).alias("bin")).agg(F.sum(base.cast("bigint")).alias("e"), F.sum(other.cast("bigint")).alias("a"))
     every = Window.partitionBy()
-    e, a = (F.greatest(F.col(c) / F.sum(c).over(every), F.lit(floor)) for c in ("e", "a"))
+    shares = (divided(F.col(c).cast("double"), F.sum(c).over(every).cast("double")) for c in ("e", "a"))
+    e, a = (F.when(s.isNotNull(), F.greatest(s, F.lit(floor))) for s in shares)
     return held.select("bin", e.alias("expected"), a.alias("actual"), ((a - e) * F.log(a / e)).alias("psi"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gritstone.functions.scalars import clipped_between, correlation
+from gritstone.functions.scalars import clipped_between, correlation, divided
 from gritstone.operators.metrics import probability_losses, rank_metrics, score_counts
 from gritstone.operators.models import gram
 from gritstone.operators.quantiles import exact_quantiles, quantiles_of
@@ -49,9 +49,9 @@ def missing_correlations(table: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def ks_curve(table: DataFrame, target: str, score: str) -> DataFrame:
-    """score, cumulative shares of events and others, and their gap."""
+    """score, cumulative shares of events and others, and their gap; null where there are none at all."""
     c = score_counts(table, target, score)
-    bad, good = F.col("pos_upto") / F.col("pos_all"), F.col("neg_upto") / F.col("neg_all")
+    bad, good = (divided(F.col(f"{s}_upto").cast("double"), F.col(f"{s}_all").cast("double")) for s in ("pos", "neg"))
     return c.select(score, bad.alias("events"), good.alias("others"), F.abs(bad - good).alias("gap"))
 
 
@@ -60,7 +60,8 @@ def precision_recall_curve(table: DataFrame, target: str, score: str) -> DataFra
     c = score_counts(table, target, score)
     hit = F.col("pos_all") - F.col("pos_upto") + F.col("pos")
     every = hit + F.col("neg_all") - F.col("neg_upto") + F.col("neg")
-    return c.select(F.col(score).alias("threshold"), (hit / every).alias("precision"), (hit / F.col("pos_all")).alias("recall"))
+    ratio = lambda a, b: divided(a.cast("double"), b.cast("double"))
+    return c.select(F.col(score).alias("threshold"), ratio(hit, every).alias("precision"), ratio(hit, F.col("pos_all")).alias("recall"))
 
 
 def challenger_comparison(table: DataFrame, target: str, primary: str, challenger: str, by: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import chi2_sf, f_sf, kolmogorov_sf, normal_sf, t_two_sided
+from gritstone.functions.scalars import divided
 from gritstone.operators.models import gram
 from gritstone.operators.quantiles import running_shares
 
@@ -21,9 +22,11 @@ def mcnemar(table: DataFrame, first_right: Column, second_right: Column) -> Data
 
 def kolmogorov_smirnov(table: DataFrame, value: str, sample: Column) -> DataFrame:
     """Two-sample statistic and asymptotic p-value; sample is true for the first one. Values are counted first, and summed within ranges."""
-    held = table.where(F.col(value).isNotNull()).groupBy(value).agg(F.sum(sample.cast("bigint")).alias("a"), F.sum((~sample).cast("bigint")).alias("b"))
-    shares = running_shares(held, value, ["a", "b"])
-    gap = shares.select(F.abs(F.col("a_upto") / F.col("a_all") - F.col("b_upto") / F.col("b_all")).alias("d"), F.col("a_all").alias("n"), F.col("b_all").alias("m"))
+    rows = table.select(F.col(value).alias("v"), sample.alias("first")).where("v IS NOT NULL AND first IS NOT NULL")
+    held = rows.groupBy("v").agg(F.sum(F.col("first").cast("bigint")).alias("a"), F.sum((~F.col("first")).cast("bigint")).alias("b"))
+    shares = running_shares(held, "v", ["a", "b"])
+    share = lambda c: divided(F.col(f"{c}_upto").cast("double"), F.col(f"{c}_all").cast("double"))
+    gap = shares.select(F.abs(share("a") - share("b")).alias("d"), F.col("a_all").alias("n"), F.col("b_all").alias("m"))
     d, n, m = gap.agg(F.max("d"), F.max("n"), F.max("m")).first()
     root = math.sqrt(n * m / (n + m)) if n and m else 0.0
     return table.sparkSession.createDataFrame([(d, n, m, kolmogorov_sf((root + 0.12 + 0.11 / root) * d) if root else None)], "statistic double, n bigint, m bigint, p_value double")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gritstone.operators.ranges import free_name
 from gritstone.operators.splits import global_rank
 
 
@@ -18,8 +19,11 @@ def hashed_number(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
 
 
-def _ranked(table: DataFrame, key: str) -> DataFrame:
-    return global_rank(table, [key], "place").drop("place_n")
+def _at_places(table: DataFrame, key: str, places: DataFrame) -> DataFrame:
+    """The table's rows joined to what `places` (with a column place) has for their place in the order of the key."""
+    place = free_name("place", table.columns, places.columns)
+    ranked = global_rank(table, [key], place).drop(f"{place}_n")
+    return ranked.join(places.withColumnRenamed("place", place), place).drop(place)
 
 
 def bootstrap_counts(table: DataFrame, key: str, replicates: int, rows: int | None = None, seed: int = 42) -> DataFrame:
@@ -36,8 +40,7 @@ def bootstrap_counts(table: DataFrame, key: str, replicates: int, rows: int | No
 
 def bootstrap_rows(table: DataFrame, key: str, replicates: int, rows: int | None = None, seed: int = 42) -> DataFrame:
     """The drawn rows with all their columns, `replicate` and `times`; a row drawn twice comes once with times 2."""
-    counts = bootstrap_counts(table, key, replicates, rows, seed).withColumnRenamed("n", "times")
-    return _ranked(table, key).join(counts, "place").drop("place")
+    return _at_places(table, key, bootstrap_counts(table, key, replicates, rows, seed).withColumnRenamed("n", "times"))
 
 
 def sampled_places(spark, total: int, rows: int, seed: int = 42) -> DataFrame:
@@ -54,4 +57,4 @@ def positional_sample(tables: dict[str, DataFrame], key: str, rows: int, seed: i
     if total <= rows:
         return dict(tables)
     places = {name: sampled_places(t.sparkSession, total, rows, seed) for name, t in tables.items()}
-    return {name: _ranked(t, key).join(places[name], "place").drop("place") for name, t in tables.items()}
+    return {name: _at_places(t, key, places[name]) for name, t in tables.items()}
