@@ -216,7 +216,14 @@ EDGES = ", e AS (SELECT quantile_cont(sparse, [0.2, 0.4, 0.6, 0.8]) AS q, min(sp
 register("quantile_bins", EDGES + " SELECT CASE WHEN sparse IS NULL THEN NULL WHEN sparse <= q[1] THEN 0 WHEN sparse <= q[2] THEN 1 WHEN sparse <= q[3] THEN 2 WHEN sparse <= q[4] THEN 3 ELSE 4 END AS bin, count(*) AS n FROM book, e GROUP BY 1", on_book(lambda b: b.groupBy(binning.bin_number(F.col("sparse"), binning.quantile_edges(b.where("split = 'train'"), "sparse", 5)).alias("bin")).agg(F.count("*").alias("n")), None))
 register("equal_width_bins", EDGES + " SELECT CASE WHEN sparse IS NULL THEN NULL WHEN sparse <= lo + (hi - lo) * 1 / 4 THEN 0 WHEN sparse <= lo + (hi - lo) * 2 / 4 THEN 1 WHEN sparse <= lo + (hi - lo) * 3 / 4 THEN 2 ELSE 3 END AS bin, count(*) AS n FROM book, e GROUP BY 1", on_book(lambda b: b.groupBy(binning.bin_number(F.col("sparse"), binning.equal_width_edges(b.where("split = 'train'"), "sparse", 4)).alias("bin")).agg(F.count("*").alias("n")), None))
 register("manual_bins", " SELECT CASE WHEN amount <= 100000 THEN 0 WHEN amount <= 200000 THEN 1 ELSE 2 END AS bin, count(*) AS n, CAST(sum(target) AS BIGINT) AS events FROM book GROUP BY 1", on_book(lambda b: b.groupBy(binning.bin_number(F.col("amount"), [1e5, 2e5]).alias("bin")).agg(F.count("*").alias("n"), F.sum("target").alias("events")), None))
-register("monotonic_bins", None, on_book(lambda b: b.groupBy(binning.bin_number(F.col("amount"), binning.monotonic_edges(b.where("split = 'train'"), "amount", "target", 8)).alias("bin")).agg(F.count("*").alias("n"), F.avg("target").alias("rate"))))
+MONOTONE = f"""
+    , t AS (SELECT amount, target FROM book WHERE split = 'train' AND amount IS NOT NULL),
+      q AS ({' UNION ALL '.join(f"SELECT {n} AS n, list_distinct(quantile_cont(amount, [{', '.join(f'{k / n}::DOUBLE' for k in range(1, n))}])) AS q FROM t" for n in range(2, 9))}),
+      m AS (SELECT n, len(list_filter(q, lambda e: amount > e)) AS b, avg(target::DOUBLE) AS r FROM t, q GROUP BY 1, 2),
+      s AS (SELECT n, list(r ORDER BY b) AS r FROM m GROUP BY n),
+      k AS (SELECT max(n) AS n FROM s WHERE r = list_sort(r) OR r = list_reverse_sort(r))
+    SELECT len(list_filter(q, lambda e: amount > e))::INTEGER AS bin, count(*) AS n, {r('avg(target::DOUBLE)')} AS rate FROM book, q JOIN k USING (n) GROUP BY 1"""
+register("monotonic_bins", MONOTONE, on_book(lambda b: b.groupBy(binning.bin_number(F.col("amount"), binning.monotonic_edges(b.where("split = 'train'"), "amount", "target", 8)).alias("bin")).agg(F.count("*").alias("n"), F.avg("target").alias("rate"))))
 WOE = ", k AS (SELECT coalesce(sparse_segment, 'Missing') AS key, count(*) AS n, CAST(sum(target) AS BIGINT) AS events FROM book GROUP BY 1), w AS (SELECT *, (events + 0.5) / (sum(events) OVER () + 0.5 * count(*) OVER ()) AS bad, (n - events + 0.5) / (sum(n - events) OVER () + 0.5 * count(*) OVER ()) AS good FROM k)"
 register("woe_table", WOE + f" SELECT key, n, events, {r('events / n')} AS bad_rate, {r('ln(good / bad)')} AS woe, {r('(good - bad) * ln(good / bad)', 8)} AS iv FROM w", on_book(lambda b: binning.woe_table(b, category("sparse_segment"), "target").select("key", "n", "events", rounded("bad_rate").alias("bad_rate"), rounded("woe").alias("woe"), rounded("iv", 8).alias("iv")), None))
 register("woe_encoding", WOE.replace("FROM book GROUP", "FROM book WHERE split = 'train' GROUP") + f" SELECT b.id, {r('coalesce(ln(good / bad), 0)')} AS woe FROM book b LEFT JOIN w ON coalesce(b.sparse_segment, 'Missing') = w.key", on_book(lambda b: binning.encode(b, binning.woe_table(b.where("split = 'train'"), category("sparse_segment"), "target"), category("sparse_segment"), "woe", 0.0, "code").select("id", F.col("code").alias("woe"))))
