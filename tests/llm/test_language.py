@@ -8,8 +8,6 @@ from gritstone.llm import language_id as L
 from tests.llm.fixtures import clashing, empty_documents, odd_documents
 
 
-
-
 def test_grams_follow_the_texts():
     texts = ["", "ab", "Hello,  World", "é\0\0x", "12 34", "\U0001f600 abc"]
     grams, doc, has = L.text_grams(pa.array(texts, pa.large_string()))
@@ -43,3 +41,37 @@ def test_tables(spark, sf, which):
     if which == "sf":
         held = [r for r in got if r["held_out"] and r["lang_pred"] != "und"]
         assert sum(r["lang_pred"] == rows[r["doc_id"]]["lang"] for r in held) > 0.97 * len(held)
+
+
+def grams(text):
+    """Lower-case 4-grams, runs of other signs as one space, padded."""
+    out = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = " " + " ".join(out.split()) + " "
+    return [padded[k : k + 4] for k in range(len(padded) - 3)]
+
+
+def test_predictions_by_exact_sets(spark, sf):
+    """Plain sets of each language's most frequent n-grams instead of filters: the same language wherever the lead is
+    more than false positives could make up, and nearly the same score."""
+    from collections import Counter
+
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    counts = {}
+    for d, text, lang in rows:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and lang is not None:
+            counts.setdefault(lang, Counter()).update(grams(text or ""))
+    top = {k: {g for g, _ in c.most_common(L.PROFILE)} for k, c in counts.items()}
+    texts, close, gap = {d: t or "" for d, t, _ in rows}, 0, []
+    for r in L.op2(spark, docs).collect():
+        text = texts[r["doc_id"]]
+        if not any(c.isalpha() for c in text):
+            continue
+        found = {k: sum(g in held for g in grams(text)) for k, held in top.items()}
+        first, second = sorted(found.values(), reverse=True)[:2]
+        if first - second > 0.02 * len(grams(text)) + 2:
+            assert r["lang_pred"] == max(found, key=found.get), (found, text[:60])
+            gap.append(abs(r["score"] - first / sum(found.values())))
+        else:
+            close += 1
+    assert close < 0.05 * len(rows) and np.mean(gap) < 0.01

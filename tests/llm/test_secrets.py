@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -117,3 +118,67 @@ def test_a_text_with_many_matches(spark):
     row = S.op8(spark.createDataFrame([(1, text), (1, text)], "doc_id int, text string")).collect()
     assert len(row) == 2 and row[0]["n_hex"] == len(plain_spans(text))
     assert all(r["base_sha256"] == hashlib.sha256(joined(plain_spans(text)).encode()).hexdigest() for r in row)
+
+
+def tail(z):
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def encoded(value):
+    return next((name, alphabet) for name, pattern, alphabet in S.ENCODINGS if re.search(pattern, value))
+
+
+def plain_battery(value):
+    """The four tests by their definitions, and Fisher's combination."""
+    name, alphabet = encoded(value)
+    size, n = len(alphabet), len(value)
+    squares = sum(value.count(c) ** 2 for c in set(value))
+    p = [tail((squares * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n))]
+    place = [alphabet.index(c) + 1 - (size + 1) / 2 for c in value]
+    runs = 1 + sum((a < 0) != (b < 0) for a, b in zip(place, place[1:]))
+    p.append(min(1, 2 * tail(abs((runs - 1 - (n - 1) / 2) / math.sqrt((n - 1) / 4)))))
+    p.append(min(1, 2 * tail(abs(sum(a * b for a, b in zip(place, place[1:])) / ((size * size - 1) / 12 * math.sqrt(n - 1))))))
+    parts = [(sum(c in part for c in value), len(set(alphabet) & set(part))) for part in (S._DIGITS, S._LOWER, S._UPPER, "+/")]
+    parts = [(o, k) for o, k in parts if k]
+    if len(parts) > 1:
+        x = sum((o - n * k / size) ** 2 * size / (n * k) for o, k in parts)
+        p.append({2: lambda: min(1, 2 * tail(math.sqrt(x))), 3: lambda: math.exp(-x / 2), 4: lambda: min(1, 2 * tail(math.sqrt(x))) + math.sqrt(2 * x / math.pi) * math.exp(-x / 2)}[len(parts)]())
+    x = -sum(math.log(max(v, 1e-300)) for v in p)
+    return name, min(1, math.exp(-x) * sum(x**k / math.factorial(k) for k in range(len(p))))
+
+
+def test_battery_by_its_definitions(spark):
+    rng = np.random.default_rng(16)
+    values = ["".join(rng.choice(list(alphabet), int(rng.integers(20, 200)))) for _, _, alphabet in S.ENCODINGS for _ in range(60)]
+    values += ["internationalizationOfWords", "a" * 30, "0123456789" * 3, "ab" * 40, "Z" * 25, "some/path/to/a/file/name"]
+    rows = spark.createDataFrame([(v,) for v in values], "s string").select("s", S.encoding(F.col("s"))["name"].alias("name"), S.battery(F.col("s"), S.encoding(F.col("s"))).alias("p")).collect()
+    for r in rows:
+        name, p = plain_battery(r["s"])
+        assert r["name"] == name and math.isclose(r["p"], p, rel_tol=2e-3, abs_tol=2e-6), (r["s"], r["p"], p)
+
+
+def test_thresholds_by_plain_counting(spark):
+    """The least bin whose acceptance keeps the rate: by twice the strings above one half, or by the fixed tails."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for k in (4, 5, 6):
+        for which, (noise, words) in enumerate(((500, 3000), (40, 900), (3, 50), (0, 400), (2000, 0), (300, 10))):
+            p = np.concatenate([rng.random(noise), rng.random(words) ** 6 * 0.5])
+            rows += [(f"s{which}:{k}", float(x)) for x in p]
+    want = {}
+    for stratum in {s for s, _ in rows}:
+        bins = [min(int(p * S.BINS), S.BINS - 1) for s, p in rows if s == stratum]
+        random = 2 * sum(b >= S.BINS // 2 for b in bins)
+        own = []
+        for b in sorted(set(bins)):
+            accepted = sum(x >= b for x in bins)
+            if b > 0 and random and 1 - min(random * (1 - b / S.BINS), accepted) / accepted <= 0.05:
+                own.append(b)
+        if random < S.FEW:
+            k = min(int(stratum.split(":")[1]), max(S.TAILS))
+            fixed = next((b for b, share in S.TAILS[k] if (sum(x < b for x in bins) + 1) * share <= 0.05 * sum(x >= b for x in bins)), None)
+            own += [] if fixed is None else [fixed]
+        if own:
+            want[stratum] = min(own)
+    got = {r["stratum"]: r["bin"] for r in S.thresholds(spark.createDataFrame(rows, "stratum string, p double"), 0.05).collect()}
+    assert got == want and len(want) > 6
