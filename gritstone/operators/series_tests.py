@@ -246,3 +246,27 @@ def box_tidwell(table: DataFrame, features: list[str], target: str) -> DataFrame
         row = iteratively_reweighted(held, ["x", "bent"], target).table(table).where("name = 'bent'").select(F.lit(c).alias("feature"), "coefficient", "z", "p_value")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def binomial_influence(table: DataFrame, features: list[str], target: str) -> DataFrame:
+    """The rows without nulls with fitted probability, leverage, Pearson residual (standardised), Cook's distance and one
+    `dfbeta_<name>` per coefficient of a logistic model: its one-step change when the row is left out.
+
+    All follow from the fit and its inverse information, k^2 numbers, so no row leaves its task.
+    """
+    from gritstone.operators.models import iteratively_reweighted
+
+    model = iteratively_reweighted(table, features, target)
+    inverse = model.covariance
+    k = len(model.coefficients)
+    y, mu = F.col(target).cast("double"), model.predict()
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
+    turned = [sum((x[j] * float(inverse[i, j]) for j in range(k)), F.lit(0.0)) for i in range(k)]
+    held = table.where(y.isNotNull()).na.drop(subset=features).withColumn("fitted", mu)
+    weight = F.col("fitted") * (1 - F.col("fitted"))
+    held = held.withColumn("leverage", weight * sum((x[i] * turned[i] for i in range(k)), F.lit(0.0)))
+    left = 1 - F.col("leverage")
+    residual = (y - F.col("fitted")) / F.sqrt(weight * left)
+    moved = {f"dfbeta_{c}": turned[i] * (y - F.col("fitted")) / left for i, c in enumerate(["intercept", *features])}
+    held = held.withColumns({"residual": residual, **moved})
+    return held.withColumn("cooks_distance", F.col("residual") * F.col("residual") * F.col("leverage") / left / k)

@@ -156,3 +156,12 @@ add(
 )
 add("link_test", None, lambda b: T.link_test(scaled(b, "target"), ["amount", "balance"], "target"))
 add("box_tidwell", None, lambda b: T.box_tidwell(scaled(b, "target"), ["amount"], "target"))
+
+
+def binomial(b: DataFrame) -> DataFrame:
+    """Leverages sum to the number of coefficients, fitted values to the events, and the rows' score terms to nothing."""
+    held = T.binomial_influence(scaled(b, "target"), ["amount", "balance"], "target")
+    return held.agg(F.count("*").alias("n"), rounded(F.sum("leverage"), 5).alias("leverage"), rounded(F.avg("fitted")).alias("fitted"), (F.min("cooks_distance") >= 0).alias("distances_hold"))
+
+
+add("binomial_influence", f" SELECT count(*) AS n, 3.0::DOUBLE AS leverage, {r('avg(target::DOUBLE)')} AS fitted, TRUE AS distances_hold FROM book", binomial, digits=None)

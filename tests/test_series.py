@@ -217,3 +217,33 @@ def test_stability_of_moved_and_unmoved(spark):
     held = spark.range(4000).select(F.col("id"), (F.col("id") % 100).cast("double").alias("same"), (F.col("id") % 100 + F.when(F.col("id") >= 2000, 50).otherwise(0)).cast("double").alias("moved"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("kind"))
     got = S.stability(held, F.col("id") < 2000, ["same", "moved"], ["kind"])
     assert abs(got["same"]) < 1e-9 and abs(got["kind"]) < 1e-9 and got["moved"] > 1
+
+
+def test_binomial_influence(spark):
+    """Against NumPy at the fit, and its one-step changes against fits without the row."""
+    from gritstone.operators.models import iteratively_reweighted
+
+    rng = np.random.default_rng(37)
+    x = rng.normal(size=(120, 2))
+    y = (rng.random(120) < 1 / (1 + np.exp(-(0.3 + x[:, 0] - x[:, 1])))).astype(float)
+    held = spark.createDataFrame([(k, *map(float, r), float(t)) for k, (r, t) in enumerate(zip(x, y))] + [(500, None, 1.0, 1.0)], "id bigint, a double, b double, y double").repartition(3)
+    full, b = np.column_stack([np.ones(120), x]), iteratively_reweighted(held, ["a", "b"], "y").coefficients
+
+    def newton(rows, y, b):
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-rows @ b))
+            b = b + np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows, rows.T @ (y - p))
+        return b
+
+    p = 1 / (1 + np.exp(-full @ b))
+    w = p * (1 - p)
+    inverse = np.linalg.inv((full * w[:, None]).T @ full)
+    h = w * np.einsum("ij,jk,ik->i", full, inverse, full)
+    r = (y - p) / np.sqrt(w * (1 - h))
+    for row in T.binomial_influence(held, ["a", "b"], "y").collect():
+        k = row["id"]
+        assert np.allclose([row["fitted"], row["leverage"], row["residual"], row["cooks_distance"]], [p[k], h[k], r[k], r[k] ** 2 * h[k] / (1 - h[k]) / 3], atol=1e-8)
+        if k < 15:
+            keep = np.arange(120) != k
+            change = b - newton(full[keep], y[keep], b)
+            assert np.abs(np.array([row["dfbeta_intercept"], row["dfbeta_a"], row["dfbeta_b"]]) - change).max() < 0.1 * np.abs(change).max() + 1e-4
