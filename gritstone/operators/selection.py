@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gritstone.functions.scalars import category
 from gritstone.operators.diagnostics import correlation_matrix
 from gritstone.operators.quantiles import quantiles_of, running_shares
-from gritstone.operators.ranges import count_below
+from gritstone.operators.ranges import count_below, free_name
 
 #: Categories with weights of evidence of their own in a screen; the others are one.
 TOP_LEVELS = 50
@@ -111,7 +111,20 @@ def stability(table: DataFrame, base: Column, numeric: list[str], categorical: l
 
 def prescreen(table: DataFrame, numeric: list[str], categorical: list[str], target: str, base: Column, most_levels: int = 500, most_ratio: float = 0.2) -> DataFrame:
     """One row per feature of the base rows: missing and distinct values, variance, how it tells the target alone, IV,
-    PSI against the other rows, and advice: exclude what is (almost) always missing, constant, or a category of very many levels."""
+    PSI against the other rows, and advice: exclude what is (almost) always missing, constant, or a category of very many levels.
+
+    The columns are kept while the screen runs, so the source is read once.
+    """
+    features = [*numeric, *categorical]
+    mark = free_name("base__", table.columns)
+    kept = table.select(*dict.fromkeys([*features, target]), base.alias(mark)).persist()
+    try:
+        return _screened(kept, numeric, categorical, target, F.col(mark), most_levels, most_ratio)
+    finally:
+        kept.unpersist()
+
+
+def _screened(table: DataFrame, numeric: list[str], categorical: list[str], target: str, base: Column, most_levels: int, most_ratio: float) -> DataFrame:
     train, features = table.where(base), [*numeric, *categorical]
     held = train.agg(
         F.count("*").alias("n"),
@@ -183,6 +196,14 @@ def reviewed(choices: list[Choice], verdicts: dict[str, tuple[bool, str]]) -> li
 
 def select_features(train: DataFrame, numeric: list[str], categorical: list[str], target: str, rules: Rules) -> list[Choice]:
     """Scores, then the rules; correlations are those of numbers with their gaps at the median, in one aggregate."""
+    train = train.select(*dict.fromkeys([*numeric, *categorical, target])).persist()
+    try:
+        return _selected(train, numeric, categorical, target, rules)
+    finally:
+        train.unpersist()
+
+
+def _selected(train: DataFrame, numeric: list[str], categorical: list[str], target: str, rules: Rules) -> list[Choice]:
     scores = univariate_scores(train, numeric, categorical, target)
     kinds = dict.fromkeys(numeric, "numeric") | dict.fromkeys(categorical, "categorical")
     correlated = {}

@@ -90,19 +90,22 @@ def fit(train: DataFrame, specs: list[Transform]) -> list[Fitted]:
 
 
 def _power_lambda(train: DataFrame, spec: Transform) -> float:
-    """Maximum likelihood over a grid from -2 to 2, refined once; each grid is one aggregate job."""
-    x = F.col(spec.source).try_cast("double")
-    grid, centre, step = None, 0.0, 0.25
-    for _ in range(3):
-        grid = [centre + step * k for k in range(-8, 9)]
-        jacobian = F.sum(F.log(x)) if spec.kind == "box_cox" else F.sum(F.signum(x) * F.log1p(F.abs(x)))
-        held = train.where(x > 0) if spec.kind == "box_cox" else train.where(x.isNotNull())
-        row = held.agg(F.count("*").alias("n"), jacobian.alias("j"), *(F.var_pop(_power(spec.kind, x, g)).alias(f"v{k}") for k, g in enumerate(grid))).first()
-        if not row["n"] or any(row[f"v{k}"] in (None, 0.0) for k in range(len(grid))):
-            return 1.0
-        centre = max(grid, key=lambda g: -row["n"] / 2 * math.log(row[f"v{grid.index(g)}"]) + (g - 1) * row["j"])
-        step /= 8
-    return centre
+    """Maximum likelihood over a grid from -2 to 2, refined twice; each grid is one aggregate job over the kept column."""
+    x = F.col("x")
+    held = train.select(F.col(spec.source).try_cast("double").alias("x")).where(x > 0 if spec.kind == "box_cox" else x.isNotNull()).persist()
+    jacobian = F.sum(F.log(x)) if spec.kind == "box_cox" else F.sum(F.signum(x) * F.log1p(F.abs(x)))
+    centre, step = 0.0, 0.25
+    try:
+        for _ in range(3):
+            grid = [centre + step * k for k in range(-8, 9)]
+            row = held.agg(F.count("*").alias("n"), jacobian.alias("j"), *(F.var_pop(_power(spec.kind, x, g)).alias(f"v{k}") for k, g in enumerate(grid))).first()
+            if not row["n"] or any(row[f"v{k}"] in (None, 0.0) for k in range(len(grid))):
+                return 1.0
+            centre = max(grid, key=lambda g: -row["n"] / 2 * math.log(row[f"v{grid.index(g)}"]) + (g - 1) * row["j"])
+            step /= 8
+        return centre
+    finally:
+        held.unpersist()
 
 
 def _power(kind: str, x: Column, p: float) -> Column:
