@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import rounded
-from gritstone.operators import binning, hypothesis_tests, imputation, metrics, models, shape, transforms
+from gritstone.operators import binning, hypothesis_tests, imputation, metrics, models, schema, shape, transforms
 from gritstone.operators.transforms import Transform
 from gritstone.plans.catalogue import r
 from gritstone.plans.evidence import two_sided_normal
 from gritstone.plans.registry import Registry
+from gritstone.sources import tables
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -218,3 +219,26 @@ def power_fit(b: DataFrame) -> DataFrame:
 
 
 add("box_cox_fit", " SELECT count(*) AS n, TRUE AS likeliest, TRUE AS between FROM book", power_fit, digits=None)
+
+
+def kept_columns(b: DataFrame) -> DataFrame:
+    held = schema.drop_empty_columns(b.withColumns({"gone": F.lit(None).cast("double"), "spared": F.lit(None).cast("string")}), ("spared",))
+    return b.sparkSession.createDataFrame([(c,) for c in held.columns], "`column` string")
+
+
+add(
+    "drop_empty_columns",
+    """ SELECT unnest(['id', 'entity', 'date', 'segment', 'state', 'amount', 'balance', 'sparse', 'sparse_segment', 'target', 'score', 'challenger', 'split', 'spared']) AS "column" """,
+    kept_columns,
+    digits=None,
+)
+
+add("preview", " SELECT count(*) AS n FROM (SELECT id, amount FROM book LIMIT 25)", lambda b: tables.preview(b, 25, ["id", "amount"]).agg(F.count("*").alias("n")), digits=None)
+
+
+def service_ratio(b: DataFrame) -> DataFrame:
+    fitted = transforms.fit(b, [Transform("debt_service_ratio", "amount", "ratio", second="balance")])[0]
+    return b.select("id", rounded(transforms.column(fitted), 4).alias("ratio"))
+
+
+add("debt_service_ratio", f" SELECT id, {r('CASE WHEN abs(balance) > 1e-12 THEN amount / balance END', 4)} AS ratio FROM book", service_ratio, digits=None)
