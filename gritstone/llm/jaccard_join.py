@@ -38,7 +38,7 @@ from gritstone.llm.components import connected_components
 from gritstone.llm.words import GRAM_CODE, U, gram_hashes, mix, words_of
 
 #: Shingles a bucket receives on average, and members of a group.
-BUCKET_SHINGLES, GROUP_MEMBERS = 1_000_000, 128
+BUCKET_SHINGLES, GROUP_MEMBERS = 600_000, 128
 REQUEST_BYTES = 2 << 20
 #: Shingles of a class that follow each other in a request, and rows that may be broadcast.
 RUN, BROADCAST_ROWS = 255, 100_000
