@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import normal_sf
-from gritstone.functions.scalars import clipped_between, logistic, normal_cdf
+from gritstone.functions.scalars import clipped_between, logistic, normal_cdf, normal_cdf_array
 from gritstone.operators.blocks import block_sums, design
 
 
@@ -31,7 +31,10 @@ class Linear:
         return sum((F.col(c) * float(b) for c, b in zip(self.features, slopes, strict=True)), F.lit(float(first)))
 
     def predict(self) -> Column:
-        eta = self.linear()
+        return self.mean(self.linear())
+
+    def mean(self, eta: Column) -> Column:
+        """The mean at a linear predictor."""
         if self.link == "logit":
             return logistic(eta)
         if self.link == "probit":
@@ -105,14 +108,14 @@ def _scored(table: DataFrame, features: list[str], target: str, family: str, rid
         model.coefficients[0] = math.log(max(table.agg(F.avg(y)).first()[0] or 1e-9, 1e-9))
     for _ in range(rounds):
         eta, mu = model.linear(), model.predict()
-        if family in ("binomial", "probit"):
+        if family == "binomial":
             mu = clipped_between(mu, 1e-9, 1 - 1e-9)
-            slope = mu * (1 - mu) if family == "binomial" else F.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
+            slope = mu * (1 - mu)
             w, z = slope * slope / (mu * (1 - mu)), eta + (y - mu) / slope
-        else:
+        elif family != "probit":
             w = {"poisson": mu, "gamma": F.lit(1.0), "negative_binomial": mu / (1 + dispersion * mu), "tweedie": F.pow(mu, F.lit(2 - power))}[family]
             z = eta + (y - mu) / mu
-        g, v, _, _ = gram(table, features, z, w)
+        g, v = _probit_moments(table, features, y, model.coefficients) if family == "probit" else gram(table, features, z, w)[:2]
         g = g + np.diag([0.0, *[ridge] * len(features)])
         new = np.linalg.solve(g, v)
         moved = np.abs(new - model.coefficients).max()
@@ -122,6 +125,23 @@ def _scored(table: DataFrame, features: list[str], target: str, family: str, rid
     raise ArithmeticError(f"no convergence in {rounds} rounds: the last moved a coefficient by {moved}")
 
 
+def _probit_moments(table: DataFrame, features: list[str], y: Column, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """X'WX and X'Wz of a round of scoring; the distribution function is NumPy's work, a batch at once."""
+    names, k = [f"x{i}" for i in range(1, len(features) + 1)], len(features) + 1
+
+    def part(x: dict[str, np.ndarray]) -> np.ndarray:
+        rows = design(x, names)
+        eta = rows @ b
+        mu = np.clip(normal_cdf_array(eta), 1e-9, 1 - 1e-9)
+        slope = np.exp(-eta * eta / 2) / math.sqrt(2 * math.pi)
+        weighted = rows * (slope * slope / (mu * (1 - mu)))[:, None]
+        return np.append((weighted.T @ rows).ravel(), weighted.T @ (eta + (x["y"] - mu) / slope))
+
+    whole = table.na.drop(subset=features).where(y.isNotNull()).select(*(F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)), y.alias("y"))
+    sums = block_sums(whole, k * k + k, part)
+    return sums[: k * k].reshape(k, k), sums[k * k :]
+
+
 def accelerated_failure_time(table: DataFrame, features: list[str], duration: str) -> Linear:
     """Least squares on the log duration."""
     fitted = ordinary_least_squares(table.where(F.col(duration) > 0).withColumn("__log", F.log(duration)), features, "__log")

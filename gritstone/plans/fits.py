@@ -28,7 +28,8 @@ def zeros(*names: str) -> str:
 
 def moments(held: DataFrame, of: Column, features: list[str] | None = None) -> DataFrame:
     """The mean of `of`, alone and times each feature."""
-    return long(held, {("intercept",): F.avg(of)} | {(c,): F.avg(F.col(c) * of) for c in features or SCALED}, "equation string")
+    held = held.withColumn("of", of)  # once a row
+    return long(held, {("intercept",): F.avg("of")} | {(c,): F.avg(F.col(c) * F.col("of")) for c in features or SCALED}, "equation string")
 
 
 def moments_sql(of: str, features: tuple[str, ...] = tuple(SCALED), source: str = "s") -> str:
@@ -54,7 +55,8 @@ add("logistic_moments", TRAIN + moments_sql("target"), logistic, digits=None)
 def probit(b: DataFrame) -> DataFrame:
     held = train(b)
     model = models.iteratively_reweighted(held, list(SCALED), "target", "probit")
-    eta, p = model.linear(), model.predict()
+    held = held.withColumn("eta", model.linear()).withColumn("p", model.mean(F.col("eta")))
+    eta, p = F.col("eta"), F.col("p")
     return moments(held, (F.col("target") - p) * F.exp(-eta * eta / 2) / (p * (1 - p)))
 
 
