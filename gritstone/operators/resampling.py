@@ -13,10 +13,15 @@ from gritstone.operators.ranges import free_name
 from gritstone.operators.splits import global_rank
 
 
-def hashed_number(*parts: Column | int | str) -> Column:
-    """A whole number below 2^52 from the SHA-256 of the parts, written with colons between them."""
+def hashed_digits(*parts: Column | int | str) -> Column:
+    """The first 13 hexadecimal digits of the SHA-256 of the parts, written with colons between them."""
     text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
-    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("bigint")
+    return F.substring(F.sha2(text, 256), 1, 13)
+
+
+def hashed_number(*parts: Column | int | str) -> Column:
+    """The whole number below 2^52 that these digits are."""
+    return F.conv(hashed_digits(*parts), 16, 10).cast("bigint")
 
 
 def _at_places(table: DataFrame, key: str, places: DataFrame) -> DataFrame:

@@ -10,9 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gritstone.functions.distributions import chi2_sf, f_sf
+from gritstone.functions.scalars import let
 from gritstone.operators.blocks import block_sums, design
 from gritstone.operators.models import Linear, gram
-from gritstone.operators.resampling import hashed_number
+from gritstone.operators.resampling import hashed_digits, hashed_number
+
+
+#: Chances of a Poisson(1) count of at most 0, 1, ..., 11.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)]).tolist()
 
 
 def poisson_weight(key: str, replicate: int) -> Column:
@@ -20,13 +25,23 @@ def poisson_weight(key: str, replicate: int) -> Column:
 
     Counts come from the SHA-256 of replicate and key, so neither neighbouring keys nor replicates go together.
     """
-    u = (hashed_number("poisson", replicate, F.col(key)) + 0.5) / float(1 << 52)
-    out, upto, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        upto += p
-        out = out + F.when(u > upto, 1).otherwise(0)
-        p /= k + 1
-    return out
+
+    def count(u: Column) -> Column:
+        out = F.when(u <= POISSON[0], 0)
+        for k, step in enumerate(POISSON[1:], 1):
+            out = out.when(u <= step, k)
+        return out.otherwise(len(POISSON))
+
+    # the hash is most of the work, so it is taken once, not once a step
+    return let((hashed_number("poisson", replicate, F.col(key)) + 0.5) / float(1 << 52), count)
+
+
+def _weights(digits: np.ndarray) -> np.ndarray:
+    """The same counts from a batch of hashed digits."""
+    values = np.frombuffer("".join(digits).encode(), np.uint8).reshape(len(digits), 13).astype(np.int64)
+    values = (values & 15) + 9 * (values > 57)
+    u = (values @ (np.int64(1) << (4 * np.arange(12, -1, -1, dtype=np.int64))) + 0.5) / float(1 << 52)
+    return np.searchsorted(POISSON, u, "left").astype(float)
 
 
 def bootstrap_means(table: DataFrame, key: str, values: dict[str, Column], replicates: int) -> DataFrame:
@@ -46,13 +61,13 @@ def bootstrap_fit(table: DataFrame, key: str, features: list[str], target: str,
     One job sums the weighted moments of all replicates, (k + 1)(k + 2) numbers for each.
     """
     names = [*features, target]
-    held = table.select(*(F.col(c).cast("double").alias(c) for c in names), *(poisson_weight(key, k).cast("double").alias(f"weight__{k}") for k in range(replicates))).na.drop()
+    held = table.select(*(F.col(c).cast("double").alias(c) for c in names), *(hashed_digits("poisson", k, F.col(key)).alias(f"digits__{k}") for k in range(replicates))).na.drop()
     p = len(features) + 1
 
     def part(x: dict[str, np.ndarray]) -> np.ndarray:
         rows = design(x, features)
         wide = np.column_stack([rows, x[target]])
-        return np.concatenate([(rows.T @ (wide * x[f"weight__{k}"][:, None])).ravel() for k in range(replicates)])
+        return np.concatenate([(rows.T @ (wide * _weights(x[f"digits__{k}"])[:, None])).ravel() for k in range(replicates)])
 
     sums = block_sums(held, replicates * p * (p + 1), part).reshape(replicates, p, p + 1)
     b = np.array([np.linalg.lstsq(m[:, :p], m[:, p], rcond=None)[0] for m in sums])

@@ -145,3 +145,10 @@ def test_stationarity(spark):
     long_run = g[0] + 2 * sum((1 - k / 4) * g[k] for k in (1, 2, 3))
     want = math.sqrt(g[0] / long_run) * b[1] / error - 0.5 * (long_run - g[0]) / long_run * 59 * error / math.sqrt(g[0])
     assert math.isclose(R.phillips_perron(series, "t", "e", 3).first()["statistic"], want, rel_tol=1e-8)
+
+
+def test_bootstrap_hash_is_taken_once(spark):
+    """A weight hashes its row once, not once a step; batches of hashed digits give the same weights."""
+    assert str(R.poisson_weight("id", 0)).count("sha2") == 1
+    table = spark.range(3000).select("id", R.poisson_weight("id", 7).alias("w"), R.hashed_digits("poisson", 7, F.col("id")).alias("digits")).toPandas()
+    assert (R._weights(table["digits"].to_numpy()) == table["w"]).all() and table["w"].nunique() > 4
