@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -20,8 +21,17 @@ from gritstone.operators.models import Linear, gram
 from gritstone.operators.penalised import own_scale, standardising
 
 
+#: Rows of a group up to which they are kept together in one partition, and rows of a partition.
+TOGETHER = 1_000_000
+
+
 def _standardised(table: DataFrame, features: list[str], target: str, group: str) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     """g, x0 (ones), x1, ... (standardised features) and y, persisted, with the means, deviations and row count."""
+    held, mean, spread, n = _whole_rows(table, features, target, group)
+    return held.persist(), mean, spread, n
+
+
+def _whole_rows(table: DataFrame, features: list[str], target: str, group: str) -> tuple[DataFrame, np.ndarray, np.ndarray, int]:
     names = [f"x{j}" for j in range(1, len(features) + 1)]
     raw = table.select(F.struct(F.col(group)).alias("g"), *(F.col(c).cast("double").alias(n) for c, n in zip([*features, target], [*names, "y"], strict=True)))
     finite = F.lit(True)
@@ -29,7 +39,7 @@ def _standardised(table: DataFrame, features: list[str], target: str, group: str
         finite = finite & (F.abs(n) < float("inf"))
     raw = raw.where(finite)
     mean, spread, n = standardising(raw, names)
-    held = raw.select("g", F.lit(1.0).alias("x0"), *(((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(names, mean, spread, strict=True)), "y").persist()
+    held = raw.select("g", F.lit(1.0).alias("x0"), *(((F.col(c) - float(m)) / float(s)).alias(c) for c, m, s in zip(names, mean, spread, strict=True)), "y")
     return held, mean, spread, n
 
 
@@ -129,6 +139,15 @@ def mixed_effects(table: DataFrame, features: list[str], target: str, group: str
         held.unpersist()
 
 
+def _by_group(rows: DataFrame, sizes: DataFrame | None, n: int) -> list[DataFrame]:
+    """The rows dealt by group and persisted, and those of groups above TOGETHER, if `sizes` are given, as they come."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TOGETHER))
+    if sizes is None:
+        return [rows.repartition(parts, "g").persist()]
+    large = F.broadcast(sizes.where(F.col("count") > TOGETHER).select("g"))  # at most n / TOGETHER groups
+    return [rows.join(large, "g", "left_anti").repartition(parts, "g").persist(), rows.join(large, "g", "left_semi").persist()]
+
+
 @dataclass
 class Marginal:
     """A logistic model of the mean with a working correlation between the rows of a group."""
@@ -155,31 +174,38 @@ class Marginal:
 def estimating_equations(table: DataFrame, features: list[str], target: str, group: str, exchangeable: bool = True, rounds: int = 60) -> Marginal:
     """Generalised estimating equations with a logit link; rows of a group are exchangeable or taken as independent.
 
-    A round is one job: residuals at the present coefficients give the dispersion and the correlation that the next round
-    uses, and the step. A group's inverse working correlation is (I - c 11') / (1 - a), c = a / (1 + (n - 1) a), so that
-    its share of the equations and of the sandwich follows from its sums. Dispersion and correlation are divided by the
-    rows and the pairs of rows, less the number of coefficients.
+    Rows are dealt by group once and kept, so that a round sums groups where they lie and shuffles nothing; groups of more
+    than TOGETHER rows are kept apart, as they come, and their partial sums shuffled. A round is one job: residuals at the
+    present coefficients give the dispersion and the correlation that the next round uses, and the step. A group's inverse
+    working correlation is (I - c 11') / (1 - a), c = a / (1 + (n - 1) a), so that its share of the equations and of the
+    sandwich follows from its sums. Dispersion and correlation are divided by the rows and the pairs of rows, less the
+    number of coefficients.
     """
-    held, mean, spread, n = _standardised(table, features, target, group)
+    rows, mean, spread, n = _whole_rows(table, features, target, group)
     p = len(features) + 1
     names = [f"x{j}" for j in range(p)]
-    pairs = held.groupBy("g").count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.count("*")).first()
-    pairs, groups = float(pairs[0]), int(pairs[1])
+    sizes = rows.groupBy("g").count()
+    pairs, groups, most = sizes.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2), F.count("*"), F.max("count")).first()
+    pairs, groups = float(pairs), int(groups)
+    kept = _by_group(rows, sizes if most > TOGETHER else None, n)
     tied = exchangeable and pairs > p
     at, alpha, cells = np.zeros(p), 0.0, p * p
 
-    def state(at: np.ndarray, alpha: float) -> tuple[np.ndarray, ...]:
-        eta = sum((F.col(c) * float(b) for c, b in zip(names, at, strict=True)), F.lit(0.0))
-        mu = 1 / (1 + F.exp(-eta))
+    zs = [f"z{j}" for j in range(p)]
+    crossed = {f"q{i}_{j}": F.col(f"z{i}") * F.col(f"z{j}") for i in range(p) for j in range(i, p)}
+
+    def group_sums(held: DataFrame, mu: Column) -> DataFrame:
         scaled = held.select("g", F.sqrt(mu * (1 - mu)).alias("d"), mu.alias("mu"), *names, "y")
         rows = scaled.select("g", ((F.col("y") - F.col("mu")) / F.col("d")).alias("r"), *((F.col(c) * F.col("d")).alias(f"z{j}") for j, c in enumerate(names)))
-        zs = [f"z{j}" for j in range(p)]
-        products = {f"q{i}_{j}": F.col(f"z{i}") * F.col(f"z{j}") for i in range(p) for j in range(i, p)}
-        by = rows.groupBy("g").agg(
+        return rows.groupBy("g").agg(
             F.count("*").cast("double").alias("n"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("rr"), *(F.sum(z).alias(z) for z in zs),
-            *(F.sum(F.col(z) * F.col("r")).alias(f"v{j}") for j, z in enumerate(zs)), *(F.sum(c).alias(q) for q, c in products.items()),
+            *(F.sum(F.col(z) * F.col("r")).alias(f"v{j}") for j, z in enumerate(zs)), *(F.sum(c).alias(q) for q, c in crossed.items()),
         ).drop("g")
 
+    def state(at: np.ndarray, alpha: float) -> tuple[np.ndarray, ...]:
+        eta = sum((F.col(c) * float(b) for c, b in zip(names, at, strict=True)), F.lit(0.0))
+        mu = 1 / (1 + F.exp(-eta))
+
         def part(x: dict[str, np.ndarray]) -> np.ndarray:
             c = alpha / (1 + (x["n"] - 1) * alpha)
             z, v = np.column_stack([x[k] for k in zs]), np.column_stack([x[f"v{j}"] for j in range(p)])
@@ -191,6 +217,7 @@ def estimating_equations(table: DataFrame, features: list[str], target: str, gro
             inside = (inside - z.T @ (z * c[:, None])) / (1 - alpha)
             return np.concatenate([[x["rr"].sum(), ((x["r"] ** 2 - x["rr"]) / 2).sum()], score.sum(axis=0), inside.ravel(), (score.T @ score).ravel()])
 
+        by = reduce(DataFrame.unionByName, (group_sums(held, mu) for held in kept))
         sums = block_sums(by, 2 + p + 2 * cells, part)
         return sums[0], sums[1], sums[2 : 2 + p], sums[2 + p : 2 + p + cells].reshape(p, p), sums[2 + p + cells :].reshape(p, p)
 
@@ -207,4 +234,5 @@ def estimating_equations(table: DataFrame, features: list[str], target: str, gro
             at, alpha = at + move, following
         raise ArithmeticError(f"no convergence in {rounds} rounds")
     finally:
-        held.unpersist()
+        for held in kept:
+            held.unpersist()

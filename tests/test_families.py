@@ -353,3 +353,19 @@ def test_extra_trees_split_as_in_memory(table, data, target, tried):
     assert np.allclose(values(table, forest.predict()), score / 4, atol=1e-12)
     assert values(table.withColumn("a", F.lit(None).cast("double")), forest.predict()).tolist() == [None] * len(y)
     assert abs(sum(r["importance"] for r in forest.importance(table).collect()) - 1) < 1e-9
+
+
+def test_estimating_equations_shuffle_once(spark, monkeypatch):
+    """Groups kept whole are summed where they lie; groups too large for that are kept apart and change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(k % 7 if k < 600 else 99, float(x), float(rng.random() < 0.4)) for k, x in enumerate(rng.normal(size=900))]
+    table = spark.createDataFrame([*rows, (None, 0.3, 1.0), (None, -0.2, 0.0)], "entity int, x double, y double")
+    whole = G.estimating_equations(table, ["x"], "y", "entity")
+    held, = G._by_group(table.select(F.struct("entity").alias("g"), "x"), None, 902)
+    summed = held.groupBy("g").agg(F.sum("x"))
+    summed.collect()
+    assert "Exchange" not in summed._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    held.unpersist()
+    monkeypatch.setattr(G, "TOGETHER", 200)
+    apart = G.estimating_equations(table, ["x"], "y", "entity")
+    assert np.allclose(whole.coefficients, apart.coefficients, rtol=1e-9) and np.allclose(whole.covariance, apart.covariance, rtol=1e-9) and whole.groups == apart.groups == 9
