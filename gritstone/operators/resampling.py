@@ -13,6 +13,10 @@ from gritstone.operators.ranges import free_name
 from gritstone.operators.splits import global_rank
 
 
+#: Draws that a task makes and counts.
+TASK_DRAWS = 2_000_000
+
+
 def hashed_digits(*parts: Column | int | str) -> Column:
     """The first 13 hexadecimal digits of the SHA-256 of the parts, written with colons between them."""
     text = F.concat_ws(":", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
@@ -33,14 +37,18 @@ def _at_places(table: DataFrame, key: str, places: DataFrame) -> DataFrame:
 
 def bootstrap_counts(table: DataFrame, key: str, replicates: int, rows: int | None = None, seed: int = 42) -> DataFrame:
     """replicate, place (1-based, in the order of the key) and n, how often the row is drawn; exactly `rows` draws per
-    replicate, by default as many as the table has rows. Rows that are not drawn do not appear."""
+    replicate, by default as many as the table has rows. Rows that are not drawn do not appear.
+
+    Draws are dealt by place in parts of TASK_DRAWS, before they are counted, so no task's table of counts grows with the input.
+    """
     total = table.count()
     wanted = total if rows is None else rows
     if not total:
         return table.sparkSession.createDataFrame([], "replicate int, place bigint, n bigint")
-    draws = table.sparkSession.range(replicates * wanted).select(F.floor(F.col("id") / wanted).cast("int").alias("replicate"), F.pmod("id", F.lit(wanted)).alias("draw"))
+    parts = max(1, -(-replicates * wanted // TASK_DRAWS), int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    draws = table.sparkSession.range(0, replicates * wanted, 1, parts).select(F.floor(F.col("id") / wanted).cast("int").alias("replicate"), F.pmod("id", F.lit(wanted)).alias("draw"))
     place = F.pmod(hashed_number(seed, F.col("replicate"), F.col("draw")), F.lit(total)) + 1
-    return draws.select("replicate", place.alias("place")).groupBy("replicate", "place").agg(F.count("*").alias("n"))
+    return draws.select("replicate", place.alias("place")).repartition(parts, "place").groupBy("replicate", "place").agg(F.count("*").alias("n"))
 
 
 def bootstrap_rows(table: DataFrame, key: str, replicates: int, rows: int | None = None, seed: int = 42) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import logistic
-from gritstone.operators import binning, candidates, checks, diagnostics, effects, metrics, models, robustness, scoring
+from gritstone.operators import binning, candidates, checks, diagnostics, effects, metrics, models, resampling, robustness, scoring
 from gritstone.operators.penalised import multinomial_logistic
 from gritstone.sources import tables
 
@@ -237,3 +237,13 @@ def test_projection_facts_and_hashes(spark, table, tmp_path):
     mark = lambda t: tuple(tables.portable_fingerprint(t, ["id", "kind"]).first())
     assert mark(table) == mark(table.repartition(7)) != mark(table.withColumn("kind", F.lit(None).cast("string")))
     assert mark(table.limit(0)) == (0, "0")
+
+
+def test_draws_are_dealt_in_parts(spark, monkeypatch):
+    """A task counts a bounded number of draws, however many there are, and the draws are the same."""
+    table = spark.range(500).withColumnRenamed("id", "key")
+    drawn = lambda: sorted(map(tuple, resampling.bootstrap_counts(table, "key", 6).collect()))
+    whole = drawn()
+    monkeypatch.setattr(resampling, "TASK_DRAWS", 100)
+    assert resampling.bootstrap_counts(table, "key", 6).rdd.getNumPartitions() == 30 and drawn() == whole
+    assert sum(n for *_, n in whole) == 3000
