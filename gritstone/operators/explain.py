@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gritstone.operators.binning import quantile_edges
 from gritstone.operators.quantiles import exact_quantiles
 from gritstone.operators.ranges import free_name
+from gritstone.sources.scratch import checkpointed
 
 Score = Callable[[dict[str, Column]], Column]
 
@@ -69,28 +70,43 @@ def scenario(table: DataFrame, columns: list[str], shocks: dict[str, tuple[str,
     return table.groupBy(*by).agg(F.count("*").alias("n"), F.avg(base).alias("base"), F.avg(shocked).alias("shocked"), F.avg(shocked - base).alias("change"))
 
 
-def permuted(table: DataFrame, key: str, feature: str, multiplier: int = 7919, modulus: int = 1_000_003) -> DataFrame:
-    """The table with one column dealt anew: the values in key order go to the rows in a shuffled order."""
+def permuted_together(table: DataFrame, key: str, features: list[str], multiplier: int = 7919, modulus: int = 1_000_003) -> tuple[DataFrame, dict[str, str]]:
+    """The table with a column beside each feature, and its name, that holds the feature's values dealt anew: those in key
+    order go to the rows in a shuffled order. All features are dealt by one pair of ranks and one join."""
     from gritstone.operators.splits import global_rank
 
-    a, b, mixed, dealt = (free_name(c, table.columns) for c in ("a__", "b__", "mixed__", "dealt__"))
-    ranked = global_rank(table, [key], a).drop(f"{a}_n").withColumn(mixed, F.pmod(F.col(key) * multiplier, F.lit(modulus)))
-    ranked = global_rank(ranked, [mixed, key], b).drop(f"{b}_n")
-    values = ranked.select(F.col(a).alias(b), F.col(feature).alias(dealt))
-    return ranked.join(values, b).withColumn(feature, F.col(dealt)).drop(a, b, mixed, dealt)
+    a, b, mixed = (free_name(c, table.columns) for c in ("a__", "b__", "mixed__"))
+    names = {f: free_name(f"dealt{k}__", table.columns) for k, f in enumerate(features)}
+    values = global_rank(table.select(key, *(F.col(f).alias(names[f]) for f in features)), [key], a).select(F.col(a).alias(b), *names.values())
+    ranked = global_rank(table.withColumn(mixed, F.pmod(F.col(key) * multiplier, F.lit(modulus))), [mixed, key], b).drop(f"{b}_n", mixed)
+    return ranked.join(values, b).drop(b), names
+
+
+def permuted(table: DataFrame, key: str, feature: str, multiplier: int = 7919, modulus: int = 1_000_003) -> DataFrame:
+    """The table with one column dealt anew."""
+    held, names = permuted_together(table, key, [feature], multiplier, modulus)
+    return held.withColumn(feature, F.col(names[feature])).drop(names[feature])
 
 
 def permutation_importance(table: DataFrame, columns: list[str], features: list[str], key: str, target: str, score: Score, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, feature and how much the rank metrics lose when the feature's values are dealt anew: base less permuted."""
-    from functools import reduce
+    """by, feature and how much the rank metrics lose when the feature's values are dealt anew: base less permuted.
 
+    Every row is scored once as it is and once per feature, and all these scores are ranked together, by number of the feature.
+    """
     from gritstone.operators.metrics import rank_metrics
 
     names = ("auc", "ks", "average_precision")
-    measured = lambda df: rank_metrics(df.withColumn("score", score({c: F.col(c) for c in columns})), target, "score", by)
-    base = measured(table).select(*by, *(F.col(c).alias(f"base_{c}") for c in names))
-    out = []
-    for f in features:
-        lost = measured(permuted(table, key, f)).join(base, list(by)) if by else measured(permuted(table, key, f)).crossJoin(base)
-        out.append(lost.select(*by, F.lit(f).alias("feature"), *((F.col(f"base_{c}") - F.col(c)).alias(c) for c in names)))
-    return reduce(DataFrame.unionByName, out)
+    held, dealt = permuted_together(table.select(*dict.fromkeys((key, target, *columns, *features, *by))), key, features)
+    which, scored, x = (free_name(c, held.columns) for c in ("which__", "score__", "x__"))
+    cases = [inputs(columns), *(inputs(columns, **{f: F.col(dealt[f])}) for f in features)]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias(which), score(c).alias(scored)) for k, c in enumerate(cases)))).alias(x)
+    # ranking reads the scores several times; kept, they cost the ranks and the join once
+    scores = checkpointed(held.select(target, *by, each).select(target, *by, f"{x}.{which}", f"{x}.{scored}"))
+    found = rank_metrics(scores, target, scored, (*by, which))
+    # a row per group and feature
+    base = found.where(F.col(which) == 0).select(*(F.col(c).alias(f"{c}__base") for c in by), *(F.col(c).alias(f"base_{c}") for c in names))
+    meets = F.lit(True)
+    for c in by:
+        meets = meets & (F.col(c) == F.col(f"{c}__base"))
+    label = F.get(F.array(*map(F.lit, features)), F.col(which) - 1)
+    return found.where(F.col(which) > 0).join(base, meets).select(*by, label.alias("feature"), *((F.col(f"base_{c}") - F.col(c)).alias(c) for c in names))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gritstone.functions.scalars import logistic
-from gritstone.operators import binning, candidates, checks, diagnostics, effects, metrics, models, resampling, robustness, scoring
+from gritstone.operators import binning, candidates, checks, diagnostics, effects, explain, metrics, models, resampling, robustness, scoring
 from gritstone.operators.penalised import multinomial_logistic
 from gritstone.sources import tables
 
@@ -247,3 +247,18 @@ def test_draws_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(resampling, "TASK_DRAWS", 100)
     assert resampling.bootstrap_counts(table, "key", 6).rdd.getNumPartitions() == 30 and drawn() == whole
     assert sum(n for *_, n in whole) == 3000
+
+
+def test_permuted_scores_are_ranked_together(spark, monkeypatch):
+    """All features are dealt and ranked in one go, as each would be alone."""
+    rng = np.random.default_rng(8)
+    table = spark.createDataFrame([(k, float(a), float(b), int(rng.random() < 1 / (1 + np.exp(-a))), "u" if k % 3 else "v") for k, (a, b) in enumerate(rng.normal(size=(300, 2)))], "id long, a double, b double, y int, part string")
+    score = lambda x: logistic(x["a"] + 0.1 * x["b"])
+    calls, ranked = [], metrics.rank_metrics
+    monkeypatch.setattr(metrics, "rank_metrics", lambda *args: calls.append(1) or ranked(*args))
+    got = {(r["part"], r["feature"]): r["auc"] for r in explain.permutation_importance(table, ["a", "b"], ["a", "b"], "id", "y", score, ("part",)).collect()}
+    assert len(calls) == 1 and len(got) == 4
+    base = {r["part"]: r["auc"] for r in ranked(table.withColumn("s", score({"a": F.col("a"), "b": F.col("b")})), "y", "s", ("part",)).collect()}
+    moved = explain.permuted(table, "id", "a").withColumn("s", score({"a": F.col("a"), "b": F.col("b")}))
+    for r in ranked(moved, "y", "s", ("part",)).collect():
+        assert abs(got[r["part"], "a"] - (base[r["part"]] - r["auc"])) < 1e-12
