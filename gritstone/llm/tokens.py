@@ -17,7 +17,8 @@ import numpy as np
 #: Distinct pieces a worker remembers before it starts afresh: about 150 MB.
 MAX_PIECES = 800_000
 _ODD_SPACE = [c for c in map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) if c != "\n"]
-_SPACES = re.compile(r"  | \n|\n |\n\n")
+_ODD_ASCII = [c for c in _ODD_SPACE if c.isascii()]
+_DOUBLE = ("  ", " \n", "\n ", "\n\n")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -79,11 +80,11 @@ class PieceTokenizer:
         """The ids of one text, little-endian, of this tokenizer's dtype."""
         if not text:
             return b""
-        if any(c in text for c in _ODD_SPACE) or self.added and self.added.search(text):
+        if any(c in text for c in (_ODD_ASCII if text.isascii() else _ODD_SPACE)) or self.added and self.added.search(text):
             return self._bytes(self.whole(text))
         if self.drops_space:
             return b"".join(map(self.inner.__getitem__, text.split()))
-        if _SPACES.search(text):
+        if any(pair in text for pair in _DOUBLE):
             return self._bytes(self.whole(text))
         first, *rest = text.replace("\n", " \n").split(" ") if "\n" in text else text.split(" ")
         if rest and not rest[-1]:

@@ -166,3 +166,17 @@ def test_plan_leaves_no_exact_complement(which):
     assert not any(fits((*p, *q)) for p in pairs for q in by_sum.get(1024 - sum(p), ()))
     if which == "balanced":
         assert sum(t for _, t in plan) == 67
+
+
+def test_white_space_that_goes_through_the_library():
+    """Every pair of spaces and line ends and every other white space gives the library's ids, in texts of ASCII and beyond."""
+    import numpy as np
+    import public_tokenizers
+
+    from gritstone.llm import tokens
+
+    held = tokens.PieceTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert set(tokens._ODD_ASCII) < set(tokens._ODD_SPACE)  # an ASCII text is searched for these alone
+    for gap in (*tokens._DOUBLE, *tokens._ODD_SPACE, " ", "\n"):
+        for text in (f"one{gap}two words", f"été{gap}two", f"你{gap}好 x"):
+            assert np.frombuffer(held.encode(text), held.dtype).tolist() == held.whole(text), repr(text)
