@@ -84,6 +84,70 @@ def test_odd_rows(spark):
     assert {r["id"]: r["v"] for r in knn_impute(held.where("id = 11"), empty, "v", ["a"], "id").collect()} == {11: None}
 
 
+def test_rows_with_gaps_search_few_cells(spark, monkeypatch):
+    # a row with one column only is near a whole stripe of the cells of two
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 20)
+    train = made(8, 6000, 2, 0.0)
+    rows = [(i, None, a if i % 2 else None, None if i % 2 else b) for i, _, a, b in made(12, 300, 2, 0.0)]
+    schema = "id bigint, v double, a double, b double"
+    table, known = spark.createDataFrame(rows, schema).repartition(4), spark.createDataFrame(train, schema).repartition(4)
+    searched = neighbours._searched
+    asked = []
+
+    def counted(routed, *more):
+        asked.append(routed.count())
+        return searched(routed, *more)
+
+    monkeypatch.setattr(neighbours, "_searched", counted)
+    got = knn_impute(table, known, "v", ["a", "b"], "id", 3)
+    assert len(asked) == 2 and sum(asked) < 4 * len(rows)
+    want = brute_fill(rows, train, 3)
+    assert all(math.isclose(v, want[i], rel_tol=1e-12, abs_tol=1e-12) for i, v in got.select("id", "v").collect())
+
+
+@pytest.mark.parametrize("projections", [0, 1])
+def test_patterns_beyond_the_projections(spark, monkeypatch, projections):
+    for name, value in {"PROJECTIONS": projections, "CELL_ROWS": 20, "BLOCK_DONORS": 15, "BLOCK_RECEIVERS": 7}.items():
+        monkeypatch.setattr(neighbours, name, value)
+    rows = made(9, 900)
+    check(spark, rows, rows, 4)
+    levels = made(10, 400, levels=3)
+    check(spark, levels, levels, 4)
+
+
+def test_views_cover_what_is_shared():
+    laid, asked = neighbours._views([0, 1, 3, 7], {0: 5, 1: 4, 3: 9, 4: 1})
+    kept = {view: (pattern, c) for pattern, view, c in laid}
+    assert len(kept) == len(laid) and all(c and c & p == c for p, c in kept.values())
+    for receiver in (1, 3, 4):
+        met = {kept[view][0]: (kept[view][1], c) for p, view, c in asked if p == receiver}
+        assert met == {d: (receiver & d, receiver & d) for d in (1, 3, 7) if receiver & d}
+    assert not [p for p, *_ in asked if p == 0]
+
+
+@pytest.mark.parametrize("dims, levels, k", [(1, None, 5), (2, None, 5), (3, 4, 7), (2, 3, 40)])
+def test_leaves_of_a_block(monkeypatch, dims, levels, k):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 12)
+    monkeypatch.setattr(neighbours, "HELD", 500)
+    rng = np.random.default_rng(11)
+    others, points = (rng.normal(size=(n, dims)) if levels is None else rng.integers(0, levels, (n, dims)).astype(float) for n in (700, 90))
+    others, points = (np.column_stack([x, np.full(len(x), np.nan)]) for x in (others, points))
+    held = neighbours.distances(points, others)
+    want = np.argsort(held, axis=1, kind="stable")[:, :k]
+    reached = np.take_along_axis(held, want, axis=1)
+    for limit in (np.full(90, np.inf), reached[:, -1]):
+        row, chosen, found = neighbours.nearest(points, others, limit, k)
+        assert (row == np.repeat(np.arange(90), k)).all() and (chosen.reshape(90, k) == want).all() and (found.reshape(90, k) == reached).all()
+    assert not len(neighbours.nearest(points, others[:0], np.full(90, np.inf), k)[0])
+
+
+def test_nearest_donors_by_place(spark):
+    train = spark.createDataFrame([(3, 1.0, 0.0, 5.0), (1, 2.0, 1.0, None), (2, 4.0, 1.0, None), (4, 8.0, None, 2.0)], "id bigint, v double, a double, b double")
+    table = spark.createDataFrame([(9, None, 0.25, None), (10, None, None, 2.5), (11, None, None, None)], "id bigint, v double, a double, b double")
+    got = neighbours.nearest_donors(table, train, "v", ["a", "b"], "id", 2).select("x0", "x1", "distance", "key", "value", "place").collect()
+    assert {tuple(r) for r in got} == {(0.25, None, 0.0625, 3, 1.0, 1), (0.25, None, 0.5625, 1, 2.0, 2), (None, 2.5, 0.25, 4, 8.0, 1), (None, 2.5, 6.25, 3, 1.0, 2)}
+
+
 def test_few_boxes_are_opened():
     rng = np.random.default_rng(5)
     points = rng.normal(size=(4000, 2))
